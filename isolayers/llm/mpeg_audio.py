@@ -77,20 +77,22 @@ def frame_at(data: bytes, at: int) -> tuple[int, int, int, int, bool] | None:
 
 def parse(data: bytes) -> dict:
     """Frames of a stream, tags, table and damage: offsets of the frames with a right checksum, samples, hertz, skipped
-    bytes, table (frames and bytes it states) and tag_bytes. A header counts only if another one, or the stream's end,
-    follows its frame; other bytes are skipped one by one until the stream is in step again.
+    bytes, table (frames and bytes it states) and tag_bytes. A header counts if it stands where the frame before it ends,
+    or if another one, or the stream's end, follows its own frame; other bytes are skipped until the stream is in step again.
     """
     at = tag = 0
     if data[:3] == b"ID3" and len(data) >= 10:
         at = tag = 10 + sum((x & 127) << s for x, s in zip(data[6:10], (21, 14, 7, 0)))
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
     offsets, sides, sizes, checked, skipped, bad, samples, hertz, table = [], [], [], [], 0, 0, 0, 0, None
-    head = known = None
+    head, known, reached = None, None, -1
     while at + 4 <= end:
         if data[at : at + 4] != head:
             head = data[at : at + 4]
             known = frame_at(data, at)
-        if known is None or at + known[0] > end or (at + known[0] + 4 <= end and data[at + known[0] : at + known[0] + 4] != head and frame_at(data, at + known[0]) is None):
+        after = at + known[0] if known else end + 1
+        in_step = bool(offsets) and reached == at
+        if after > end or not in_step and after + 4 <= end and data[after : after + 4] != head and frame_at(data, after) is None:
             nearest = data.find(b"\xff", at + 1, end)
             nearest = end if nearest < 0 else nearest
             skipped += nearest - at
@@ -102,7 +104,7 @@ def parse(data: bytes) -> dict:
         sides.append(side)
         checked.append(sums)
         hertz = hertz or hz
-        at += size
+        at = reached = after
     skipped += max(0, end - at)
     keep = np.ones(len(offsets), bool)
     raw, where = np.frombuffer(data, np.uint8), np.array(offsets, np.int64)

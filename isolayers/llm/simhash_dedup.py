@@ -160,12 +160,9 @@ def fingerprint_links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame
     longer = cut(longer)
     if longer.isEmpty():
         return links
-    flips = None
-    for j, five in enumerate(fives):
-        masks = _flips(tuple(p for p in range(8) if p not in five))
-        case = F.when(F.col("slot") == j, F.array(*(F.struct(F.lit(m).alias("m"), F.lit(c).alias("c")) for m, c in masks)))
-        flips = case if flips is None else F.coalesce(flips, case)
-    seen = longer.select("slot", "fp", F.explode(flips).alias("e")).select("slot", fp.bitwiseXOR(F.col("e.m")).alias("to"), "fp", "e.c")
+    rows = [(j, m, c) for j, five in enumerate(fives) for m, c in _flips(tuple(p for p in range(8) if p not in five))]
+    flips = fps.sparkSession.createDataFrame(rows, "slot int, m long, c int")  # 56 x 301 rows, whatever the input
+    seen = longer.join(F.broadcast(flips), "slot").select("slot", fp.bitwiseXOR(F.col("m")).alias("to"), "fp", "c")
     near = F.min(F.when(F.col("c") < 2, fp))  # two fingerprints meet within 3 bits if one of them flipped at most one
     hubs = seen.groupBy("slot", "to").agg(near.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1 AND hub IS NOT NULL")
     return links.unionByName(

@@ -204,7 +204,7 @@ def _kept(window: int):
                 text = b" ".join([w for w, g in zip(have, gone.tolist()) if not g] if gone.any() else have)
                 words.append(len(have))
                 removed.append(int(gone.sum()))
-                texts.append(text)
+                texts.append(text if gone.any() else body)
                 marks.append(hashlib.sha256(text).hexdigest())
             yield pd.DataFrame({"key": batch["key"], "n_words": words, "n_removed": removed, "kept": texts, "kept_sha256": marks})
 
@@ -215,7 +215,8 @@ def remove_repeats(
     docs: DataFrame, text_col: str = "text", window: int = 35, with_text: bool = True,
     anchor_words: int = ANCHOR_WORDS, group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """The rows of docs with n_words, n_removed, kept_sha256 and (with_text) kept_text.
+    """The rows of docs with n_words, n_removed, kept_sha256 (of the kept words, one space between them) and, with_text, the text
+    replaced by the kept words where any went; otherwise without the text column.
 
     A word goes if any `window` consecutive words that cover it also start anywhere else in the input, the same
     text included. All occurrences go. Windows are judged on the input. Null and empty texts have no words;
@@ -248,7 +249,12 @@ def remove_repeats(
     )
     new = [F.col("n_words"), F.col("n_removed"), F.col("kept_sha256")]
     if with_text:
-        new.append(F.decode("kept", "UTF-8").alias("kept_text"))
+        new.append(F.decode("kept", "UTF-8").alias("_repeat_text"))
     result = result.select(F.col("key").alias("_repeat_key"), *new)
+    # the rows themselves travel without their text: it comes back with the result
     keyed = docs.withColumn("_repeat_key", text_key(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    return keyed.join(result, "_repeat_key").drop("_repeat_key")
+    keyed = keyed.withColumn("_repeat_null", F.col(text_col).isNull()).drop(text_col)
+    rows = keyed.join(result, "_repeat_key")
+    if with_text:
+        rows = rows.withColumn(text_col, F.when(~F.col("_repeat_null"), F.col("_repeat_text")))
+    return rows.select(*(c for c in docs.columns if with_text or c != text_col), "n_words", "n_removed", "kept_sha256")

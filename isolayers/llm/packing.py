@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .numbering import hash_parts, numbered
 
 
@@ -73,6 +74,7 @@ def packed(
     key = F.col(id_col)
     rows = docs.select(*keep, (part if part is not None else hash_parts(docs, key)).alias("_in"),
                        F.struct(*(order or [F.xxhash64(key), key])).alias("_by"))
+    rows = cut(rows)  # short rows: the words of each text are counted once
     found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
     bounds = best_bounds(np.array([r[0] for r in found]), np.array([r[1] for r in found]), buckets)
     bucket, size = F.lit(None).cast("int"), F.lit(None).cast("int")

@@ -144,6 +144,42 @@ def test_near_copies(spark, limit):
     assert got == {i for i in want if want[i] == i}
 
 
+def test_second_round_finds_what_is_unconnected(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (3, near_copies.POSITIONS), dtype=np.uint8)
+    rows = []
+    for i in range(90):
+        own = base[i % 3].copy()
+        own[rng.choice(near_copies.POSITIONS, rng.integers(0, 16), replace=False)] = rng.integers(0, 256)
+        rows.append((i // 30, bytes([i]), own.tobytes(), bytes([i % 3]) if i % 5 else None))
+    lists = spark.createDataFrame([r[:3] for r in rows], "list long, key binary, sketch binary")
+    roots = spark.createDataFrame([(r[1], r[3]) for r in rows if r[3] is not None], "node binary, root binary")
+    want = set()
+    for (l, a, x, r), (m, b, y, q) in itertools.combinations(rows, 2):
+        shared = sum(u == v for u, v in zip(x, y))
+        if l == m and (r or a) != (q or b) and shared >= 28:
+            want.add((max(a, b), min(a, b)))
+    got = [(bytes(r.a), bytes(r.b)) for r in near_copies._unconnected(lists, roots, 28).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("limit", [8, 1024])
+def test_near_copies_of_a_long_list(spark, limit, monkeypatch):
+    """A group whose members drift apart: far ones are linked by those between them only."""
+    monkeypatch.setattr(near_copies, "SMALL_LIST", 4)
+    rng = random.Random(5)
+    words, texts = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        texts.append(" ".join(words))
+        words[rng.randrange(len(words))] = f"d{i}"
+    rng.shuffle(texts)
+    grams = [(lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(t.split()) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    want = union_find(range(len(texts)), pairs)
+    got = {r.doc_id for r in near_copies.keep_one_of_each_group(docs_of(spark, texts), list_limit=limit).collect()}
+    assert got == {i for i in want if want[i] == i} and len(pairs) < 60 * 59 / 2
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

@@ -159,7 +159,7 @@ def test_second_round_finds_what_is_unconnected(spark):
         shared = sum(u == v for u, v in zip(x, y))
         if l == m and (r or a) != (q or b) and shared >= 28:
             want.add((max(a, b), min(a, b)))
-    got = [(bytes(r.a), bytes(r.b)) for r in near_copies._unconnected(lists, roots, 28).collect()]
+    got = [(bytes(r.a), bytes(r.b)) for r in near_copies._unconnected(lists, roots, near_copies.POSITIONS, 28).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
 
 

@@ -144,7 +144,9 @@ def test_near_copies(spark, limit):
     assert got == {i for i in want if want[i] == i}
 
 
-def test_second_round_finds_what_is_unconnected(spark):
+@pytest.mark.parametrize("block", [7, 1024])
+def test_second_round_finds_what_is_unconnected(spark, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 256, (3, near_copies.POSITIONS), dtype=np.uint8)
     rows = []
@@ -159,7 +161,8 @@ def test_second_round_finds_what_is_unconnected(spark):
         shared = sum(u == v for u, v in zip(x, y))
         if l == m and (r or a) != (q or b) and shared >= 28:
             want.add((max(a, b), min(a, b)))
-    got = [(bytes(r.a), bytes(r.b)) for r in near_copies._unconnected(lists, roots, near_copies.POSITIONS, 28).collect()]
+    open_lists = near_copies._open_lists(lists.select("list", "key"), roots)
+    got = [(bytes(r.a), bytes(r.b)) for r in near_copies._unconnected(open_lists, lists.select("key", "sketch"), 28).collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
 
 

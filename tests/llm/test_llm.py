@@ -183,6 +183,50 @@ def test_near_copies_of_a_long_list(spark, limit, monkeypatch):
     assert got == {i for i in want if want[i] == i} and len(pairs) < 60 * 59 / 2
 
 
+def test_near_copies_in_lists_over_the_limit(spark):
+    """Every pair that shares a band is a candidate or lies in a list of the second round, though lists of one and two bands are too long."""
+    rng = np.random.default_rng(9)
+    n = near_copies.POSITIONS // near_copies.BAND
+    common, rows = rng.integers(0, 256, near_copies.POSITIONS, dtype=np.uint8), []
+    for i in range(40):
+        own = rng.integers(0, 256, near_copies.POSITIONS, dtype=np.uint8)
+        for band in {i % n} if i % 2 else {i % n, (i + 1) % n}:
+            own[4 * band : 4 * band + 4] = common[4 * band : 4 * band + 4]
+        rows.append((i, own))
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if (x.reshape(n, 4) == y.reshape(n, 4)).all(axis=1).any()]
+    sketches = spark.createDataFrame([(bytes([i]), own.tobytes()) for i, own in rows], "key binary, sketch binary")
+    pairs, lists = near_copies._candidates(sketches, 1, 3)
+    held = {(r.a, r.b) for r in pairs.selectExpr("least(hex(a), hex(b)) a", "greatest(hex(a), hex(b)) b").distinct().collect()}
+    members = {}
+    for r in lists.collect():
+        members.setdefault(r.list, []).append(f"{r.key[0]:02X}")
+    held |= {p for m in members.values() for p in itertools.combinations(sorted(m), 2)}
+    want = {(f"{a:02X}", f"{b:02X}") for a, b in near}
+    assert want and want <= held
+
+
+def test_near_copies_just_over_the_similarity_past_the_limit(spark):
+    """Edited copies at Jaccard just over 0.8 with the plain text only; all that share a band with it are linked, however long the lists."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(204)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(4, 200, 10), 4 if i else 0):
+            copy[at] = f"e{i}x{at}"
+        texts.append(" ".join(copy))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    assert all(0.8 <= len(g & grams[0]) / len(g | grams[0]) < 0.82 for g in grams[1:])
+    hashes = [near_copies.shingle_hashes(t.encode(), 5) for t in texts]
+    own = np.array([list(near_copies.sketch(h)) for h in hashes]).reshape(len(texts), -1, near_copies.BAND)
+    fine = np.array([list(near_copies.sketch(h, near_copies._FINE_ODD)) for h in hashes])
+    bands = (own == own[0]).all(axis=2).sum(axis=1)
+    sure = (bands > 0) & ((fine == fine[0]).sum(axis=1) >= near_copies._least(near_copies.FINE_POSITIONS, 0.8))
+    assert sure.sum() > 290 and (bands == 1).any() and (bands == 2).any()
+    got = {r.doc_id for r in near_copies.keep_one_of_each_group(docs_of(spark, texts), list_limit=40).collect()}
+    assert got <= {0} | set(np.flatnonzero(~sure).tolist())
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

@@ -2,12 +2,16 @@
 
 A source with weight w releases its j-th block (from 0) at slot floor(j / w) and must place it by slot ceil((j + 1) / w);
 the released block with the earliest deadline takes the slot. With weights that sum to 1 all deadlines hold,
-so at every slot a source is less than one block off its share. Weights are whole numbers of blocks in a cycle;
-the schedule repeats with the cycle, so one cycle is computed and joined to all blocks.
+so at every slot a source is less than one block off its share. Weights are taken as exact whole numbers of 1e-15, without
+rounding to a given cycle. The schedule repeats only after the slots in which all shares are whole; if the table needs
+fewer, just these are computed. Sources that targets doesn't name have equal weights, so they share the slots of one class in
+turn: at most (m - 1) / m of a block for the turn and under 1 / m of one for the class, less than a block again.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +31,46 @@ def cycle_slots(sources: DataFrame, cycle: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("share") - F.floor("share")).desc(), "source"))
     whole = shares.select("source", (F.floor("share") + 1 + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("e"))
     plan = whole.agg(F.array_sort(F.collect_list(F.struct("source", "e"))).alias("src"))
+    slots = scheduled(plan, cycle, cycle, cycle, "bigint").select("slot", F.expr("src[i].source").alias("source"), F.expr("src[i].e").alias("per_cycle"))
+    j = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
+    return slots.select("source", "per_cycle", j.alias("j"), "slot")
+
+
+def scheduled(plan: DataFrame, period: int, slots: int, span: int, number: str) -> DataFrame:
+    """(src, slot, i) for the first `slots` slots: i is the source that has the slot, counted from 0.
+
+    plan is one row with src, an array of structs with e, the blocks of a source in `period` slots; their sum is period.
+    `span` slots at a time are folded into one array, so that long schedules aren't copied slot by slot. `number` is the
+    SQL type that holds slots times period.
+    """
+    q = f"cast('{period}' as {number})"
     # two steps a slot: choose the released block with the earliest deadline, then book it
-    picks = f"""
+    inner = f"""
         aggregate(
-            sequence(0, 2 * {cycle} - 1),
-            named_struct('done', transform(src, s -> 0L), 'picks', cast(array() as array<int>), 'pick', 0),
-            (acc, t) -> if(t % 2 = 0,
-                named_struct('done', acc.done, 'picks', acc.picks, 'pick',
+            sequence(0, 2 * {span} - 1),
+            named_struct('done', acc.done, 'picks', cast(array() as array<int>), 'pick', 0),
+            (a, k) -> if(k % 2 = 0,
+                named_struct('done', a.done, 'picks', a.picks, 'pick',
                     array_min(transform(src, (s, i) -> if(
-                        acc.done[i] * {cycle} div s.e <= t div 2,
-                        named_struct('due', ((acc.done[i] + 1) * {cycle} + s.e - 1) div s.e, 'i', i), null))).i),
-                named_struct('done', transform(acc.done, (d, i) -> d + if(i = acc.pick, 1L, 0L)),
-                    'picks', concat(acc.picks, array(acc.pick)), 'pick', acc.pick)),
-            acc -> acc.picks)"""
-    slots = plan.select("src", F.posexplode(F.expr(picks)).alias("slot", "i"))
-    slots = slots.select(F.col("slot").cast("long").alias("slot"), F.expr("src[i].source").alias("source"), F.expr("src[i].e").alias("per_cycle"))
-    j = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
-    return slots.select("source", "per_cycle", j.alias("j"), "slot")
+                        a.done[i] * {q} div s.e <= part * {span} + k div 2,
+                        named_struct('due', ((a.done[i] + 1) * {q} + s.e - 1) div s.e, 'i', i), null))).i),
+                named_struct('done', transform(a.done, (d, i) -> cast(d + if(i = a.pick, 1, 0) as {number})),
+                    'picks', concat(a.picks, array(a.pick)), 'pick', a.pick)),
+            a -> named_struct('done', a.done, 'picks', a.picks))"""
+    picks = f"""
+        aggregate(
+            sequence(0L, {-(-slots // span) - 1}L),
+            named_struct('done', transform(src, s -> cast(0 as {number})), 'parts', cast(array() as array<array<int>>)),
+            (acc, part) -> transform(array({inner}), r -> named_struct('done', r.done, 'parts', concat(acc.parts, array(r.picks))))[0],
+            acc -> flatten(acc.parts))"""
+    found = plan.select("src", F.posexplode(F.expr(picks)).alias("slot", "i")).where(F.col("slot") < slots)
+    return found.withColumn("slot", F.col("slot").cast("long"))
+
+
+#: Weights are whole numbers of 1 / UNIT.
+UNIT = 10**15
+#: Schedules up to this length are broadcast.
+SHORT = 65_536
 
 
 def mixed(
@@ -54,28 +81,49 @@ def mixed(
 
     Sources that targets doesn't name share what it leaves of 1 equally (or weigh as the least of it, if nothing is left).
     Null is a source like any other. Rows of a source are dealt into blocks by a hash of their id, then by id; all rows stay,
-    and a source that runs out leaves its slots empty. A target must be over 0.
+    and a source that runs out leaves its slots empty. A target must be over 0. `cycle` slots are scheduled at a time;
+    the result doesn't depend on it.
     """
     if any(w <= 0 for w in targets.values()):
         raise ValueError("a target weight must be over 0")
     rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
-    names = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"))
-    given = F.lit(None).cast("double")
-    for name, w in sorted(targets.items()):
-        given = F.when(F.col("_source") == f"={name}", F.lit(float(w))).otherwise(given)
-    everyone = Window.partitionBy(F.lit(1))
-    others = F.sum(given.isNull().cast("int")).over(everyone)
-    left = F.greatest(F.lit(1.0) - F.lit(float(sum(targets.values()))), F.lit(0.0))
-    weight = F.coalesce(given, F.when(left > 0, left / others).otherwise(F.lit(float(min(targets.values(), default=1.0)))))
-    slots = cycle_slots(names.select(F.col("_source").alias("source"), weight.alias("weight")), cycle)
+    given = [max(1, round(w * UNIT)) for _, w in sorted(targets.items())]
+    others = len(given)
+    class_ = F.lit(others)
+    for i, name in enumerate(sorted(targets)):
+        class_ = F.when(F.col("_source") == f"={name}", F.lit(i)).otherwise(class_)
+    names = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("rows")).withColumn("_class", class_)
+    # a row per target, and one for all others
+    present = {r[0]: (r[1], r[2]) for r in names.groupBy("_class").agg(F.count(F.lit(1)), F.max("rows")).collect()}
+    present = present or {others: (1, 1)}
+    m = present.get(others, (1, 1))[0]
+    left = UNIT - sum(given)
+    weights = {c: given[c] if c < others else left if left > 0 else m * min(given) for c in sorted(present)}
+    whole = gcd(*weights.values())
+    weights = {c: w // whole for c, w in weights.items()}
+    period = sum(weights.values())
+    blocks = {c: k * -(-top // block_rows) for c, (k, top) in present.items()}
+    slots = min(period, max(-(-blocks[c] * period // w) for c, w in weights.items()))
+    number = "bigint" if (slots + 2) * (period + 1) < 2**62 else "decimal(38,0)"
+
+    src = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(str(w)).cast(number).alias("e")) for c, w in weights.items()))
+    plan = docs.sparkSession.range(1).select(src.alias("src"))
+    slot = scheduled(plan, period, slots, min(cycle, slots), number).select("slot", F.expr("src[i].class").alias("_class"))
+    j = F.row_number().over(Window.partitionBy("_class").orderBy("slot")).cast("long") - 1
+    slot = slot.select("_class", j.alias("_j"), F.col("slot").alias("_slot"))
+    per = F.lit(None).cast("long")
+    for c, w in weights.items():
+        per = F.when(F.col("_class") == c, F.lit(w)).otherwise(per)
+    if slots <= SHORT:
+        slot = F.broadcast(slot)
+
+    turns = numbered(names.select("_source", "_class"), "_class", F.pmod(F.xxhash64("_source"), F.lit(m // 20_000 + 1)), [F.col("_source")], "_turn")
     key = F.col(id_col)
-    order = [F.xxhash64(key), key]
-    rows = numbered(rows, "_source", hash_parts(docs, key), order, "_at")
-    per = slots.select(F.col("source").alias("_source"), "per_cycle").distinct()
-    rows = rows.join(F.broadcast(per), "_source")  # a row per source, at most `cycle`
+    rows = numbered(rows, "_source", hash_parts(docs, key), [F.xxhash64(key), key], "_at", turns)
     block = F.floor(F.col("_at") / block_rows)
     rows = rows.withColumn("block", block).withColumn("place", F.col("_at") % block_rows)
-    rows = rows.withColumn("_j", F.col("block") % F.col("per_cycle")).withColumn("_cycle", F.floor(F.col("block") / F.col("per_cycle")))
-    slots = slots.select(F.col("source").alias("_source"), F.col("j").alias("_j"), F.col("slot").alias("_slot"))
-    rows = rows.join(F.broadcast(slots), ["_source", "_j"])  # `cycle` rows
-    return rows.withColumn("slot", F.col("_cycle") * cycle + F.col("_slot")).drop("_source", "_at", "_j", "_cycle", "_slot", "per_cycle")
+    at = F.when(F.col("_class") == others, F.col("block") * m + F.col("_turn")).otherwise(F.col("block"))
+    rows = rows.withColumn("_b", at).withColumn("_per", per)
+    rows = rows.withColumn("_j", F.col("_b") % F.col("_per")).withColumn("_cycle", F.expr("_b div _per"))
+    rows = rows.join(slot, ["_class", "_j"]).withColumn("slot", F.col("_cycle") * period + F.col("_slot"))
+    return rows.drop("_source", "_at", "_class", "_turn", "_b", "_per", "_j", "_cycle", "_slot")

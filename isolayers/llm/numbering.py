@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out: str) -> DataFrame:
+def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out: str, facts: DataFrame | None = None) -> DataFrame:
     """df with `out`: 0, 1, 2, ... within each group, by part and then by order.
 
     Each (group, part) is sorted by itself; the counts of the parts, a row each, give its first number. Parts must be
-    small for one task, so their number has to grow with the rows.
+    small for one task, so their number has to grow with the rows. facts has a row per group (not null) and columns to add; they
+    travel with the first numbers, so rows need no further join.
     """
     df = df.withColumn("_part", part)
     sizes = df.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
@@ -18,6 +19,8 @@ def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out:
     firsts = sizes.select(
         F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first")
     )
+    if facts is not None:
+        firsts = firsts.join(facts.withColumnRenamed(group, "_g"), "_g")
     inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)).cast("long") - 1
     df = df.withColumn("_inside", inside)
     df = df.join(firsts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_part").eqNullSafe(F.col("_p")))

@@ -272,6 +272,26 @@ def test_mixing_keeps_all_rows(spark):
     assert mixing.mixed(spark.createDataFrame([], DOCS), {"s2": 0.5}).count() == 0
 
 
+@pytest.mark.parametrize("targets", [queries.TARGETS, {"src0": 0.1234567, "src1": 1 / 3}, {"src0": 3.0, "src1": 2.5}])
+def test_mixing_follows_the_targets_over_many_cycles(spark, targets):
+    """Before a source runs out, none is a block or more off its given weight, whatever the number of sources."""
+    m = 300 if targets is queries.TARGETS else 7
+    names = [f"src{i}" for i in range(m)]
+    left = 1 - sum(targets.values())
+    weight = {s: targets.get(s, left / (m - len(targets)) if left > 0 else min(targets.values())) for s in names}
+    weight = {s: w / sum(weight.values()) for s, w in weight.items()}
+    rows, n = [], 1500
+    for s in names:
+        rows += [(len(rows) + i, "x", s, "c") for i in range(2 * (int(weight[s] * n) + 2))]
+    got = mixing.mixed(spark.createDataFrame(rows, DOCS), targets, block_rows=2).select("slot", "source", "place").collect()
+    assert len(got) == len(rows) and len({(r.slot, r.place) for r in got}) == len(rows)
+    at = {r.slot: r.source for r in got}
+    done = Counter()
+    for t in range(n):
+        done[at[t]] += 1
+        assert max(abs(done[s] - weight[s] * (t + 1)) for s in names) < 1
+
+
 def test_packing_is_optimal(spark):
     rng = random.Random(4)
     for _ in range(20):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, small_batches
+from .common import cut, gathered, quoted, sliced
 from .graph import connected_components
 
 #: Members of one block of a bucket; a longer bucket is compared block by block in separate tasks.
@@ -18,30 +18,33 @@ BLOCK = 1024
 
 
 def tables_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(tables, bits): bits grow with the logarithm of the rows, and as many tables as give a pair at the threshold the recall."""
-    bits = min(60, max(6, math.ceil(math.log2(max(rows, 2))) - 4))
+    """(tables, bits): bits grow with the logarithm of the rows, so that unlike vectors seldom share a bucket, and as many
+    tables as give a pair at the threshold the recall."""
+    bits = min(40, max(6, math.ceil(math.log2(max(rows, 2))) + 2))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))), bits
 
 
-def _codes(dim_seed: int, tables: int, bits: int):
-    """Unit vectors and their code in each table; a class per distinct vector comes in, one row per table goes out."""
+def codes_of(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    """(vectors, tables) sign codes; the hyperplanes are made anew from the seed wherever they are needed."""
+    planes = np.random.default_rng((seed, x.shape[1])).standard_normal((x.shape[1], tables * bits))
+    signs = (x @ planes > 0).reshape(len(x), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: exact, and squares then stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _coded(seed: int, tables: int, bits: int):
+    """Adds the codes of all tables to each class of equal vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for dim, rows in batch.groupby(batch["v"].map(len)):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng((dim_seed, dim)).standard_normal((dim, tables * bits))
-                x = np.array(rows["v"].tolist(), np.float64)
-                signs = (x @ planes[dim] > 0).reshape(len(x), tables, bits)
-                codes = signs @ (1 << np.arange(bits, dtype=np.int64))
-                yield pd.DataFrame({
-                    "cid": np.repeat(rows["cid"].to_numpy(), tables), "n": np.repeat(rows["n"].to_numpy(), tables),
-                    "tab": np.tile(np.arange(tables, dtype=np.int32), len(x)), "code": codes.reshape(-1), "dim": np.int32(dim),
-                    "codes": np.repeat(np.array([c.tobytes() for c in codes], object), tables),
-                    "vec": np.repeat(np.array([v.tobytes() for v in x], object), tables),
-                })
+        for batch in sliced(batches, 1000):
+            for _, rows in batch.groupby(batch["v"].map(len)):
+                codes = codes_of(scaled(np.array(rows["v"].tolist(), np.float64)), tables, bits, seed)
+                yield rows[["cid", "n", "v"]].assign(codes=list(codes))
 
     return run
 
@@ -49,16 +52,18 @@ def _codes(dim_seed: int, tables: int, bits: int):
 def block_links(x: np.ndarray, codes: np.ndarray, n: np.ndarray, side: np.ndarray, table: int, same: bool, threshold: float):
     """(linked copies per member, links that keep the block's members connected) of one block pair.
 
-    A pair counts in the first table in which its codes agree, so its count is right however many buckets it shares.
+    A pair counts in the first table in which its codes agree (codes are those of the tables before), so its count is right however
+    many buckets it shares.
     """
-    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    x = scaled(x)
+    lengths = np.sqrt((x * x).sum(axis=1))
+    unit = x / lengths[:, None]
     near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)
     if not same:
         near &= side[:, None] != side[None, :]
     a, b = np.nonzero(near)
-    first = (codes[a, :table] != codes[b, :table]).all(axis=1) if table else np.ones(len(a), bool)
+    first = np.concatenate([(codes[a[i : i + 65536], :table] != codes[b[i : i + 65536], :table]).all(axis=1) for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
     a, b = a[first], b[first]
-    lengths = np.sqrt((x * x).sum(axis=1))
     exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
     ok = exact / (lengths[a] * lengths[b]) >= threshold
     a, b = a[ok], b[ok]
@@ -80,10 +85,10 @@ def _blocks(threshold: float):
     by = ["tab", "code", "dim", "lo", "hi"]
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
-        codes = np.frombuffer(b"".join(rows["codes"]), np.int64).reshape(len(rows), -1)
+        x = np.array(rows["v"].tolist(), np.float64)
+        codes = np.array(rows["codes"].tolist(), np.int64).reshape(len(rows), -1)
         same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        count, label = block_links(x, codes, rows["n"].to_numpy(), rows["own"].to_numpy(), int(rows["tab"].iloc[0]), same, threshold)
+        count, label = block_links(x, codes, rows["n"].to_numpy(), rows["own"].to_numpy(), codes.shape[1], same, threshold)
         cid = rows["cid"].to_numpy()
         hit = count > 0
         return pd.DataFrame({"cid": cid[hit], "add": count[hit], "hub": cid[label[hit]]})
@@ -108,35 +113,40 @@ def _blocks(threshold: float):
 
 
 def embedding_components(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.999,
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.9999,
     block: int = BLOCK, seed: int = 11,
 ) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept (id = component_id).
 
-    Cosines are taken in double precision. Vectors that are null, empty, zero or hold null or non-finite components
+    Cosines are taken in double precision, of vectors scaled by a power of two, so that huge and tiny components count like others.
+    Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing and form components of their own; so do vectors of unlike length. Equal vectors are one class
-    that counts with its size, so copies are never paired. Null ids: component of the class as for others, kept false.
+    that counts with its size, so copies are never paired. Null ids: component of the class as for others, kept false. A pair exactly at
+    the threshold is found with probability `recall`, a closer one with a higher. Other columns of vectors are left out.
+
+    The index holds a class number and a code per table; vectors travel only to buckets that two or more classes share.
     """
-    small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    number = "float" if kind == "array<float>" else "double"
+    rows = vectors.select(quoted(id_col).alias("id"), quoted(vector_col).cast(f"array<{number}>").alias("v"))
     fine = F.coalesce(
         F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False)
     )
-    rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda c: c + F.lit(0.0))))
+    rows = rows.withColumn("v", F.when(fine, F.transform("v", lambda c: c + F.lit(0.0).cast(number))))
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    classes = cut(classes.select("n", "least", "v", F.md5(F.array_join("v", ",")).alias("cid")))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "least", "v"))  # numbers are kept from here on
     tables, bits = tables_for(classes.count(), threshold, recall)
-    index = classes.select("cid", "n", "v").mapInPandas(
-        _codes(seed, tables, bits), "cid string, n long, tab int, code long, dim int, codes binary, vec binary"
-    )
+    coded = cut(classes.select("cid", "n", "v").mapInPandas(_coded(seed, tables, bits), f"cid long, n long, v array<{number}>, codes array<long>"))
+    index = coded.select("cid", F.size("v").alias("dim"), F.posexplode("codes").alias("tab", "code"))
     sizes = index.groupBy("tab", "code", "dim").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     index = index.join(sizes, ["tab", "code", "dim"])
     parts = F.ceil(F.col("m") / block).cast("int")
     index = index.withColumn("own", F.pmod(F.xxhash64("cid"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, "own").alias("lo"), F.greatest(o, "own").alias("hi")))
-    index = index.withColumn("p", F.explode(pairs)).select("tab", "code", "dim", "p.lo", "p.hi", "own", "cid", "n", "codes", "vec")
+    index = index.withColumn("p", F.explode(pairs)).select("tab", "code", "dim", "p.lo", "p.hi", "own", "cid")
+    index = index.join(coded, "cid").withColumn("codes", F.slice("codes", 1, F.col("tab")))  # those of the tables before
     by = ["tab", "code", "dim", "lo", "hi"]
-    found = cut(gathered(index, by).mapInPandas(_blocks(threshold), "cid string, add long, hub string"))
+    found = cut(gathered(index.select(*by, "own", "cid", "n", "codes", "v"), by).mapInPandas(_blocks(threshold), "cid long, add long, hub long"))
     counts = found.groupBy("cid").agg(F.sum("add").alias("others"))
     roots = connected_components(found, "cid", "hub").withColumnRenamed("node", "cid")
     classes = classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, hot_join, quoted, sliced
 
 BITS = 15
 _MARKUP = re.compile(rb"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;")
@@ -29,7 +29,7 @@ def trigrams(text: bytes) -> np.ndarray:
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trigram counts by language, summed over the task."""
     total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BITS, np.int64))
-    for batch in batches:
+    for batch in sliced(batches):
         for lang, body in zip(batch["lang"], batch["body"]):
             grams = trigrams(body)
             total[lang] += np.bincount(grams, minlength=1 << BITS)
@@ -38,13 +38,24 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "gram": at, "n": counts[at]})
 
 
+#: Languages that a text model may have; bounds its table to 16 MB.
+MOST_LANGUAGES = 64
+
+
+def language_code(lang: Column) -> Column:
+    """The code of two or three letters of a language tag, in lower case; null if it is none."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$", 1)), F.lit(""))
+
+
 def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each trigram per language) from all rows of docs that have a language.
+    """(languages, log probability of each trigram per language) from all rows of docs that have a language code.
 
-    Its size is that of the languages, a few, times 2**15.
+    More than MOST_LANGUAGES codes are an error, so the table that goes through the driver is bounded.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+    rows = docs.select(language_code(quoted(lang_col)).alias("lang"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("body")).where("lang IS NOT NULL")
+    found = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if found > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     counts = rows.mapInPandas(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique().tolist())
     table = np.zeros((len(langs), 1 << BITS))
@@ -52,33 +63,34 @@ def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         own = counts[counts["lang"] == lang]
         table[k, own["gram"].to_numpy()] = own["n"]
     table += 0.5
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table
 
 
 def host_of(url: str) -> Column:
-    rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#]*)", 1)
+    rest = F.regexp_extract(F.coalesce(quoted(url), F.lit("")), r"://([^/?#]*)", 1)
     return F.lower(rest)
 
 
 def fused(
     pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", strength: float = 5.0,
-    text_weight: float = 60.0,
+    text_weight: float = 1 / 3,
 ) -> DataFrame:
     """One row per row of pages: id_col, lang, probability, text_lang, declared, suffix.
 
-    The text's mean log likelihood counts as `text_weight` trigrams at most. What a declared language and a suffix say of
+    A trigram's log likelihood counts `text_weight`, as each letter is in three. What a declared language and a suffix say of
     the language, and the priors of hosts, are sums of text posteriors over all pages; a host's prior is smoothed by its
-    domain's with `strength` pages, and that by the corpus'; a page's own text is left out of its host's prior. Null or empty pages have
-    no text evidence and get what the other evidence says; without any languages in docs, lang is null.
+    domain's with `strength` pages, and that by the corpus'. A page's own text is left out of all these sums, so it is evidence once. Null or
+    empty pages have no text evidence and get what the other evidence says; without any languages in docs, lang is null. Equally likely
+    languages: the first in the alphabet. Repeated rows and rows without an id are rows like others. Other columns are left out.
     """
     langs, table = text_model(docs)
     host = host_of(url_col)
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    html = F.coalesce(quoted(html_col), F.lit(""))
     names = {
         "host": host, "domain": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1), "suffix": F.regexp_extract(host, r"([^.]*)$", 1),
         "declared": F.lower(F.regexp_extract(html, r"(?i)<html[^>]*?\slang=[\"']?([a-z]{2,3})", 1)),
     }
-    rows = pages.select(F.col(id_col).alias("_id"), *(c.alias(n) for n, c in names.items()), html.cast("binary").alias("_body"))
+    rows = pages.select(quoted(id_col).alias("_id"), *(c.alias(n) for n, c in names.items()), html.cast("binary").alias("_body"))
     if not langs:
         none = F.lit(None).cast("string")
         return rows.select(F.col("_id").alias(id_col), none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "declared", "suffix")
@@ -88,30 +100,32 @@ def fused(
         out = []
         for b in body:
             grams = trigrams(_MARKUP.sub(b" ", b))
-            out.append(table[:, grams].mean(axis=1) * min(len(grams), text_weight) if len(grams) else np.zeros(len(langs)))
+            out.append(table[:, grams].sum(axis=1) * text_weight)
         return pd.Series(out)
 
-    rows = cut(rows.withColumn("_t", text_logs("_body")).drop("_body"))
+    rows = rows.withColumn("_t", text_logs("_body")).drop("_body").withColumn("_rid", F.monotonically_increasing_id())
     k = range(len(langs))
     top = F.array_max("_t")
     norm = F.aggregate("_t", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    rows = rows.select("_id", *names, *(F.element_at("_t", i + 1).alias(f"t{i}") for i in k), *((F.exp(F.element_at("_t", i + 1) - top) / norm).alias(f"p{i}") for i in k))
-
-    def sums(by: str, prefix: str) -> DataFrame:
-        return rows.groupBy(F.col(by).alias(f"_{by}")).agg(*(F.sum(f"p{i}").alias(f"{prefix}{i}") for i in k))
-
-    # a hot host is one row per task in each of these aggregates
-    everything = rows.agg(*(F.sum(f"p{i}").alias(f"g{i}") for i in k))
+    rows = rows.select("_id", "_rid", *names, *(F.element_at("_t", i + 1).alias(f"t{i}") for i in k), *((F.exp(F.element_at("_t", i + 1) - top) / norm).alias(f"p{i}") for i in k))
+    rows = cut(rows)
+    everything = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"g{i}") for i in k))
+    total = everything.first()["n"]
+    summed = rows
     for by, prefix in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
-        rows = rows.join(sums(by, prefix), F.col(by) == F.col(f"_{by}")).drop(f"_{by}")
-    rows = rows.join(F.broadcast(everything))  # one row
-    total = lambda prefix: sum((F.col(f"{prefix}{i}") for i in k), F.lit(0.0))
+        # a hot key is one row per task in the aggregate, and dealt over many parts in the join
+        sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias(f"_n_{prefix}"), *(F.sum(f"p{i}").alias(f"{prefix}{i}") for i in k))
+        summed = hot_join(summed, sums, by, f"_n_{prefix}", F.col("_rid"), total)
+    rows = summed.join(F.broadcast(everything.drop("n")))  # one row
+    # sums without the page itself
+    rows = rows.withColumns({f"{prefix}{i}": F.greatest(F.col(f"{prefix}{i}") - F.col(f"p{i}"), F.lit(0.0)) for prefix in "hdsmg" for i in k})
+    all_of = lambda prefix: sum((F.col(f"{prefix}{i}") for i in k), F.lit(0.0))
     n = len(langs)
     scores = []
     for i, lang in enumerate(langs):
-        corpus = (F.col(f"g{i}") + 1) / (total("g") + n)
-        domain = (F.col(f"d{i}") + strength * corpus) / (total("d") + strength)
-        prior = (F.greatest(F.col(f"h{i}") - F.col(f"p{i}"), F.lit(0.0)) + strength * domain) / (F.greatest(total("h") - 1, F.lit(0.0)) + strength)
+        corpus = (F.col(f"g{i}") + 1) / (all_of("g") + n)
+        domain = (F.col(f"d{i}") + strength * corpus) / (all_of("d") + strength)
+        prior = (F.col(f"h{i}") + strength * domain) / (all_of("h") + strength)
         # how much likelier the declaration and the suffix are under this language; a declaration of it starts with credit
         credit = F.when(F.col("declared") == lang, 9.0 * strength).otherwise(strength)
         declared = F.when(F.col("declared") == "", 0.0).otherwise(F.log((F.col(f"m{i}") + credit) / (F.col(f"g{i}") + 10 * strength)))

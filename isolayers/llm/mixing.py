@@ -15,27 +15,10 @@ from math import gcd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, quoted, unpacked
 from .numbering import hash_parts, numbered
 
 
-def cycle_slots(sources: DataFrame, cycle: int) -> DataFrame:
-    """(source, per_cycle, j, slot) for every block of one cycle; sources: (source, weight), one row each.
-
-    Each source gets one block and a share of the others by weight, by largest remainder. More sources than slots is an error.
-    """
-    everyone = Window.partitionBy(F.lit(1))  # one row per source, at most `cycle`
-    n = F.count(F.lit(1)).over(everyone)
-    share = F.col("weight") / F.sum("weight").over(everyone) * (cycle - n)
-    shares = sources.select("source", F.when(n <= cycle, share).otherwise(F.raise_error(F.lit("more sources than slots in a cycle"))).alias("share"))
-    left = F.lit(cycle) - F.sum(F.floor("share") + 1).over(everyone)
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy((F.col("share") - F.floor("share")).desc(), "source"))
-    whole = shares.select("source", (F.floor("share") + 1 + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("e"))
-    plan = whole.agg(F.array_sort(F.collect_list(F.struct("source", "e"))).alias("src"))
-    slots = scheduled(plan, cycle, cycle, cycle, "bigint").select("slot", F.expr("src[i].source").alias("source"), F.expr("src[i].e").alias("per_cycle"))
-    j = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
-    return slots.select("source", "per_cycle", j.alias("j"), "slot")
-
-
 def scheduled(plan: DataFrame, period: int, slots: int, span: int, number: str) -> DataFrame:
     """(src, slot, i) for the first `slots` slots: i is the source that has the slot, counted from 0.
 
@@ -77,16 +60,18 @@ def mixed(
     docs: DataFrame, targets: dict[str, float], id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16,
     cycle: int = 256,
 ) -> DataFrame:
-    """The rows of docs with block, slot and place: blocks of `block_rows` rows of a source, in the order of slot, then place.
+    """The rows of docs with block, place, slot and first_out: blocks of `block_rows` rows of a source, in the order of slot, then place.
 
     Sources that targets doesn't name share what it leaves of 1 equally (or weigh as the least of it, if nothing is left).
     Null is a source like any other. Rows of a source are dealt into blocks by a hash of their id, then by id; all rows stay,
-    and a source that runs out leaves its slots empty. A target must be over 0. `cycle` slots are scheduled at a time;
-    the result doesn't depend on it.
+    and a source that runs out leaves its slots empty: from the slot first_out on, the first in which a source has no block left, the shares are those
+    of the sources that are left. A target must be over 0. `cycle` slots are scheduled at a time;
+    the result doesn't depend on it. Rows with equal ids, or none, have their order among themselves by chance. A column of docs called like a
+    new one comes back as <name>_input.
     """
     if any(w <= 0 for w in targets.values()):
         raise ValueError("a target weight must be over 0")
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")))
+    rows = packed(docs, quoted(id_col).alias("_id"), F.coalesce(F.concat(F.lit("="), quoted(source_col).cast("string")), F.lit("")).alias("_source"))
     given = [max(1, round(w * UNIT)) for _, w in sorted(targets.items())]
     others = len(given)
     class_ = F.lit(others)
@@ -102,7 +87,7 @@ def mixed(
     whole = gcd(*weights.values())
     weights = {c: w // whole for c, w in weights.items()}
     period = sum(weights.values())
-    blocks = {c: k * -(-top // block_rows) for c, (k, top) in present.items()}
+    blocks = {c: k * (-(-top // block_rows) + 1) for c, (k, top) in present.items()}
     slots = min(period, max(-(-blocks[c] * period // w) for c, w in weights.items()))
     number = "bigint" if (slots + 2) * (period + 1) < 2**62 else "decimal(38,0)"
 
@@ -118,12 +103,16 @@ def mixed(
         slot = F.broadcast(slot)
 
     turns = numbered(names.select("_source", "_class"), "_class", F.pmod(F.xxhash64("_source"), F.lit(m // 20_000 + 1)), [F.col("_source")], "_turn")
-    key = F.col(id_col)
-    rows = numbered(rows, "_source", hash_parts(docs, key), [F.xxhash64(key), key], "_at", turns)
-    block = F.floor(F.col("_at") / block_rows)
-    rows = rows.withColumn("block", block).withColumn("place", F.col("_at") % block_rows)
-    at = F.when(F.col("_class") == others, F.col("block") * m + F.col("_turn")).otherwise(F.col("block"))
+    key = F.col("_id")
+    rows = numbered(rows, "_source", hash_parts(rows, key), [F.xxhash64(key), key], "_at", turns)
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / block_rows))
+    at = F.when(F.col("_class") == others, F.col("_block") * m + F.col("_turn")).otherwise(F.col("_block"))
     rows = rows.withColumn("_b", at).withColumn("_per", per)
     rows = rows.withColumn("_j", F.col("_b") % F.col("_per")).withColumn("_cycle", F.expr("_b div _per"))
-    rows = rows.join(slot, ["_class", "_j"]).withColumn("slot", F.col("_cycle") * period + F.col("_slot"))
-    return rows.drop("_source", "_at", "_class", "_turn", "_b", "_per", "_j", "_cycle", "_slot")
+    rows = rows.join(slot, ["_class", "_j"]).withColumn("_slot", F.col("_cycle") * period + F.col("_slot"))
+    # each source's first block that isn't there, in its class' order, and the slot it would have had
+    last = names.join(turns.select("_source", "_turn"), "_source").withColumn("_block", F.ceil(F.col("rows") / block_rows)).withColumn("_b", at).withColumn("_per", per)
+    last = last.withColumn("_j", F.col("_b") % F.col("_per")).withColumn("_cycle", F.expr("_b div _per")).join(slot, ["_class", "_j"])
+    out = last.agg(F.min(F.col("_cycle") * period + F.col("_slot")).alias("_out"))  # one row
+    new = {"block": F.col("_block"), "place": F.col("_at") % block_rows, "slot": F.col("_slot"), "first_out": F.col("_out")}
+    return rows.crossJoin(F.broadcast(out)).select(*unpacked(docs.columns, new))

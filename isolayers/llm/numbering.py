@@ -27,6 +27,6 @@ def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out:
     return df.withColumn(out, F.col("_first") + F.col("_inside")).drop("_part", "_inside", "_g", "_p", "_first")
 
 
-def hash_parts(df: DataFrame, key: Column, rows_per_part: int = 20_000) -> Column:
+def hash_parts(df: DataFrame, key: Column, rows_per_part: int = 5_000) -> Column:
     """A part for numbered(): rows dealt by the hash of their key, `rows_per_part` on average."""
     return F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // rows_per_part + 1)))

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, quoted
 from .numbering import hash_parts, numbered
 
 
 def n_words(text: str) -> Column:
     """Number of words ([^\\x20\\x09-\\x0D]+) of a text column; null counts as empty."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.regexp_replace(F.coalesce(quoted(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("int")
 
 
@@ -69,9 +69,10 @@ def packed(
     A batch holds budget // bucket_tokens rows, one at least, so that padded it keeps the budget unless a single
     text is over it. Rows take their places by part and order (default: by a hash of the id). Only the histogram of lengths, whose
     size the longest text bounds, reaches the driver. Null and empty texts have 0 tokens and form bucket 0 with the shortest.
+    Repeated rows and rows without an id take places of their own. Other columns are left out.
     """
-    keep = [F.col(id_col), n_words(text_col).alias("n_tokens")]
-    key = F.col(id_col)
+    keep = [quoted(id_col).alias("_id"), n_words(text_col).alias("n_tokens")]
+    key = quoted(id_col)
     rows = docs.select(*keep, (part if part is not None else hash_parts(docs, key)).alias("_in"),
                        F.struct(*(order or [F.xxhash64(key), key])).alias("_by"))
     rows = cut(rows)  # short rows: the words of each text are counted once
@@ -84,4 +85,4 @@ def packed(
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_tokens", size)
     rows = numbered(rows, "bucket", F.col("_in"), [F.col("_by")], "_at")
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1))))
-    return rows.select(id_col, "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("_at") / capacity).alias("batch"), (F.col("_at") % capacity).alias("place"))
+    return rows.select(F.col("_id").alias(id_col), "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("_at") / capacity).alias("batch"), (F.col("_at") % capacity).alias("place"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import packed, quoted, sliced, unpacked
 from .words import Hashes, normal, spans
 
 BITS, RANK = 14, 4
@@ -108,37 +108,40 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
 
 def held_out(id_col: str):
     """Rows never learned from: crc32 of the id as text leaves 1 modulo 3."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(quoted(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in sliced(batches):
         found = [features(b, c) for b, c in zip(batch["body"], batch["n_chars"])]
         idx, x = [f[0].astype(np.int32).tobytes() for f in found], [f[1].tobytes() for f in found]
         yield pd.DataFrame({"idx": idx, "x": x, "label": batch["label"]})
 
 
 def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> Machine:
-    """Fits on at most `sample_rows` labelled rows, those with the least hash of their id; held-out rows and null labels give none."""
-    small_batches(docs.sparkSession)
-    rows = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_label_id"), "quality")
-    chosen = rows.orderBy(F.xxhash64("_label_id"), "quality").limit(sample_rows)
+    """Fits on at most `sample_rows` labelled ids, those with the least hash; held-out rows and null labels give none.
+
+    Of repeated labels of an id the least counts, of repeated rows the least text, so the fit doesn't depend on the run. The driver gets the features
+    of these rows, at most 200 KB each.
+    """
+    rows = labels.where(F.col("quality").isNotNull() & quoted(id_col).isNotNull() & ~held_out(id_col)).select(quoted(id_col).alias("_label_id"), "quality")
+    chosen = rows.groupBy("_label_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample_rows)
     sample = _inputs(docs, id_col, text_col).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))  # sample_rows rows
-    sample = sample.select("_id", "body", "n_chars", F.col("quality").cast("int").alias("label")).limit(2 * sample_rows)
-    got = sample.orderBy(F.xxhash64("_id"), "label", "body").mapInPandas(_rows_of, "idx binary, x binary, label int").collect()
+    sample = sample.groupBy("_id", "label").agg(F.min(F.struct("body", "n_chars")).alias("least")).select("_id", "label", "least.*")
+    got = sample.orderBy(F.xxhash64("_id"), "_id").mapInPandas(_rows_of, "idx binary, x binary, label int").collect()
     return fit([(np.frombuffer(r[0], np.int32), np.frombuffer(r[1])) for r in got], np.array([r[2] for r in got], float))
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     meta = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), meta.alias("n_chars"))
+    return docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("body"), meta.alias("n_chars"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     Null and empty texts are scored like others, from their statistics. Without labelled rows every score is 0.5. Repeated
-    rows get equal scores. Labels, language, source and id are no inputs. docs must have none of the new names.
+    rows get equal scores. Labels, language, source and id are no inputs. A column of docs called like a new one comes back as <name>_input.
     """
     machine = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_col, text_col, sample_rows))  # fixed size
 
@@ -148,5 +151,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.Series([m.score(*features(b, c)) for b, c in zip(body, n_chars)], dtype="float64")
 
     meta = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    out = docs.withColumn("held_out", held_out(id_col)).withColumn("score", score(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), meta))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = packed(docs, held_out(id_col).alias("held"), score(F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")), meta).alias("s"))
+    return out.select(*unpacked(docs.columns, {"held_out": F.col("held"), "score": F.col("s"), "predicted": (F.col("s") >= 0.5).cast("int")}))

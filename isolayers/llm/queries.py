@@ -13,46 +13,56 @@ TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06}
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, interleaved by source to the target weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mixed(docs, TARGETS).select("doc_id", "source", "block", "place", "slot")
+    return mixing.mixed(docs, TARGETS).select("doc_id", "source", "block", "place", "slot", "first_out")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, linked at cosine 0.95 and grouped by links."""
     return embedding_dedup.embedding_components(table(spark, sf_dir, "embeddings"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' urls, judged by rules and, where none fits, by the classifier."""
     return url_filter.judged_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 35 words that occur more than once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC records over payloads stored once, and read back."""
     return warc_archive.archived_pages(spark, table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all pages; the text model comes from all documents."""
     return language_id.fused(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, dealt into length buckets and token-budget batches."""
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, scored for quality; the labels are learned from rows that are not held out."""
     found = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as MPEG audio streams, with what reading these back gives."""
     facts = mpeg_audio.media_facts(mpeg_audio.media_column(table(spark, sf_dir, "documents")))
     return facts.select(F.col("id").alias("doc_id"), *facts.columns[1:])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with fingerprints and the components of those within 3 bits."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, small_batches
+from .common import cut, gathered, quoted
 from .graph import connected_components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text_col: str, out: str, shingle_words: int =
     def fingerprint(body: pd.Series) -> pd.Series:
         return body.map(lambda b: fingerprint_of(b, shingle_words)).astype("int64")
 
-    return docs.withColumn(out, fingerprint(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    return docs.withColumn(out, fingerprint(F.coalesce(quoted(text_col).cast("binary"), F.lit(b""))))
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -174,10 +174,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Rows with the same fingerprint always link, those of empty and null texts (fingerprint 0) included; repeated rows
-    come back repeated. Null ids get a component like any row; it is null if no row of it has an id.
+    come back repeated. Null ids get a component like any row; it is null if no row of it has an id. Other columns are left out.
     """
-    small_batches(docs.sparkSession)
-    prints = cut(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "fp").select("_id", "fp"))
+    prints = cut(fingerprints(docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")), "_text", "fp").select("_id", "fp"))
     classes = prints.groupBy("fp").agg(F.min("_id").alias("least"))
     roots = connected_components(fingerprint_links(classes.select("fp"), list_limit), "a", "b")
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -186,5 +185,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(classes, "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-

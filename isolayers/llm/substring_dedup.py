@@ -19,11 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_texts, small_batches, text_key
+from .common import distinct_texts, quoted, sliced, text_key, unpacked
 from .words import Hashes, mixed, normal, sliding, spans
 
 ANCHOR_WORDS = 12
 GROUP_LIMIT = 256
+#: Passages of hot groups that a task remembers, in bytes; a passage seen again after that is shipped again.
+SEEN_BYTES = 64 << 20
 
 
 def _anchors(text: bytes, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ def _anchors(text: bytes, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
 
 def _anchor_counts(window: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, values, counts = [], [], []
             for key, body, n in zip(batch["key"], batch["body"], batch["n"]):
                 _, _, grams, least, _ = _anchors(normal(body), window, k)
@@ -63,7 +65,8 @@ def _shipped(window: int, k: int, limit: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
-        for batch in batches:
+        held = 0
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for key, body, n, anchors, hot in zip(batch["key"], batch["body"], batch["n"], batch["anchors"], batch["hot"]):
                 text = normal(body)
@@ -88,8 +91,10 @@ def _shipped(window: int, k: int, limit: int):
                     group = int(mixed(whole[a : a + 1] ^ least[a : a + 1]).view(np.int64)[0])
                     times = seen.get(part, 0)
                     if not times:
-                        if len(seen) >= 200_000:
+                        held += len(part) + 200
+                        if held > SEEN_BYTES:
                             seen.clear()
+                            held = len(part) + 200
                         rows.append((group, owner, a, a, part))
                     else:
                         if times == 1:
@@ -190,7 +195,7 @@ def _trees(window: int, edge: int):
 
 def _kept(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             words, removed, texts, marks = [], [], [], []
             for body, n, ranges in zip(batch["body"], batch["n"], batch["ranges"]):
                 have = body.split()
@@ -219,12 +224,9 @@ def remove_repeats(
     replaced by the kept words where any went; otherwise without the text column.
 
     A word goes if any `window` consecutive words that cover it also start anywhere else in the input, the same
-    text included. All occurrences go. Windows are judged on the input. Null and empty texts have no words;
-    texts shorter than the window lose none; repeated rows repeat each other. Columns of docs are kept as they
-    are; it must have none of the new names and no _repeat_key.
+    text included. All occurrences go. Windows are judged on the input. Null and empty texts have no words (null stays null);
+    texts shorter than the window lose none; repeated rows repeat each other. A column of docs called like a new one comes back as <name>_input.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     k = min(anchor_words, window)
     texts = distinct_texts(docs, text_col)
     marks = texts.mapInPandas(_anchor_counts(window, k), "anchor long, key binary, times long")
@@ -247,14 +249,17 @@ def remove_repeats(
     result = texts.join(ranges, "key", "left").mapInPandas(
         _kept(window), "key binary, n_words long, n_removed long, kept binary, kept_sha256 string"
     )
-    new = [F.col("n_words"), F.col("n_removed"), F.col("kept_sha256")]
-    if with_text:
-        new.append(F.decode("kept", "UTF-8").alias("_repeat_text"))
-    result = result.select(F.col("key").alias("_repeat_key"), *new)
     # the rows themselves travel without their text: it comes back with the result
-    keyed = docs.withColumn("_repeat_key", text_key(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    keyed = keyed.withColumn("_repeat_null", F.col(text_col).isNull()).drop(text_col)
-    rows = keyed.join(result, "_repeat_key")
-    if with_text:
-        rows = rows.withColumn(text_col, F.when(~F.col("_repeat_null"), F.col("_repeat_text")))
-    return rows.select(*(c for c in docs.columns if with_text or c != text_col), "n_words", "n_removed", "kept_sha256")
+    body = F.coalesce(quoted(text_col).cast("binary"), F.lit(b""))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*(quoted(c) for c in others)).alias("row"), text_key(body).alias("key"), quoted(text_col).isNull().alias("none"))
+    if not with_text:
+        result = result.drop("kept")
+    new = {"n_words": F.col("n_words"), "n_removed": F.col("n_removed"), "kept_sha256": F.col("kept_sha256")}
+    found = rows.join(result, "key")
+    if not with_text:
+        return found.select(*unpacked(others, new))
+    text = F.when(~F.col("none"), F.decode("kept", "UTF-8"))
+    back = unpacked(others, new)
+    at = docs.columns.index(text_col)
+    return found.select(*back[:at], text.alias(text_col), *back[at:])

@@ -9,21 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-#: Words that mark a host or path as unwanted, from which the classifier learns by example; a parameter of judged_urls.
-SEEDS = (
-    "adult", "ads", "bet", "bets", "betting", "bonus", "casino", "cheap", "clickbait", "crack", "dating", "drugs", "escort", "farm", "free", "gambling",
-    "hack", "jackpot", "loan", "loans", "lottery", "malware", "nude", "phishing", "pills", "poker", "porn", "sex", "slots", "spam",
-    "track", "tracker", "viagra", "warez", "win", "xxx",
-)
+from .common import cut, hot_join, quoted, sliced
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Characters of the longest word that the segmentation knows; a longer name is split into words of this length at most.
 LONGEST = 20
+#: What is not text in a page.
+MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;"
 
 
 def parts(url: str) -> tuple[Column, Column]:
     """(host, path) as the contract defines them; both empty if url is null or has no ://."""
-    u = F.coalesce(F.col(url), F.lit(""))
+    u = F.coalesce(quoted(url), F.lit(""))
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.lit(2**31 - 1) - at - 3)).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,12 +42,12 @@ def _pieces(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _viterbi(name: str, logs: dict[str, float], unknown: float) -> list[str]:
+def _viterbi(name: str, logs: dict[str, float], unknown: float, longest: int) -> list[str]:
     """The likeliest split of a name into words; a character outside all words costs `unknown`, runs of such form one word."""
     best, back = [0.0], [0]
     for j in range(1, len(name) + 1):
         value, cut = best[j - 1] + unknown, j - 1
-        for i in range(max(0, j - LONGEST), j):
+        for i in range(max(0, j - longest), j):
             if (p := logs.get(name[i:j])) is not None and best[i] + p > value:
                 value, cut = best[i] + p, i
         best.append(value)
@@ -70,75 +67,96 @@ def _viterbi(name: str, logs: dict[str, float], unknown: float) -> list[str]:
     return out + [loose] * bool(loose)
 
 
-def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) for distinct names: the substrings of each name meet the word counts (word, n) in a join, so a task holds
-    the words of its names only, never the vocabulary."""
-    small_batches(names.sparkSession)
-    total = counts.agg(F.sum("n").alias("total"))
-    # longer names are split one stretch at a time, so that no name makes more than its length times LONGEST substrings
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("i"))
-    pieces = starts.select(
-        "name", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.substring(F.col("name"), F.col("i"), k))).alias("word")
-    ).distinct()
-    logs = pieces.join(counts, "word").crossJoin(F.broadcast(total)).select("name", "word", F.log(F.col("n") / F.col("total")).alias("p"))
-    by_name = logs.groupBy("name").agg(F.collect_list(F.struct("word", "p")).alias("logs"))
-    rows = names.join(by_name, "name", "left").crossJoin(F.broadcast(total))
+def _substrings(longest: int):
+    """(nid, word, whole) for each distinct substring of 2 to `longest` characters of each name; whole marks the name itself."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in sliced(batches):
+            for nid, name in zip(batch["nid"], batch["name"]):
+                for at in range(0, max(1, len(name) - 1), 10_000):  # a stretch of a very long name at a time
+                    words = {name[i : i + k] for i in range(at, min(at + 10_000, len(name))) for k in range(2, min(longest, len(name) - i) + 1)}
+                    if words:
+                        yield pd.DataFrame({"nid": nid, "word": list(words), "whole": [w == name for w in words]})
+
+    return run
+
+
+def segmented(names: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(name, words) for distinct names: (nid, name), by the counts (word, n, hosts) of the words.
+
+    n counts a word's uses in texts, hosts the hosts that use it as a whole name; a name's own host is left out, so a name that only one
+    host has doesn't vouch for itself. The substrings of each name, under its number, meet the counts in a join, so a task holds
+    the words of its names only, never the vocabulary.
+    """
+    total = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("hosts"), F.lit(0))).alias("total"))  # one row
+    pieces = names.select("nid", "name").mapInPandas(_substrings(longest), "nid long, word string, whole boolean")
+    found = pieces.join(counts, "word").withColumn("n", F.col("n") + F.col("hosts") - F.col("whole").cast("int")).where("n > 0")
+    logs = found.crossJoin(F.broadcast(total)).select("nid", F.struct("word", F.log(F.col("n") / F.col("total")).alias("p")).alias("log"))
+    by_name = logs.groupBy("nid").agg(F.collect_list("log").alias("logs"))
+    rows = names.join(by_name, "nid", "left").crossJoin(F.broadcast(total))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for name, logs, total in zip(batch["name"], batch["logs"], batch["total"]):
-                unknown = -math.log(max(2.0, 0.0 if total is None or total != total else float(total))) - 3.0
-                out.append(_viterbi(name, {x["word"]: x["p"] for x in logs} if logs is not None else {}, unknown))
+                unknown = -math.log(max(2.0, float(total))) - 3.0
+                out.append(_viterbi(name, {x["word"]: x["p"] for x in logs} if logs is not None else {}, unknown, longest))
             yield pd.DataFrame({"name": batch["name"], "words": out})
 
-    return rows.mapInPandas(split, "name string, words array<string>")
+    return rows.select("name", "logs", "total").mapInPandas(split, "name string, words array<string>")
 
 
 def judged_urls(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, seeds=SEEDS, alpha: float = 1.0
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, alpha: float = 1.0,
+    longest: int = LONGEST, hidden: int = 0,
 ) -> DataFrame:
-    """One row per row of pages: id_col, host, path, rule, verdict, words (segmented), log_odds (block over allow).
+    """One row per row of pages: id_col, host, path, rule, verdict, words (segmented), log_odds (block over allow), learned.
 
-    Word counts for the segmentation come from all addresses, all page titles and the seed words. The classifier learns from
-    all urls: block where the segmented host or path has a seed word, allow elsewhere; the smoothed counts of every word then
-    judge urls that have none of the seeds as well. Null urls and urls without :// have empty host and path, and like other
-    urls without words they follow the prior. Rows without an id are judged like any other.
+    The classifier learns from the urls that the rules decide and judges those that none fits; every row has its log_odds, so its
+    judgement can be compared with the rules'. With hidden = k, urls whose hash is divisible by k are not learned from. Words are counted
+    over the whole text of all pages, and names once for each host that uses them. Null urls and urls without :// have empty host and path,
+    and like other urls without words they follow the prior; without any url to learn from the odds are 0 and the verdict is allow.
+    Rows without an id and repeated rows are judged like any other. Other columns of pages are left out.
     """
     host, path = parts(url_col)
-    rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    text = pages.select(
-        F.concat_ws(" ", host, path, F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1) if html_col else F.lit("")).alias("t")
-    )
-    spark = pages.sparkSession
-    seed_rows = spark.createDataFrame([(w, 100) for w in seeds], "word string, n long")
-    words = text.select(F.explode(_pieces(F.col("t"))).alias("word")).where(F.length("word") <= LONGEST)
-    # a word of l letters is likelier than chance splits only if it is frequent; single letters are no words
-    counts = words.where(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(seed_rows).groupBy("word").agg(F.sum("n").alias("n"))
-    sites = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    tokens = sites.select("host", "path", "n", _pieces(F.concat_ws("/", "host", "path")).alias("names"))
-    names = tokens.select(F.explode("names").alias("name")).distinct()
-    split = segmented(names, counts)
-    parted = (
-        tokens.select("host", "path", "n", F.posexplode("names").alias("i", "name")).join(split, "name")
-        .groupBy("host", "path", "n").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda s: s["words"])).alias("words"))
-    )
-    seeded = F.arrays_overlap("words", F.array(*(F.lit(w) for w in seeds)))
-    sites = sites.join(parted.select("host", "path", "words"), ["host", "path"], "left")
-    sites = sites.withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).withColumn("bad", F.coalesce(seeded, F.lit(False)))
-    hits = sites.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg(
-        F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a")
-    )
-    sums = hits.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count(F.lit(1)).alias("v"))
-    prior = sites.agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("nb"), F.sum("n").alias("nn"))
-    odds = hits.crossJoin(F.broadcast(sums)).select(  # one row
+    rule, fixed = rule_for(F.col("host"), F.col("path"), rules)
+    rows = pages.select(quoted(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumns({"rule": rule, "fixed": fixed})
+    shown = F.pmod(F.xxhash64("host", "path"), F.lit(hidden)) != 0 if hidden else F.lit(True)
+    rows = rows.withColumn("learned", F.col("fixed").isNotNull() & shown)
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))  # numbers are kept from here on
+    tokens = rows.select("rid", "host", "path", "fixed", "learned", F.posexplode(_pieces(F.concat_ws("/", "host", "path"))).alias("i", "name"))
+    bad, good = (F.sum(F.when(F.col("learned") & (F.col("fixed") == v), 1).otherwise(0)) for v in ("block", "allow"))
+    by_host = tokens.groupBy("name", "host").agg(F.count(F.lit(1)).alias("n"), bad.alias("b"), good.alias("a"))
+    names = by_host.groupBy("name").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("uses"), F.sum("b").alias("b"), F.sum("a").alias("a"))
+    names = cut(names.withColumn("nid", F.monotonically_increasing_id()))
+    counts = names.select(F.col("name").alias("word"), F.lit(0).cast("long").alias("n"), "hosts")
+    if html_col:
+        text = F.regexp_replace(F.coalesce(quoted(html_col), F.lit("")), MARKUP, " ")
+        words = pages.select(F.explode(_pieces(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.unionByName(words.withColumn("hosts", F.lit(0).cast("long")))
+    # single letters are no words
+    counts = counts.where(F.length("word").between(2, longest)).groupBy("word").agg(F.sum("n").alias("n"), F.sum("hosts").alias("hosts"))
+    split = cut(segmented(names.select("nid", "name"), cut(counts), longest))
+
+    hits = names.select("name", "b", "a").join(split, "name").select("b", "a", F.explode("words").alias("word"))
+    hits = hits.groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    sums = hits.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count(F.lit(1)).alias("v"))  # one row
+    odds = hits.crossJoin(F.broadcast(sums)).select(
         "word", (F.log((F.col("b") + alpha) / (F.col("sb") + alpha * F.col("v"))) - F.log((F.col("a") + alpha) / (F.col("sa") + alpha * F.col("v")))).alias("w")
     )
-    scores = sites.select("host", "path", F.explode("words").alias("word")).join(odds, "word").groupBy("host", "path").agg(F.sum("w").alias("w"))
-    sites = sites.select("host", "path", "words").join(scores, ["host", "path"], "left").crossJoin(F.broadcast(prior))
-    start = F.log((F.col("nb") + alpha) / (F.col("nn") - F.col("nb") + alpha))
-    sites = sites.select("host", "path", "words", (start + F.coalesce("w", F.lit(0.0))).alias("log_odds"))
-    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    judged = rows.join(sites, ["host", "path"])
+    by_word = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum("w").alias("w"))
+    weighed = cut(split.join(by_word, "name").join(names.select("name", "uses"), "name"))
+    many = tokens.select("rid", "i", "name")
+    scored = hot_join(many, weighed, "name", "uses", F.col("rid"), weighed.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0])
+    scored = scored.groupBy("rid").agg(F.sum("w").alias("w"), F.array_sort(F.collect_list(F.struct("i", "words"))).alias("parts"))
+    scored = scored.select("rid", "w", F.flatten(F.transform("parts", lambda s: s["words"])).alias("words"))
+    is_bad, is_good = (F.sum(F.when(F.col("learned") & (F.col("fixed") == v), 1).otherwise(0)) for v in ("block", "allow"))
+    prior = rows.agg(is_bad.alias("nb"), is_good.alias("na"))  # one row
+    start = F.log((F.coalesce("nb", F.lit(0)) + alpha) / (F.coalesce("na", F.lit(0)) + alpha))
+    judged = rows.join(scored, "rid", "left").crossJoin(F.broadcast(prior)).withColumn("log_odds", start + F.coalesce("w", F.lit(0.0)))
+    words = F.coalesce("words", F.array().cast("array<string>"))
     by_odds = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
-    return judged.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, by_odds).alias("verdict"), "words", "log_odds")
+    return judged.select(
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("fixed", by_odds).alias("verdict"), words.alias("words"), "log_odds", "learned"
+    )

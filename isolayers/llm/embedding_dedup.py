@@ -20,7 +20,7 @@ BLOCK = 1024
 def tables_for(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     """(tables, bits): bits grow with the logarithm of the rows, so that unlike vectors seldom share a bucket, and as many
     tables as give a pair at the threshold the recall."""
-    bits = min(40, max(6, math.ceil(math.log2(max(rows, 2))) + 2))
+    bits = min(40, max(6, math.ceil(math.log2(max(rows, 2))) + 4))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))), bits
 
@@ -49,27 +49,25 @@ def _coded(seed: int, tables: int, bits: int):
     return run
 
 
-def block_links(x: np.ndarray, codes: np.ndarray, n: np.ndarray, side: np.ndarray, table: int, same: bool, threshold: float):
-    """(linked copies per member, links that keep the block's members connected) of one block pair.
+#: Blocks of up to this many members are compared together, many blocks at a time.
+SMALL = 24
 
-    A pair counts in the first table in which its codes agree (codes are those of the tables before), so its count is right however
-    many buckets it shares.
-    """
-    x = scaled(x)
-    lengths = np.sqrt((x * x).sum(axis=1))
-    unit = x / lengths[:, None]
-    near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)
-    if not same:
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(near)
-    first = np.concatenate([(codes[a[i : i + 65536], :table] != codes[b[i : i + 65536], :table]).all(axis=1) for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-    a, b = a[first], b[first]
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-    ok = exact / (lengths[a] * lengths[b]) >= threshold
-    a, b = a[ok], b[ok]
-    count = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
-    label = np.arange(len(x))
-    while True:
+
+def pairs_within(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members (a before b) of each group, groups of one size at a time."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(sizes):
+        x, y = np.triu_indices(size, 1)
+        at = starts[sizes == size]
+        a.append((at[:, None] + x).reshape(-1))
+        b.append((at[:, None] + y).reshape(-1))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member that each of n members is connected with by the pairs."""
+    label = np.arange(n)
+    while len(a):
         least = label.copy()
         np.minimum.at(least, a, label[b])
         np.minimum.at(least, b, label[a])
@@ -77,21 +75,56 @@ def block_links(x: np.ndarray, codes: np.ndarray, n: np.ndarray, side: np.ndarra
         if (least == label).all():
             break
         label = least
-    return count.astype(np.int64), label
+    return label
+
+
+def _at_least(x: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the exact cosine of each pair reaches the threshold; 65,536 pairs at a time."""
+    cut_ = range(0, len(a), 65536)
+    dots = [np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in cut_]
+    return np.concatenate(dots or [np.zeros(0)]) / (lengths[a] * lengths[b]) >= threshold
 
 
 def _blocks(threshold: float):
-    """Rows come sorted by bucket and block pair; each yields the counts and links of its members."""
+    """Rows come sorted by bucket and block pair; each yields the counts and links of its members.
+
+    A pair counts in the first table in which its codes agree (codes are those of the tables before), so its count is right however
+    many buckets it shares.
+    """
     by = ["tab", "code", "dim", "lo", "hi"]
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows["v"].tolist(), np.float64)
-        codes = np.array(rows["codes"].tolist(), np.int64).reshape(len(rows), -1)
-        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        count, label = block_links(x, codes, rows["n"].to_numpy(), rows["own"].to_numpy(), codes.shape[1], same, threshold)
-        cid = rows["cid"].to_numpy()
+    def found(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """Counts and links of whole blocks of vectors of one length; starts: where each block begins."""
+        x = scaled(np.array(rows["v"].tolist(), np.float64))
+        lengths, codes = np.sqrt((x * x).sum(axis=1)), rows["codes"].to_numpy()
+        sizes = np.diff(np.append(starts, len(x)))
+        few = sizes <= SMALL
+        a, b = pairs_within(starts[few], sizes[few])
+        ok = _at_least(x, lengths, a, b, threshold)
+        pairs = [(a[ok], b[ok])]
+        for i, m in zip(starts[~few], sizes[~few]):
+            unit = x[i : i + m] / lengths[i : i + m, None]
+            a, b = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))
+            ok = _at_least(x, lengths, a + i, b + i, threshold)
+            pairs.append((a[ok] + i, b[ok] + i))
+        a, b = (np.concatenate(p) for p in zip(*pairs))
+        own, same = rows["own"].to_numpy(), (rows["lo"] == rows["hi"]).to_numpy()
+        ok = same[a] | (own[a] != own[b])
+        a, b = a[ok], b[ok]
+        first = np.ones(len(a), bool)
+        tabs = rows["tab"].to_numpy()[a]
+        for tab in np.unique(tabs[tabs > 0]):
+            mine = np.flatnonzero(tabs == tab)
+            for i in range(0, len(mine), 65536):
+                part = mine[i : i + 65536]
+                members, at = np.unique(np.concatenate((a[part], b[part])), return_inverse=True)
+                held = np.stack(codes[members])
+                first[part] = (held[at[: len(part)]] != held[at[len(part) :]]).all(axis=1)
+        a, b = a[first], b[first]
+        n, cid = rows["n"].to_numpy(), rows["cid"].to_numpy()
+        count = (np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))).astype(np.int64)
         hit = count > 0
-        return pd.DataFrame({"cid": cid[hit], "add": count[hit], "hub": cid[label[hit]]})
+        return pd.DataFrame({"cid": cid[hit], "add": count[hit], "hub": cid[labels_of(len(x), a, b)[hit]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -101,13 +134,15 @@ def _blocks(threshold: float):
             if not len(batch):
                 continue
             key = batch[by].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
-            out = [found(batch.iloc[i:j]) for i, j in zip(cuts, cuts[1:]) if j - i > 1]
-            rest = batch.iloc[cuts[-1] :]
-            if out:
-                yield pd.concat(out)
-        if rest is not None and len(rest) > 1:
-            yield found(rest)
+            starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
+            rest, whole, starts = batch.iloc[starts[-1] :], batch.iloc[: starts[-1]], starts[:-1]
+            dims = whole["dim"].to_numpy()[starts] if len(starts) else starts
+            for dim in np.unique(dims):
+                keep = np.repeat(dims == dim, np.diff(np.append(starts, len(whole))))
+                sizes = np.diff(np.append(starts, len(whole)))[dims == dim]
+                yield found(whole[keep], np.cumsum(sizes) - sizes)
+        if rest is not None and len(rest):
+            yield found(rest, np.zeros(1, np.int64))
 
     return run
 

@@ -41,6 +41,14 @@ class Grid:
         at = F.floor(self._place(rho)).cast("int")
         return F.when((at >= 0) & (at < self.size), at)
 
+    def bins_closed(self, rho: Column) -> Column:
+        """Indices of the bins [level, next level] of a density, both ends included: two where it is on a level between bins."""
+        place = self._place(rho)
+        i = F.floor(place).cast("int")
+        on_edge = place == F.floor(place)
+        both = F.array(F.when(on_edge, i - 1), i)
+        return F.filter(both, lambda k: (k >= 0) & (k < self.size))
+
     def first_at_or_above(self, rho: Column) -> Column:
         """Index of the first level >= a density; may be below 0 or beyond the grid."""
         return F.ceil(self._place(rho)).cast("int")

@@ -101,5 +101,43 @@ def volume_refill(density: DataFrame, levels: DataFrame, keys: list[str], volume
     up = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rho = density.withColumn("_below", F.sum(volume).over(up("rho_idx")))
     z = levels.withColumn("_below", F.sum(volume).over(up("z")))
-    found = at_levels(z.select(*keys, "_below", "z"), keys, "_below", ["z"], rho.select(*keys, "_below").distinct(), "_below", "edge")
-    return rho.join(found, [*keys, "_below"]).select(*keys, "rho_idx", F.col("z").alias("depth"))
+    asked = rho.select(*keys, "rho_idx", "_below")
+    found = at_levels(z.select(*keys, "_below", "z"), keys, "_below", ["z"], asked, "_below", "edge", carry=("rho_idx",))
+    return found.select(*keys, "rho_idx", F.col("z").alias("depth"))
+
+
+def mid_period(df: DataFrame, mean: str, change: str) -> DataFrame:
+    """The fields of the first and the second period (begin, end), from their mean and their change."""
+    return df.withColumns({"begin": F.col(mean) - F.col(change) / 2, "end": F.col(mean) + F.col(change) / 2})
+
+
+def refined(df: DataFrame, keys: list[str], axis: str, value: str, parts: int = 100) -> DataFrame:
+    """value interpolated at `parts` equal steps between neighbouring points of an axis, the points themselves included."""
+    w = Window.partitionBy(*keys).orderBy(axis)
+    rows = df.select(*keys, axis, value, F.lead(axis).over(w).alias("_a"), F.lead(value).over(w).alias("_v"))
+    steps = F.when(F.col("_a").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)))
+    share = F.col("_k") / parts
+    at = lambda x, y: F.when(F.col("_k") == 0, F.col(x)).otherwise(F.col(x) + share * (F.col(y) - F.col(x)))
+    return rows.withColumn("_k", F.explode(steps)).select(*keys, at(axis, "_a").alias(axis), at(value, "_v").alias(value))
+
+
+def masked_column(df: DataFrame, limits: DataFrame, keys: list[str], depth: str, value: str, top: str, bottom: str) -> DataFrame:
+    """value becomes null above `top` and below `bottom` of the column's limits; a null limit doesn't mask."""
+    rows = df.join(limits.select(*keys, top, bottom), keys, "left")
+    outside = F.coalesce(F.col(depth) < F.col(top), F.lit(False)) | F.coalesce(F.col(depth) > F.col(bottom), F.lit(False))
+    return rows.withColumn(value, F.when(~outside, F.col(value))).drop(top, bottom)
+
+
+def columns_with(df: DataFrame, keys: list[str], value: str, least: int = 4) -> DataFrame:
+    """Rows of the columns that have at least `least` values (gaps are filled in such columns only)."""
+    n = F.count(value).over(Window.partitionBy(*keys))
+    return df.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+
+
+def remap_by_interpolation(df: DataFrame, keys: list[str], depth: str, volume: str, value: str, targets: DataFrame, target: str) -> DataFrame:
+    """Field at target depths: value times volume and volume, each interpolated over depth, divided; null outside of the column or without volume."""
+    from .columns import at_levels
+
+    rows = df.withColumn("_xv", F.col(value) * F.col(volume))
+    found = at_levels(rows, keys, depth, ["_xv", volume], targets, target)
+    return found.select(*keys, target, F.try_divide(F.col("_xv"), F.col(volume)).alias(value))

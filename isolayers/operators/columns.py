@@ -72,15 +72,85 @@ def bin_thickness(df: DataFrame, keys: list[str], depth: str, most: float = 6000
     return df.where((F.col(out) > 0) & (F.col(out) < most))
 
 
-def density_profile(df: DataFrame, keys: list[str], lev: str, rho: str, depth: str, values: list[str], grid: Grid, least: float = 0.2) -> DataFrame:
-    """Whole re-indexing of columns: sub-profile, interpolation, bottom bin, thickness."""
+def density_profile(
+    df: DataFrame, keys: list[str], lev: str, rho: str, depth: str, values: list[str], grid: Grid, least: float = 0.2, dz: str | None = None
+) -> DataFrame:
+    """Whole re-indexing of columns: sub-profile, interpolation, bottom bin, thickness.
+
+    One pass: each pair of levels makes its range of bins and the densest level the bottom bin in the same explode. With dz, the levels'
+    thickness, half of the densest level's is added to the bottom's depth, so that the column keeps its whole thickness.
+    """
+    names = [depth, *values]
     df = sub_profile(df, keys, lev, rho, least)
-    inside = on_density(df, keys, lev, rho, [depth, *values], grid)
-    bottom = bottom_bin(df, keys, lev, rho, [depth, *values], grid)
-    rows = inside.unionByName(bottom)
-    best = rows.groupBy(*keys, "rho_idx").agg(F.max_by(F.struct(depth, *values), F.col(depth)).alias("_v"))
-    rows = best.select(*keys, "rho_idx", *(F.col(f"_v.{v}").alias(v) for v in (depth, *values)))
-    return bin_thickness(rows, keys, depth)
+    w = Window.partitionBy(*keys).orderBy(lev)
+    densest = F.max(F.struct(F.col(rho), F.col(lev))).over(Window.partitionBy(*keys))
+    nexts = [F.lead(v).over(w).alias(f"_next_{v}") for v in (rho, *names)]
+    rows = df.select(*keys, lev, rho, *names, *([dz] if dz else []), *nexts, densest.alias("_d"))
+    first = F.greatest(grid.first_at_or_above(F.col(rho)), F.lit(0))
+    last = F.least(grid.first_at_or_above(F.col(f"_next_{rho}")) - 1, F.lit(grid.size - 1))
+    inside = F.when((F.col(f"_next_{rho}") > F.col(rho)) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    is_bottom = (F.col(rho) == F.col(f"_d.{rho}")) & (F.col(lev) == F.col(f"_d.{lev}")) & (first < grid.size)
+    bins = F.transform(inside, lambda i: F.struct(i.alias("i"), F.lit(False).alias("bottom")))
+    bottom = F.when(is_bottom, F.array(F.struct(first.alias("i"), F.lit(True).alias("bottom"))))
+    rows = rows.withColumn("_at", F.explode(F.concat(bins, F.coalesce(bottom, F.filter(bins, lambda x: F.lit(False))))))
+    share = (grid.value(F.col("_at.i")) - F.col(rho)) / (F.col(f"_next_{rho}") - F.col(rho))
+    at = [F.when(F.col("_at.bottom"), F.col(v)).otherwise(F.col(v) + share * (F.col(f"_next_{v}") - F.col(v))).alias(v) for v in names]
+    if dz:
+        at[0] = (F.when(F.col("_at.bottom"), F.col(depth) + F.col(dz) / 2).otherwise(F.col(depth) + share * (F.col(f"_next_{depth}") - F.col(depth)))).alias(depth)
+    rows = rows.select(*keys, lev, F.col("_at.i").alias("rho_idx"), F.col("_at.bottom").alias("_bottom"), *at)
+    # of several pairs the deepest; of it and the bottom the one of larger depth
+    of = lambda c: F.max_by(F.struct(*names), F.when(c, F.col(lev)))
+    best = rows.groupBy(*keys, "rho_idx").agg(of(~F.col("_bottom")).alias("_a"), of(F.col("_bottom")).alias("_b"))
+    deeper = F.col(f"_b.{depth}").isNotNull() & (F.col(f"_a.{depth}").isNull() | (F.col(f"_b.{depth}") > F.col(f"_a.{depth}")))
+    rows = best.select(*keys, "rho_idx", F.when(deeper, F.col("_b")).otherwise(F.col("_a")).alias("_v"))
+    return bin_thickness(rows.select(*keys, "rho_idx", *(F.col(f"_v.{v}").alias(v) for v in names)), keys, depth)
+
+
+def flux_on_density(df: DataFrame, keys: list[str], lev: str, rho: str, depth: str, amount: Column, grid: Grid, least: float = 0.2, out: str = "flux") -> DataFrame:
+    """Bins of each column with their depth, thickness and share of an extensive amount per level (thickness times velocity).
+
+    The amount below each level is interpolated to the bins and differenced; the lightest bin takes all above it and the densest all that is left, so
+    the column's total is conserved.
+    """
+    df = from_bottom(df, keys, lev, amount, "_below")
+    total = F.first("_below").over(Window.partitionBy(*keys).orderBy(lev).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = density_profile(df.withColumn("_total", total), keys, lev, rho, depth, ["_below", "_total"], grid, least)
+    w = Window.partitionBy(*keys).orderBy("rho_idx")
+    above = F.coalesce(F.lag("_below").over(w), F.col("_total"))
+    below = F.when(F.lead("rho_idx").over(w).isNotNull(), F.col("_below")).otherwise(0.0)
+    return rows.select(*keys, "rho_idx", depth, "thick", (above - below).alias(out))
+
+
+def conservation(before: DataFrame, after: DataFrame, keys: list[str], amounts: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Sums of amounts per key in two tables: <amount>_before, <amount>_after, and kept: whether all agree within a relative tolerance.
+
+    A key that only one table has is not kept.
+    """
+    sums = lambda df, tail: df.groupBy(*keys).agg(*(F.sum(a).alias(a + tail) for a in amounts))
+    rows = sums(before, "_before").join(sums(after, "_after"), keys, "full")
+    same = F.lit(True)
+    for a in amounts:
+        x, y = F.col(a + "_before"), F.col(a + "_after")
+        same = same & F.coalesce(F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y), F.lit(1.0)), F.lit(False))
+    return rows.withColumn("kept", same)
+
+
+def content_layers(df: DataFrame, keys: list[str], rho: str, content: str, volume: str, edges: list[float], offset: float = 0.0) -> DataFrame:
+    """Volume and volume-weighted mean content (plus an offset) in the layers between density interfaces: layer 0 is lighter than the first, layer i
+    is [edge i - 1, edge i), the last has what is densest."""
+    layer = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col(rho)))
+    rows = df.where(F.col(rho).isNotNull() & F.col(content).isNotNull() & (F.col(volume) > 0)).withColumn("layer", layer)
+    mean = F.sum(F.col(content) * F.col(volume)) / F.sum(volume) + offset
+    return rows.groupBy(*keys, "layer").agg(mean.alias(content), F.sum(volume).alias(volume))
+
+
+def layer_heights(df: DataFrame, keys: list[str], depth: str, bottom: str, area: str) -> DataFrame:
+    """Height and volume of the layers between neighbouring isopycnals (rho_idx is the upper one's): a layer without a lower isopycnal ends at the bottom, one
+    without an upper begins at the surface."""
+    w = Window.partitionBy(*keys).orderBy("rho_idx")
+    low, up = F.lead(depth).over(w), F.col(depth)
+    height = F.coalesce(low, F.when(up.isNotNull(), F.col(bottom))) - F.coalesce(up, F.lit(0.0))
+    return df.withColumn("height", height).withColumn("volume", F.col("height") * F.col(area)).where("height IS NOT NULL")
 
 
 def from_bottom(df: DataFrame, keys: list[str], lev: str, amount: Column, out: str) -> DataFrame:
@@ -98,11 +168,12 @@ def without_drift(df: DataFrame, drift: DataFrame, mean: DataFrame, keys: list[s
     return out.withColumns(fixed).drop(*(f"_d_{v}" for v in values), *(f"_m_{v}" for v in values))
 
 
-def at_levels(df: DataFrame, keys: list[str], x: str, values: list[str], targets: DataFrame, target: str, outside: str = "null") -> DataFrame:
+def at_levels(df: DataFrame, keys: list[str], x: str, values: list[str], targets: DataFrame, target: str, outside: str = "null", carry: tuple[str, ...] = ()) -> DataFrame:
     """Linear interpolation of values over x at the rows of targets (keys, target); outside the range null, 0, or the nearest value
-    (outside="null", "zero", "edge"). Points and targets meet in one sorted window, so no range join is made."""
-    points = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x"), *(F.when(F.lit(True), F.struct(F.col(x).alias("x"), F.col(v).alias("v"))).alias(v) for v in values), F.lit(0).alias("_t"))
-    asked = targets.select(*keys, F.col(target).alias("_x"), *(F.lit(None).cast(points.schema[v].dataType).alias(v) for v in values), F.lit(1).alias("_t"))
+    (outside="null", "zero", "edge"). Points and targets meet in one sorted window, so no range join is made. Columns of targets in `carry` come along."""
+    kinds = {c: targets.schema[c].dataType for c in carry}
+    points = df.where(F.col(x).isNotNull()).select(*keys, *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()), F.col(x).alias("_x"), *(F.when(F.lit(True), F.struct(F.col(x).alias("x"), F.col(v).alias("v"))).alias(v) for v in values), F.lit(0).alias("_t"))
+    asked = targets.select(*keys, *carry, F.col(target).alias("_x"), *(F.lit(None).cast(points.schema[v].dataType).alias(v) for v in values), F.lit(1).alias("_t"))
     both = points.unionByName(asked)
     up = Window.partitionBy(*keys).orderBy("_x", "_t").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys).orderBy(F.col("_x").desc(), "_t").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,4 +185,4 @@ def at_levels(df: DataFrame, keys: list[str], x: str, values: list[str], targets
         rest = {"null": F.lit(None).cast("double"), "zero": F.lit(0.0), "edge": F.coalesce(a["v"], b["v"])}[outside]
         return F.when(a.isNotNull() & b.isNotNull(), line).otherwise(rest)
 
-    return both.where("_t = 1").select(*keys, F.col("_x").alias(target), *(value(v).alias(v) for v in values))
+    return both.where("_t = 1").select(*keys, *carry, F.col("_x").alias(target), *(value(v).alias(v) for v in values))

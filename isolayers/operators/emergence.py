@@ -10,9 +10,10 @@ def time_of_emergence(df: DataFrame, keys: list[str], time: str, signal: Column,
     """Index after the last step that has not emerged (|signal| >= mult * noise); N steps from 0.
 
     A missing signal or noise has not emerged. Never emerged gives N; always emerged N as well, or 0 if strict. A plain aggregate: no
-    order of the rows is needed.
+    order of the rows is needed. Differences under half a unit of the ninth decimal are rounding and count as equal, so exact ties don't depend
+    on the order of sums.
     """
-    on = F.coalesce(F.abs(signal) >= mult * noise, F.lit(False))
+    on = F.coalesce(F.round(F.abs(signal) - mult * noise, 9) >= 0, F.lit(False))
     rows = df.groupBy(*keys).agg(F.max(F.when(~on, F.col(time))).alias("_off"), F.count(F.lit(1)).alias("_n"), F.min(time).alias("_t0"))
     always = F.lit(0) if strict else F.col("_n")
     return rows.select(*keys, F.coalesce(F.col("_off") - F.col("_t0") + 1, always).cast("int").alias(out))
@@ -100,3 +101,38 @@ def concatenated(first: DataFrame, second: DataFrame, ids: list[str], year: str,
     a = first.join(second.select(*ids).distinct(), ids, "left_semi")
     b = second.join(first.select(*ids).distinct(), ids, "left_semi").withColumn(year, F.col(year) + shift)
     return a.unionByName(b)
+
+
+def signal_of_scenarios(
+    hist: DataFrame, natural: DataFrame, future: DataFrame, control: DataFrame, ids: list[str], point: list[str], year: str, value: str, out: str = "signal"
+) -> DataFrame:
+    """(ids, point, year, signal): historical runs minus the natural ensemble's mean of the same year, then future runs minus the control's mean in time.
+
+    ids name a run, point where it is. Only runs that have both parts count.
+    """
+    base = natural.groupBy(*point, year).agg(F.avg(value).alias("_c"))
+    level = control.groupBy(*point).agg(F.avg(value).alias("_c"))
+    first = hist.join(future.select(*ids).distinct(), ids, "left_semi").join(base, [*point, year])
+    second = future.join(hist.select(*ids).distinct(), ids, "left_semi").join(level, point)
+    part = lambda df: df.select(*ids, *point, year, (F.col(value) - F.col("_c")).alias(out))
+    return part(first).unionByName(part(second))
+
+
+def average_of_emergence(toe: DataFrame, boxes: DataFrame, on: list[str], keys: list[str], lat: str, rho: str, value: str = "toe", inclusive: bool = False) -> DataFrame:
+    """Box average of the times of emergence of points, rounded to the nearest even."""
+    found = box_average(toe, boxes, on, keys, lat, rho, value, inclusive)
+    return found.withColumn(value, F.rint(value).cast("int"))
+
+
+def paired_with_noise(toe: DataFrame, noise: DataFrame, keys: list[str], scenario: str) -> DataFrame:
+    """Median time of emergence and largest noise per key and scenario, for those that have both."""
+    t = toe.groupBy(*keys, scenario).agg(F.median("toe").alias("toe"))
+    n = noise.groupBy(*keys, scenario).agg(F.max("noise").alias("noise"))
+    return t.join(n, [*keys, scenario])
+
+
+def box_series(df: DataFrame, control: DataFrame, boxes: DataFrame, on: list[str], keys: list[str], time: str, lat: str, rho: str, value: str, inclusive: bool = False) -> DataFrame:
+    """Box average at each time minus the control's mean box average."""
+    run = box_average(df, boxes, on, [*keys, time], lat, rho, value, inclusive)
+    base = box_average(control, boxes, on, [*keys, time], lat, rho, value, inclusive).groupBy(*keys).agg(F.avg(value).alias("_c"))
+    return run.join(base, keys).select(*keys, time, (F.col(value) - F.col("_c")).alias(value))

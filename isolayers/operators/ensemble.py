@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def time_window(df: DataFrame, time: str, start: int | None = None, end: int | None = None, last: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Times from start (inclusive) to end (exclusive), or the `last` times of each key."""
+    """Times from start (inclusive) to end (exclusive), or the `last` times of each key (of the table without keys)."""
+    if last is not None and not keys:
+        return df.join(F.broadcast(df.agg(F.max(time).alias("_top")))).where(F.col(time) > F.col("_top") - last).drop("_top")  # one row
     if last is not None:
-        newest = F.max(time).over(Window.partitionBy(*(keys or [F.lit(1)])))
+        newest = F.max(time).over(Window.partitionBy(*keys))
         return df.withColumn("_top", newest).where(F.col(time) > F.col("_top") - last).drop("_top")
     return df.where((F.col(time) >= start) & (F.col(time) < end))
 

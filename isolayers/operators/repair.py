@@ -82,6 +82,26 @@ def deepest_valid(df: DataFrame, cell: list[str], depth: str, value: str) -> Dat
     return df.groupBy(*cell).agg(F.max(F.when(F.col(value).isNotNull(), F.col(depth))).alias("depth_max"))
 
 
+def points_corrected(cells: DataFrame, points: DataFrame, basin: str = "basin") -> DataFrame:
+    """cells (cell, lat, lon, basin) with another basin at the cells nearest to listed points (lat, lon, before, after) whose basin is `before`.
+
+    The list is short and written by hand. Each task finds the nearest of its cells to each point, so one row per point and task is shuffled.
+    """
+    p = points.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("before").alias("_before"), F.col("after").alias("_after"))
+    half = lambda a, b: F.sin(F.radians(F.col(a) - F.col(b)) / 2) ** 2
+    arc = half("lat", "_plat") + F.cos(F.radians("lat")) * F.cos(F.radians("_plat")) * half("lon", "_plon")
+    near = cells.join(F.broadcast(p), F.col(basin) == F.col("_before"))
+    near = near.groupBy("_plat", "_plon", "_before", "_after").agg(F.min_by("cell", F.struct(F.round(arc, 15), F.col("cell"))).alias("cell"))
+    fixed = near.groupBy("cell").agg(F.min("_after").alias("_new"))
+    return cells.join(fixed, "cell", "left").withColumn(basin, F.coalesce("_new", basin)).drop("_new")
+
+
+def normalised_areas(cells: DataFrame, area: str, earth: float = 510.072e12) -> DataFrame:
+    """Areas scaled so that all cells add up to the Earth's area (m2)."""
+    total = cells.agg(F.sum(area).alias("_all"))
+    return cells.join(F.broadcast(total)).withColumn(area, F.col(area) / F.col("_all") * earth).drop("_all")  # one row
+
+
 def cell_areas(lats: DataFrame, lons: DataFrame, radius: float = 6371e3) -> DataFrame:
     """(lat, lon, area, scalex, scaley) of the cells of two axes: edges are midpoints, the poles end the first and last latitude, and the first and
     last longitude take their neighbour's width."""

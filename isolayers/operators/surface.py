@@ -19,9 +19,33 @@ def outcrop_transformation(df: DataFrame, keys: list[str], rho: str, fluxes: lis
 
 
 def formation(df: DataFrame, keys: list[str], flux: str, out: str = "formation") -> DataFrame:
-    """Minus the difference of the transformation to the next bin that is there; null at the last."""
-    after = F.lead(flux).over(Window.partitionBy(*keys).orderBy("rho_idx"))
-    return df.withColumn(out, -(after - F.col(flux)))
+    """Minus the difference of the transformation to the next bin; null at the last and where the next bin has no outcrop."""
+    w = Window.partitionBy(*keys).orderBy("rho_idx")
+    next_bin = F.lead("rho_idx").over(w) == F.col("rho_idx") + 1
+    return df.withColumn(out, F.when(next_bin, F.col(flux) - F.lead(flux).over(w)))
+
+
+def in_regions(df: DataFrame, regions: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Rows once for each region they lie in. regions: (region, latmin, latmax, lonmin, lonmax), a short list that is broadcast; a region with
+    lonmin > lonmax reaches over the date line; upper limits are excluded."""
+    y, x = F.col(lat), F.col(lon)
+    inside = (y >= F.col("latmin")) & (y < F.col("latmax"))
+    east, west = x >= F.col("lonmin"), x < F.col("lonmax")
+    inside = inside & F.when(F.col("lonmin") <= F.col("lonmax"), east & west).otherwise(east | west)
+    return df.join(F.broadcast(regions), inside).drop("latmin", "latmax", "lonmin", "lonmax")  # a list written by hand
+
+
+def season(month: Column) -> Column:
+    """DJF, MAM, JJA or SON of a month from 1 to 12."""
+    names = F.array(*(F.lit(n) for n in ("DJF", "MAM", "JJA", "SON")))
+    return F.element_at(names, (F.floor(F.pmod(month, F.lit(12)) / 3) + 1).cast("int"))
+
+
+def run_difference(run: DataFrame, control: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """run minus control per key; what only one of them has counts as 0 in the other."""
+    other = control.select(*keys, *(F.col(v).alias(f"_c_{v}") for v in values))
+    both = run.select(*keys, *values).join(other, keys, "full")
+    return both.select(*keys, *((F.coalesce(F.col(v), F.lit(0.0)) - F.coalesce(F.col(f"_c_{v}"), F.lit(0.0))).alias(v) for v in values))
 
 
 def domain_integrals(df: DataFrame, keys: list[str], lat: str, flux: str, area: str, factor: float = 1.0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,14 @@ def persistence(df: DataFrame, keys: list[str], thick: str, months: int = 12, ou
     return df.groupBy(*keys).agg((100.0 * F.count(thick) / months).alias(out)).where(F.col(out) > 0)
 
 
+def annual_bins(df: DataFrame, keys: list[str], depth: str, values: list[str], thick: str, months: int = 12) -> DataFrame:
+    """annual_mean and persistence (pers) from one aggregate."""
+    good = F.count(F.when(F.col(depth) != 0, 1))
+    names = dict.fromkeys((depth, *values, thick))
+    means = ((F.sum(v) / F.nullif(good, F.lit(0))).alias(v) for v in names)
+    return df.groupBy(*keys).agg(*means, (100.0 * F.count(thick) / months).alias("pers"))
+
+
 def bowl(df: DataFrame, keys: list[str], pers: str, depth: str, values: list[str], least: float = 99.0, deep: float = 300.0) -> DataFrame:
     """Per column the lightest persistent bin with its values; without one, the bin above the densest if the column is deeper
     than `deep`, else a null."""
@@ -66,20 +77,36 @@ def persistent_totals(df: DataFrame, column: list[str], group: list[str], pers:
 def inverse_distance_weights(source: DataFrame, target: DataFrame, nearest: int = 4, tile: float = 5.0) -> DataFrame:
     """(src_cell, dst_cell, weight) of the `nearest` source cells of each target cell (cell, lat, lon in degrees).
 
-    Cells meet by tiles of `tile` degrees and their neighbours, with the longitude closed around the globe; tile must exceed the
-    distance to the cells wanted.
+    Cells are points on the unit sphere and meet in cubes of `tile` degrees and their neighbours, which hold all sources within a tile's length,
+    at the poles as elsewhere. Targets that have fewer than `nearest` sources so near are sought again in cubes of twice the size, up to
+    the whole sphere, so every target gets its true nearest cells. Of equally near cells the lower source cell counts.
     """
-    across = round(360 / tile)
-    ty, tx = F.floor(F.col("lat") / tile), F.pmod(F.floor(F.col("lon") / tile), F.lit(across))
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    s = source.select(F.col("cell").alias("src_cell"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), ty.alias("ty"), tx.alias("tx"))
-    t = target.select("cell", "lat", "lon", ty.alias("_ty"), tx.alias("_tx"), around.alias("_n"))
-    t = t.select(F.col("cell").alias("dst_cell"), "lat", "lon", (F.col("_ty") + F.col("_n.dy")).alias("ty"), F.pmod(F.col("_tx") + F.col("_n.dx"), F.lit(across)).alias("tx"))
-    a, b = F.radians("lat"), F.radians("_lat")
-    cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(F.col("lon") - F.col("_lon")))
-    rows = t.join(s, ["ty", "tx"]).withColumn("_d", F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))).dropDuplicates(["dst_cell", "src_cell"])
-    rank = F.row_number().over(Window.partitionBy("dst_cell").orderBy("_d", "src_cell"))
-    rows = rows.withColumn("_r", rank).where(F.col("_r") <= nearest).withColumn("_w", 1 / (F.col("_d") + 1e-9))
+    def point(df: DataFrame, name: str) -> DataFrame:
+        y, x = F.radians("lat"), F.radians("lon")
+        return df.select(F.col("cell").alias(name), (F.cos(y) * F.cos(x)).alias("_x"), (F.cos(y) * F.sin(x)).alias("_y"), F.sin(y).alias("_z"))
+
+    s, left, size, found = point(source, "src_cell"), point(target, "dst_cell"), 2 * math.sin(math.radians(tile) / 2), None
+    axes = ("_x", "_y", "_z")
+    while True:
+        whole = size >= 2  # no two points are further apart
+        cube = lambda c: F.floor(F.col(c) / size)
+        around = F.array(*(F.struct(*(F.lit(d).alias(c) for d, c in zip(ds, axes))) for ds in itertools.product((-1, 0, 1), repeat=3)))
+        a = s.select("src_cell", *(F.col(c).alias(f"{c}s") for c in axes), *(cube(c).alias(f"_c{c}") for c in axes))
+        b = left.select("dst_cell", *axes, F.explode(around).alias("_n")).select("dst_cell", *axes, *((cube(c) + F.col(f"_n.{c}")).alias(f"_c{c}") for c in axes))
+        chord = F.sqrt(sum(((F.col(c) - F.col(f"{c}s")) ** 2 for c in axes), F.lit(0.0)))
+        rows = b.join(a, [f"_c{c}" for c in axes]).select("dst_cell", "src_cell", F.round(chord, 12).alias("_d"))
+        w = Window.partitionBy("dst_cell").orderBy("_d", "src_cell")
+        rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= nearest)
+        if not whole:
+            sure = F.sum(F.when(F.col("_d") <= size, 1)).over(Window.partitionBy("dst_cell"))
+            rows = rows.withColumn("_sure", sure).where(F.col("_sure") == nearest).drop("_sure")
+            left = left.join(rows.select("dst_cell").distinct(), "dst_cell", "left_anti")
+        found = rows if found is None else found.unionByName(rows)
+        if whole:
+            break
+        size *= 2
+    arc = 2 * F.asin(F.least(F.col("_d") / 2, F.lit(1.0)))
+    rows = found.withColumn("_w", 1 / (arc + 1e-9))
     return rows.select("src_cell", "dst_cell", (F.col("_w") / F.sum("_w").over(Window.partitionBy("dst_cell"))).alias("weight"))
 
 
@@ -91,3 +118,14 @@ def regrid(df: DataFrame, weights: DataFrame, cell: str, keys: list[str], values
         *(F.try_divide(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v) for v in values)
     )
     return means
+
+
+def zonal_transport(df: DataFrame, keys: list[str], flux: str, width: str, factor: float = 1e-6, out: str = "transport") -> DataFrame:
+    """Sum over longitude of a flux per width (m2/s) times the cells' width, in 1e6 m3/s by default."""
+    return df.groupBy(*keys).agg((F.sum(F.col(flux) * F.col(width)) * factor).alias(out))
+
+
+def with_axes(df: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of another dataset's axis table in place of its own of the same names."""
+    new = [c for c in axes.columns if c not in keys]
+    return df.drop(*new).join(axes, keys)

@@ -24,9 +24,7 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annual(spark: SparkSession, d: str) -> DataFrame:
-    rows = profile(spark, d)
-    means = time_space.annual_mean(rows, ["cell", "y", "rho_idx"], "z", ["t", "s", "thick"])
-    return means.join(time_space.persistence(rows, ["cell", "y", "rho_idx"], "thick"), ["cell", "y", "rho_idx"])
+    return time_space.annual_bins(profile(spark, d), ["cell", "y", "rho_idx"], "z", ["t", "s"], "thick")
 
 
 def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -90,9 +88,16 @@ def vertical_integral_from_bottom(spark, d):
     return rows.select(*KEYS, "lev", (F.round("below", 3) + F.lit(0.0)).alias("below"))
 
 
-@query(f"WITH {PROFILE} SELECT cell, y, m, round(sum(thick), 3)+0 total, round(max(z), 3)+0 bottom FROM prof GROUP BY ALL")
+@query(f"""WITH {OCEAN}, {sub_sql()}, dz AS (SELECT cell, y, m, lev, coalesce(lead(z) OVER w - z, z - lag(z) OVER w) dz FROM o WINDOW w AS (PARTITION BY cell, y, m ORDER BY lev))
+    SELECT cell, y, m, round(arg_max(z + dz/2, (rho, lev)), 3)+0 total, true kept FROM sub JOIN dz USING (cell, y, m, lev) GROUP BY ALL HAVING count(dz) > 0 AND arg_max(coalesce(dz, -1), (rho, lev)) >= 0""")
 def integral_conservation(spark, d):
-    return profile(spark, d).groupBy(*KEYS).agg((F.round(F.sum("thick"), 3) + 0.0).alias("total"), (F.round(F.max("z"), 3) + 0.0).alias("bottom"))
+    """The bins' thickness against the depth of the lower edge of the densest level, column by column."""
+    rows = columns.level_thickness(ocean(spark, d), KEYS, "lev", "z")
+    found = columns.density_profile(rows, KEYS, "lev", "rho", "z", ["t"], GRID, dz="dz").withColumnRenamed("thick", "volume")
+    sub = columns.sub_profile(rows, KEYS, "lev", "rho")
+    whole = sub.groupBy(*KEYS).agg(F.max_by(F.col("z") + F.col("dz") / 2, F.struct("rho", "lev")).alias("volume")).where("volume IS NOT NULL")
+    compared = columns.conservation(whole, found.join(whole.select(*KEYS), KEYS, "left_semi"), KEYS, ["volume"])
+    return compared.select(*KEYS, (F.round("volume_after", 3) + 0.0).alias("total"), "kept")
 
 
 @query(f"WITH {PROFILE}, {ANNUAL} SELECT cell, y, rho_idx, round(pers + 1.3e-7, 4)+0 pers FROM ann")
@@ -326,10 +331,10 @@ def cell_area_scale(spark, d):
     return found.select("lat", "lon", (F.round(F.col("area") / 1e6, 2) + 0.0).alias("area"), (F.round("scalex", 2) + 0.0).alias("scalex"))
 
 
-@query("""WITH s AS (SELECT s_suppkey c, -60e0 + (s_suppkey * 17 % 1200)/10e0 la, (s_suppkey * 53 % 3600)/10e0 lo, s_acctbal v FROM supplier),
-    t AS (SELECT c_custkey c, -60e0 + (c_custkey * 7 % 1200)/10e0 la, (c_custkey * 29 % 3600)/10e0 lo FROM customer),
-    p AS (SELECT t.c dst, s.c src, v, acos(least(greatest(sin(radians(t.la))*sin(radians(s.la))+cos(radians(t.la))*cos(radians(s.la))*cos(radians(t.lo-s.lo)), -1), 1)) dd FROM t JOIN s
-      ON abs(floor(t.la/30)-floor(s.la/30)) <= 1 AND ((floor(t.lo/30)-floor(s.lo/30)+13) % 12) <= 2),
+@query("""WITH s AS (SELECT s_suppkey c, -90e0 + (s_suppkey * 17 % 1800)/10e0 la, (s_suppkey * 53 % 3600)/10e0 lo, s_acctbal v FROM supplier),
+    t AS (SELECT c_custkey c, -90e0 + (c_custkey * 7 % 1800)/10e0 la, (c_custkey * 29 % 3600)/10e0 lo FROM customer),
+    u AS (SELECT c, v, cos(radians(la))*cos(radians(lo)) x, cos(radians(la))*sin(radians(lo)) y, sin(radians(la)) z FROM s), w AS (SELECT c, cos(radians(la))*cos(radians(lo)) x, cos(radians(la))*sin(radians(lo)) y, sin(radians(la)) z FROM t),
+    p0 AS (SELECT w.c dst, u.c src, v, round(sqrt((u.x-w.x)**2+(u.y-w.y)**2+(u.z-w.z)**2), 12) ch FROM w, u), p AS (SELECT *, 2*asin(least(ch/2, 1)) dd FROM p0),
     k AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY dd, src) r FROM p)
     SELECT dst cell, round(sum(v/(dd+1e-9))/sum(1/(dd+1e-9)) + 1.3e-7, 4)+0 v FROM k WHERE r <= 4 GROUP BY dst""")
 def regrid_inverse_distance(spark, d):
@@ -337,7 +342,7 @@ def regrid_inverse_distance(spark, d):
 
     def cells(name, key, a, b):
         k = F.col(key)
-        return table(spark, d, name).select(k.alias("cell"), (F.lit(-60.0) + (k * a % 1200) / F.lit(10.0)).alias("lat"), ((k * b % 3600) / F.lit(10.0)).alias("lon"))
+        return table(spark, d, name).select(k.alias("cell"), (F.lit(-90.0) + (k * a % 1800) / F.lit(10.0)).alias("lat"), ((k * b % 3600) / F.lit(10.0)).alias("lon"))
 
     weights = time_space.inverse_distance_weights(cells("supplier", "s_suppkey", 17, 53), cells("customer", "c_custkey", 7, 29), 4, 30.0)
     field = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_acctbal").alias("v"))

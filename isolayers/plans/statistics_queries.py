@@ -140,19 +140,19 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
     return months.select("*", F.stddev_pop(F.when(F.col("i") < 24, F.col("v"))).over(w).alias("n1"), F.stddev_pop("v").over(w).alias("n2"))
 
 
-@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= n1, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
+@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - n1, 9) >= 0, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
 def toe_point(spark, d):
     return emergence.time_of_emergence(signal(spark, d), ["k"], "i", F.col("x"), F.col("n1"))
 
 
-@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= 0.2*CASE WHEN i < 30 THEN n1 ELSE n2 END, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
+@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.2*CASE WHEN i < 30 THEN n1 ELSE n2 END, 9) >= 0, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
 def toe_two_thresholds(spark, d):
     return emergence.time_of_emergence_2(signal(spark, d), ["k"], "i", F.col("x"), F.col("n1"), F.col("n2"), 30, 0.2)
 
 
 @query(f"""WITH {ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), n AS (SELECT lat, r, max(s) s FROM (SELECT lat, r, member, stddev_pop(v) s FROM e GROUP BY ALL) GROUP BY ALL),
     q AS (SELECT member, lat, r, y, v - c x, s, row_number() OVER (PARTITION BY member, lat, r ORDER BY y) - 1 i, mult FROM e JOIN c USING (lat, r) JOIN n USING (lat, r), (SELECT unnest([0.5e0, 1e0]) mult))
-    SELECT member, lat, r, mult, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= mult*s, false) THEN j END) + 1, count(*)) AS INT) toe
+    SELECT member, lat, r, mult, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - mult*s, 9) >= 0, false) THEN j END) + 1, count(*)) AS INT) toe
     FROM (SELECT *, dense_rank() OVER (PARTITION BY member, lat, r ORDER BY y) - 1 j FROM q) GROUP BY ALL""")
 def toe_ensemble(spark, d):
     from pyspark.sql import Window
@@ -204,7 +204,7 @@ def noise_std_avg(spark, d):
 
 @query(f"""WITH {ENS}, {BOX}, ba AS (SELECT * FROM {_box_sql('e', 'model, member, y')}), ct AS (SELECT model, y, avg(v) c FROM ba GROUP BY ALL),
     nz AS (SELECT model, max(s) s FROM (SELECT model, member, stddev_pop(v) s FROM ba GROUP BY ALL) GROUP BY ALL), q AS (SELECT model, member, y - 1995 i, v - c x, s FROM ba JOIN ct USING (model, y) JOIN nz USING (model))
-    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= 0.3*s, false) THEN i END) - min(i) + 1, count(*)) AS INT) toe FROM q GROUP BY ALL""")
+    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.3*s, 9) >= 0, false) THEN i END) - min(i) + 1, count(*)) AS INT) toe FROM q GROUP BY ALL""")
 def toe_box_hist_nat(spark, d):
     keys = ["model", "member"]
     means = emergence.box_average(ens(spark, d), boxes(spark), ["model"], [*keys, "y"], "lat", "r", "v")
@@ -245,7 +245,7 @@ def noise_summary(spark, d):
 
 
 @query(f"""WITH {ENS}, a AS (SELECT *, v - avg(v) FILTER (y >= 1995 AND y < 1998) OVER (PARTITION BY member, lat, r) x FROM e), g AS (SELECT r, y, avg(CASE WHEN x < 0 THEN -1e0 WHEN x >= 0 THEN 1e0 END) agree FROM a GROUP BY ALL)
-    SELECT r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(agree) >= 0.1, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM g GROUP BY r""")
+    SELECT r, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(agree) - 0.1, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM g GROUP BY r""")
 def agreement_detection(spark, d):
     rows = ensemble.sign_agreement(ensemble.anomaly(ens(spark, d), ["member", "lat", "r"], "y", "v", 1995, 1998, "x"), ["r", "y"], "x")
     return emergence.agreement_detection(rows, ["r"], "y", "agree", 0.1)
@@ -307,7 +307,7 @@ def outcrop_transformation(spark, d):
     return transformed(spark, d).select("m", "rho_idx", r4("heat").alias("heat"), r4("water").alias("water"), "area")
 
 
-@query(f"WITH {_transformed_sql()} SELECT m, rho_idx, {R('-(lead(heat+water) OVER (PARTITION BY m ORDER BY rho_idx) - (heat+water))')} formation FROM tr")
+@query(f"WITH {_transformed_sql()} SELECT m, rho_idx, {R('CASE WHEN lead(rho_idx) OVER (PARTITION BY m ORDER BY rho_idx) = rho_idx + 1 THEN heat+water - lead(heat+water) OVER (PARTITION BY m ORDER BY rho_idx) END')} formation FROM tr")
 def formation(spark, d):
     rows = transformed(spark, d).withColumn("total", F.col("heat") + F.col("water"))
     return surface.formation(rows, ["m"], "total").select("m", "rho_idx", r4("formation").alias("formation"))
@@ -343,15 +343,15 @@ def latest_version(spark, d):
 def _two(spark, d):
     rows = latest(spark, d)
     side = lambda v: rows.where(F.col("variable") == v).select("model", "member", F.col("version").alias(f"version_{v}"))
-    return side("so"), side("thetao")
+    return side("so"), side("thetao").where("version_thetao != '2'")  # so that some have no partner
 
 
-@query(f"WITH {FILES} SELECT model, member, a.version version_so, b.version version_thetao FROM la a JOIN la b USING (model, member) WHERE a.variable = 'so' AND b.variable = 'thetao'")
+@query(f"WITH {FILES} SELECT model, member, a.version version_so, b.version version_thetao FROM la a JOIN la b USING (model, member) WHERE a.variable = 'so' AND b.variable = 'thetao' AND b.version <> '2'")
 def pair_inputs(spark, d):
     return tables.paired(*_two(spark, d), ["model", "member"])[0]
 
 
-@query(f"WITH {FILES} SELECT model, member FROM la WHERE variable = 'so' AND (model, member) NOT IN (SELECT (model, member) FROM la WHERE variable = 'thetao')")
+@query(f"WITH {FILES} SELECT model, member FROM la WHERE variable = 'so' AND (model, member) NOT IN (SELECT (model, member) FROM la WHERE variable = 'thetao' AND version <> '2')")
 def unmatched_inputs(spark, d):
     return tables.paired(*_two(spark, d), ["model", "member"])[1].select("model", "member")
 

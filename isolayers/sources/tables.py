@@ -51,8 +51,10 @@ def paired(left: DataFrame, right: DataFrame, ids: list[str]) -> tuple[DataFrame
     return left.join(right, ids), left.join(right, ids, "left_anti"), right.join(left, ids, "left_anti")
 
 
-def first_member_first(catalog: DataFrame, member: str = "member", first: str = "r1i1p1") -> DataFrame:
-    return catalog.orderBy(F.when(F.col(member) == first, 0).otherwise(1), member)
+def first_member_first(catalog: DataFrame, ids: list[str], member: str = "member", first: str = "r1i1p1", out: str = "priority") -> DataFrame:
+    """catalog with the rank of each row among those of its ids: the first member, then the others by name."""
+    w = Window.partitionBy(*ids).orderBy(F.when(F.col(member) == first, 0).otherwise(1), member)
+    return catalog.withColumn(out, F.row_number().over(w))
 
 
 def not_written(catalog: DataFrame, written: DataFrame, ids: list[str], overwrite: bool = False) -> DataFrame:
@@ -63,3 +65,20 @@ def not_written(catalog: DataFrame, written: DataFrame, ids: list[str], overwrit
 def append_years(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Writes df and replaces only the partitions that it has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def merged_variable(df: DataFrame, side: DataFrame, keys: list[str], variable: str) -> DataFrame:
+    """df with a variable of a side table, joined by the grid keys; a column of that name is replaced, points that the side lacks are null."""
+    return df.drop(variable).join(side.select(*keys, variable), keys, "left")
+
+
+def selected_runs(catalog: DataFrame, models: DataFrame, experiment: str, least_control: int = 140) -> DataFrame:
+    """Runs of an experiment whose model (model, control_years) has a control run of at least `least_control` years."""
+    long_ = models.where(F.col("control_years") >= least_control).select("model")
+    return catalog.where(F.col("experiment") == experiment).join(long_, "model", "left_semi")
+
+
+def version_clashes(catalog: DataFrame, ids: list[str], version: str = "version") -> DataFrame:
+    """Identities that have more than one version: ids, and the versions in order."""
+    found = catalog.groupBy(*ids).agg(F.array_sort(F.collect_set(version)).alias("versions"))
+    return found.where(F.size("versions") > 1)

@@ -127,3 +127,94 @@ def test_plan_has_no_python_and_one_shuffle(spark):
     df = columns.density_profile(ocean(spark, "/root/testdata/sf0.001"), ["cell", "y", "m"], "lev", "rho", "z", ["t", "s"], GRID)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_annual_bins_take_one_scan_and_two_shuffles(spark):
+    """One shuffle by column and year serves the levels, the windows, the bins and the annual means; the other the totals."""
+    from isolayers.plans.ocean_queries import annual
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = annual(spark, "/root/testdata/sf0.001").groupBy("y", "rho_idx").agg(F.avg("t"))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("FileScan") == 1 and plan.count("Exchange ") == 2 and "Python" not in plan
+
+
+def test_half_level_and_flux_of_a_column(spark):
+    rows = [(1, i, 5.0 + 10 * i, r, 10.0, v) for i, (r, v) in enumerate(((25.0, 1.0), (26.0, 2.0), (27.0, 4.0)))]
+    df = spark.createDataFrame(rows, "c int, lev int, z double, rho double, dz double, v double")
+    deep = dict(rows_of(columns.density_profile(df, ["c"], "lev", "rho", "z", [], GRID, dz="dz"), "rho_idx", "z"))
+    assert max(deep.items()) == (45, pytest.approx(30.0)) and deep[44] == pytest.approx(24.0)
+    got = columns.flux_on_density(df, ["c"], "lev", "rho", "z", F.col("v") * F.col("dz"), GRID)
+    flux = dict(rows_of(got, "rho_idx", "flux"))
+    # below the levels: 70, 60, 40; below 25.2 (index 31): 68, below 26.0 (35): 60, below 26.9 (44): 42, all of which the bottom keeps
+    assert sum(flux.values()) == pytest.approx(70.0) and flux[31] == pytest.approx(2.0) and flux[45] == pytest.approx(42.0)
+    total = columns.from_bottom(got, ["c"], "rho_idx", F.col("flux"), "msf").where("rho_idx = 36").first().msf
+    assert total == pytest.approx(60.0)  # what the bins above 26.1 don't have
+
+
+def rows_of(df, *names):
+    return [tuple(r[n] for n in names) for r in df.collect()]
+
+
+def test_conservation_tells_what_is_lost(spark):
+    a = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0), (3, 1.0)], "k int, v double")
+    b = spark.createDataFrame([(1, 5.0), (2, 0.5)], "k int, v double")
+    assert rows(columns.conservation(a, b, ["k"], ["v"]), "k", "kept") == [(1, True), (2, False), (3, False)]
+
+
+def test_nearest_cells_across_the_pole_and_the_date_line(spark):
+    cells = "cell int, lat double, lon double"
+    source = spark.createDataFrame([(1, 89.0, 0.0), (2, 89.0, 180.0), (3, 80.0, 0.0), (4, 0.0, 179.5), (5, 0.0, -179.0), (6, 0.0, 170.0), (7, -60.0, 20.0)], cells)
+    target = spark.createDataFrame([(10, 89.5, 170.0), (11, 0.0, -179.9), (12, -89.0, 200.0)], cells)
+    got = time_space.inverse_distance_weights(source, target, 2, 1.0).collect()
+    near = {t: {r.src_cell for r in got if r.dst_cell == t} for t in (10, 11, 12)}
+    assert near[10] == {1, 2} and near[11] == {4, 5} and 7 in near[12] and len(near[12]) == 2
+    assert all(abs(sum(r.weight for r in got if r.dst_cell == t) - 1) < 1e-12 for t in near)
+
+
+def test_formation_needs_the_next_bin(spark):
+    from isolayers.operators import surface
+
+    df = spark.createDataFrame([(1, 3, 5.0), (1, 4, 2.0), (1, 6, 1.0)], "m int, rho_idx int, f double")
+    assert rows_of(surface.formation(df, ["m"], "f").orderBy("rho_idx"), "rho_idx", "formation") == [(3, 3.0), (4, None), (6, None)]
+    months = spark.createDataFrame([(m,) for m in range(1, 13)], "m int").orderBy("m")
+    assert [r[0] for r in months.select(surface.season(F.col("m"))).collect()] == ["DJF"] * 2 + ["MAM"] * 3 + ["JJA"] * 3 + ["SON"] * 3 + ["DJF"]
+
+
+def test_refill_keeps_bins_whatever_the_order_of_sums(spark):
+    data = [(1, i, 0.1) for i in range(40)]
+    rho = spark.createDataFrame(data, "k int, rho_idx int, v double").repartition(3)
+    z = spark.createDataFrame([(1, 100.0 * i, 0.1) for i in range(40)], "k int, z double, v double")
+    got = rows_of(change.volume_refill(rho, z, ["k"], "v").orderBy("rho_idx"), "rho_idx", "depth")
+    assert [g[0] for g in got] == list(range(40)) and all(d == pytest.approx(100 * i) for i, d in got)
+
+
+def test_ties_at_the_threshold_have_emerged(spark):
+    df = spark.createDataFrame([(1, 0, 0.1 + 0.2), (1, 1, 0.3)], "k int, t int, x double")
+    assert emergence.time_of_emergence(df, ["k"], "t", F.col("x"), F.lit(0.1) + F.lit(0.2), strict=True).first().toe == 0
+
+
+def test_last_times_of_the_whole_table(spark):
+    df = spark.createDataFrame([(k, t) for k in range(3) for t in range(5 + k)], "k int, t int")
+    assert rows(ensemble.time_window(df, "t", last=2), "k", "t") == [(1, 5), (2, 5), (2, 6)]
+
+
+def test_scenarios_of_runs_with_both_parts(spark):
+    run = "r string, p int, y int, v double"
+    hist = spark.createDataFrame([("a", 1, 1, 5.0), ("b", 1, 1, 6.0)], run)
+    future = spark.createDataFrame([("a", 1, 2, 9.0), ("c", 1, 2, 9.0)], run)
+    natural = spark.createDataFrame([("n", 1, 1, 1.0), ("m", 1, 1, 3.0)], run)
+    control = spark.createDataFrame([("x", 1, 0, 4.0), ("x", 1, 1, 6.0)], run)
+    got = emergence.signal_of_scenarios(hist, natural, future, control, ["r"], ["p"], "y", "v")
+    assert rows(got, "r", "y", "signal") == [("a", 1, 3.0), ("a", 2, 4.0)]
+
+
+def test_refined_axis_and_masks(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 2, 3.0)], "k int, lat int, v double")
+    assert rows(change.refined(df, ["k"], "lat", "v", 4), "lat", "v") == [(0.0, 1.0), (0.5, 1.5), (1.0, 2.0), (1.5, 2.5), (2.0, 3.0)]
+    df = spark.createDataFrame([(1, z, 1.0) for z in (10.0, 50.0, 90.0)], "k int, z double, v double")
+    limits = spark.createDataFrame([(1, 20.0, 60.0)], "k int, top double, bottom double")
+    assert rows_of(change.masked_column(df, limits, ["k"], "z", "v", "top", "bottom").orderBy("z"), "v") == [(None,), (1.0,), (None,)]

@@ -26,6 +26,13 @@ def valid_columns(df: DataFrame, keys: list[str], lev: str, value: str, first: i
     return df.withColumn("_top", top).where("_top = 1").drop("_top")
 
 
+def bottom_level(df: DataFrame, keys: list[str], lev: str, value: str, first: int = 1, out: str = "bottom") -> DataFrame:
+    """The last level before the first missing one; columns whose first level is missing have no row."""
+    w = Window.partitionBy(*keys).orderBy(lev)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w))
+    return rows.where(F.col(lev) == F.col("_n") + first - 1).groupBy(*keys).agg(F.max(lev).alias(out))
+
+
 def sub_profile(df: DataFrame, keys: list[str], lev: str, rho: str, least: float = 0.2) -> DataFrame:
     """Levels from the lightest to the densest one; the whole column if its bottom exceeds its surface by less than `least`."""
     w = Window.partitionBy(*keys)

@@ -9,8 +9,8 @@ from ..functions.eos import density_flux_heat, density_flux_water
 from ..operators import change, columns, emergence, ensemble, repair, surface, time_space
 from ..sources import tables
 from .fixture import ANNUAL, BOTTOM, GRID, KEYS, OCEAN, PROFILE, ocean, on_density_sql, place_sql, r4, sub_sql, table
-from .ocean_queries import annual
-from .statistics_queries import BOX, ENS, FILES, SIG, R, _box_sql, _transformed_sql, boxes, catalog, ens, fields, signal
+from .ocean_queries import _BOWL, annual
+from .statistics_queries import BOX, ENS, FILES, SIG, R, _box_sql, _transformed_sql, boxes, catalog, ens, fields, members, signal
 
 QUERIES, ORACLE = {}, {}
 
@@ -353,3 +353,98 @@ def normalised_areas(spark, d):
 def isopycnal_means(spark, d):
     rows = columns.on_density(ocean(spark, d), KEYS, "lev", "rho", ["s"], GRID)
     return rows.groupBy("rho_idx").agg(r4(F.avg("s")).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {OCEAN}, k AS (SELECT DISTINCT cell, y, m FROM o), g AS (SELECT cell, y, m, CAST(i AS INT) i FROM k, (SELECT unnest(range(1, 9)) i))
+    SELECT cell, y, m, min(i) - 1 bottom FROM g ANTI JOIN o ON g.cell = o.cell AND g.y = o.y AND g.m = o.m AND g.i = o.lev GROUP BY ALL HAVING min(i) > 1""")
+def bottom_level(spark, d):
+    return columns.bottom_level(ocean(spark, d), KEYS, "lev", "s")
+
+
+@query(f"WITH {PROFILE}, {ANNUAL} SELECT cell, y, {R('t')} t, {R('z')} z FROM ann WHERE rho_idx = 30")
+def one_density_level(spark, d):
+    return tables.time_slice(annual(spark, d), "rho_idx", "30,1").select("cell", "y", r4("t").alias("t"), r4("z").alias("z"))
+
+
+def _few(sql: str) -> str:
+    return sql.replace("CAST(l_suppkey AS BIGINT)", "CAST(l_suppkey % 5 AS BIGINT)")
+
+
+def _annual_of_few(spark, d):
+    """Five cells, whose columns have all twelve months."""
+    rows = columns.density_profile(ocean(spark, d, 5), KEYS, "lev", "rho", "z", ["t", "s"], GRID)
+    return time_space.annual_bins(rows, ["cell", "y", "rho_idx"], "z", ["t", "s"], "thick")
+
+
+@query(f"""WITH {_few(_BOWL).replace('pers >= 50', 'pers >= 99')} SELECT bi.cell, bi.y, bowl_idx, {R('z')} ptop_z, {R('t')} ptop_t
+    FROM bi LEFT JOIN ann ON ann.cell = bi.cell AND ann.y = bi.y AND rho_idx = bowl_idx""")
+def bowl_of_all_months(spark, d):
+    found = time_space.bowl(_annual_of_few(spark, d), ["cell", "y"], "pers", "z", ["z", "t"])
+    return found.select("cell", "y", "bowl_idx", r4("ptop_z").alias("ptop_z"), r4("ptop_t").alias("ptop_t"))
+
+
+@query(f"""WITH {_few(PROFILE)}, {ANNUAL}, c AS (SELECT y, cell % 2 half, cell, 1 + cell area, sum(CASE WHEN pers >= 98 THEN thick ELSE 0 END) h, sum(CASE WHEN pers >= 98 THEN t*thick END) th FROM ann GROUP BY ALL)
+    SELECT y, half, round(sum(h*area), 3)+0 volume, {R('sum(th/(h + 1e-4)*area)/sum(area)')} t FROM c GROUP BY ALL""")
+def persistent_volume_of_all_months(spark, d):
+    rows = _annual_of_few(spark, d).withColumn("area", 1 + F.col("cell")).withColumn("half", F.col("cell") % 2)
+    found = time_space.persistent_totals(rows, ["cell"], ["y", "half"], "pers", "thick", "area", ["t"])
+    return found.select("y", "half", (F.round("volume", 3) + 0.0).alias("volume"), r4("t").alias("t"))
+
+
+@query(f"""WITH {OCEAN}, a AS (SELECT cell, lev, y, avg(t) t FROM o GROUP BY ALL), c AS (SELECT cell, lev, avg(t) FILTER (y > 1998) - avg(t) FILTER (y <= 1998) c, stddev_pop(t) FILTER (y <= 1998) e FROM a GROUP BY ALL)
+    SELECT cell, lev, CASE WHEN abs(c) >= 2*e THEN 1 ELSE 0 END significant FROM c WHERE c IS NOT NULL AND e > 0""")
+def significance_over_control(spark, d):
+    """Changes of at least twice the control's spread."""
+    years = ocean(spark, d).groupBy("cell", "lev", "y").agg(F.avg("t").alias("t"))
+    control, later = F.when(F.col("y") <= 1998, F.col("t")), F.when(F.col("y") > 1998, F.col("t"))
+    rows = years.groupBy("cell", "lev").agg((F.avg(later) - F.avg(control)).alias("c"), F.stddev_pop(control).alias("e")).where("c IS NOT NULL AND e > 0")
+    return rows.select("cell", "lev", change.significant(F.col("c"), F.col("e"), 1.0, 2.0).alias("significant"))
+
+
+@query(f"""WITH {ENS}, u AS (SELECT member, lat, y, avg(v) v FROM e GROUP BY ALL), a AS (SELECT *, v - avg(v) FILTER (y < 1998) OVER (PARTITION BY member, lat) x FROM u)
+    SELECT lat, y, {R('avg(v)')} v, {R('avg(CASE WHEN x < 0 THEN -1e0 WHEN x >= 0 THEN 1e0 END)')} agree, {R('stddev_pop(v)')} spread FROM a, nm GROUP BY ALL HAVING 100e0*count(v)/max(n) >= 50""")
+def ens_lines(spark, d):
+    """Mean, agreement and spread of members of a field without a vertical axis."""
+    keys = ["lat", "y"]
+    rows = ens(spark, d).groupBy("member", *keys).agg(F.avg("v").alias("v"))
+    present = ensemble.presence(rows.join(F.broadcast(members(spark, d))), keys, "v", F.col("n")).select(*keys)  # one row
+    rows = ensemble.anomaly(rows, ["member", "lat"], "y", "v", 0, 1998, "x")
+    found = ensemble.ensemble_mean(rows, keys, ["v"], present).join(ensemble.sign_agreement(rows, keys, "x"), keys).join(ensemble.model_spread(rows, keys, "v"), keys)
+    return found.select(*keys, *(r4(c).alias(c) for c in ("v", "agree", "spread")))
+
+
+_VOLUMES = """v3 AS (SELECT CAST(l_suppkey // 25 AS INT) member, CAST(l_suppkey % 25 AS INT) lat, CAST(l_linenumber AS INT) lon, CAST(p_size // 10 AS INT) r, CAST(year(l_shipdate) AS INT) y, avg(l_quantity) v
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), nm AS (SELECT count(DISTINCT l_suppkey // 25) n FROM lineitem)"""
+
+
+@query(f"WITH {_VOLUMES}, s AS (SELECT lat, lon, r, max(s) std FROM (SELECT lat, lon, r, member, stddev_pop(v) s FROM v3 GROUP BY ALL) GROUP BY ALL), q AS (SELECT lat, lon, r, y, avg(v) v FROM v3, nm GROUP BY ALL HAVING 100e0*count(v)/max(n) >= 50) SELECT lat, lon, r, y, {R('v')} v, {R('std')} std FROM q JOIN s USING (lat, lon, r)")
+def ens_volumes(spark, d):
+    """Mean over members and largest spread in time of a field with latitude, longitude and density."""
+    point = ["lat", "lon", "r"]
+    items = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.floor(F.col("p_size") / 10).cast("int").alias("r")), "l_partkey")
+    rows = items.groupBy(
+        F.floor(F.col("l_suppkey") / 25).cast("int").alias("member"), (F.col("l_suppkey") % 25).cast("int").alias("lat"), F.col("l_linenumber").cast("int").alias("lon"), "r", F.year("l_shipdate").alias("y")
+    ).agg(F.avg("l_quantity").alias("v"))
+    present = ensemble.presence(rows.join(F.broadcast(members(spark, d))), [*point, "y"], "v", F.col("n")).select(*point, "y")  # one row
+    found = ensemble.ensemble_mean(rows, [*point, "y"], ["v"], present).join(ensemble.largest_member_std(rows, point, "member", "v"), point)
+    return found.select(*point, "y", r4("v").alias("v"), r4("std").alias("std"))
+
+
+_SEVEN = [f"v{i}" for i in range(7)]
+
+
+def _sets(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.concat(F.lit("v"), F.col("o_orderkey") % 7).alias("variable"), F.col("o_orderpriority").alias("version"))
+    return tables.complete_sets(rows, ["run"], _SEVEN)
+
+
+@query("WITH f AS (SELECT o_custkey run, o_orderkey % 7 v, max(o_orderpriority) p FROM orders GROUP BY ALL) SELECT run, " + ", ".join(f"any_value(p) FILTER (v = {i}) v{i}" for i in range(7)) + " FROM f GROUP BY run HAVING count(*) = 7")
+def complete_inputs(spark, d):
+    """Runs that have all of seven variables, with the latest version of each."""
+    return _sets(spark, d)[0]
+
+
+@query("""WITH k AS (SELECT DISTINCT o_custkey run, 'v' || i v, i FROM orders, (SELECT unnest(range(7)) i))
+    SELECT run, string_agg(v, ',' ORDER BY v) missing FROM k WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = run AND o_orderkey % 7 = i) GROUP BY run""")
+def incomplete_inputs(spark, d):
+    return _sets(spark, d)[1].withColumn("missing", F.array_join("missing", ","))

@@ -51,6 +51,17 @@ def paired(left: DataFrame, right: DataFrame, ids: list[str]) -> tuple[DataFrame
     return left.join(right, ids), left.join(right, ids, "left_anti"), right.join(left, ids, "left_anti")
 
 
+def complete_sets(catalog: DataFrame, ids: list[str], variables: list[str], variable: str = "variable", version: str = "version") -> tuple[DataFrame, DataFrame]:
+    """(ids with the latest version of each variable, ids with the variables that they lack), from one aggregate for any number of variables.
+
+    A variable whose versions are all null counts as lacking; ids with none of the variables are in neither.
+    """
+    newest = (F.max(F.when(F.col(variable) == v, F.col(version))).alias(v) for v in variables)
+    rows = catalog.where(F.col(variable).isin(variables)).groupBy(*ids).agg(*newest)
+    rows = rows.withColumn("missing", F.array_compact(F.array(*(F.when(F.col(v).isNull(), F.lit(v)) for v in variables))))
+    return rows.where(F.size("missing") == 0).drop("missing"), rows.where(F.size("missing") > 0).select(*ids, "missing")
+
+
 def first_member_first(catalog: DataFrame, ids: list[str], member: str = "member", first: str = "r1i1p1", out: str = "priority") -> DataFrame:
     """catalog with the rank of each row among those of its ids: the first member, then the others by name."""
     w = Window.partitionBy(*ids).orderBy(F.when(F.col(member) == first, 0).otherwise(1), member)

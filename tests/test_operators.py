@@ -218,3 +218,16 @@ def test_refined_axis_and_masks(spark):
     df = spark.createDataFrame([(1, z, 1.0) for z in (10.0, 50.0, 90.0)], "k int, z double, v double")
     limits = spark.createDataFrame([(1, 20.0, 60.0)], "k int, top double, bottom double")
     assert rows_of(change.masked_column(df, limits, ["k"], "z", "v", "top", "bottom").orderBy("z"), "v") == [(None,), (1.0,), (None,)]
+
+
+def test_bottom_of_the_contiguous_levels(spark):
+    data = [(1, 1, 1.0), (1, 2, 1.0), (1, 3, None), (1, 4, 1.0), (2, 2, 1.0), (3, 1, 1.0), (4, 1, None)]
+    df = spark.createDataFrame(data, "k int, lev int, v double")
+    assert rows(columns.bottom_level(df, ["k"], "lev", "v"), "k", "bottom") == [(1, 2), (3, 1)]
+
+
+def test_complete_sets_tell_what_is_missing(spark):
+    data = [(1, "so", "1"), (1, "so", "2"), (1, "vo", "1"), (2, "so", "1"), (3, "vo", None), (4, "other", "1")]
+    whole, lacking = tables.complete_sets(spark.createDataFrame(data, "run int, variable string, version string"), ["run"], ["so", "vo"])
+    assert rows(whole, "run", "so", "vo") == [(1, "2", "1")]
+    assert rows(lacking, "run", "missing") == [(2, ["vo"]), (3, ["so", "vo"])]

@@ -8,6 +8,7 @@ from ..functions.density_grid import SURFACE
 from ..functions.eos import density_flux_heat, density_flux_water
 from ..operators import change, columns, emergence, ensemble, repair, surface, time_space
 from ..sources import tables
+from ..streaming.annual import append_annual_means
 from .fixture import ANNUAL, BOTTOM, GRID, KEYS, OCEAN, PROFILE, ocean, on_density_sql, place_sql, r4, sub_sql, table
 from .ocean_queries import _BOWL, annual
 from .statistics_queries import BOX, ENS, FILES, SIG, R, _box_sql, _transformed_sql, boxes, catalog, ens, fields, members, signal
@@ -448,3 +449,15 @@ def complete_inputs(spark, d):
     SELECT run, string_agg(v, ',' ORDER BY v) missing FROM k WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = run AND o_orderkey % 7 = i) GROUP BY run""")
 def incomplete_inputs(spark, d):
     return _sets(spark, d)[1].withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"WITH {OCEAN} SELECT cell, lev, y, {R('avg(t)')} t, {R('avg(s)')} s FROM o GROUP BY ALL")
+def annual_append(spark, d):
+    """Annual means that a stream of lineitem's files keeps up to date: each batch replaces the partitions of the years that it touches."""
+    out = tables.new_folder(spark, "annual")
+    # as a pattern, since a stream takes a single file by a pattern only
+    arrived = spark.readStream.schema(table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parquet*").select(F.year("l_shipdate").alias("y"))
+    history = lambda years: ocean(spark, d).join(years, "y", "left_semi")
+    append_annual_means(arrived, history, f"{out}/rows", f"{out}/progress", ["cell", "lev"], "y", "z", ["t", "s"]).awaitTermination()
+    found = spark.read.schema("cell long, lev int, t double, s double, y int").parquet(f"{out}/rows")
+    return found.select("cell", "lev", "y", r4("t").alias("t"), r4("s").alias("s"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -73,6 +76,16 @@ def not_written(catalog: DataFrame, written: DataFrame, ids: list[str], overwrit
     return catalog if overwrite else catalog.join(written.select(*ids).distinct(), ids, "left_anti")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in spark.checkpoint.dir, the folder that all machines share; in local mode a temporary one if that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{found}/{name}-{uuid.uuid4().hex}"
+
+
 def append_years(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Writes df and replaces only the partitions that it has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

@@ -126,7 +126,7 @@ def test_streamed_years_equal_the_batch(spark, tmp_path):
 def test_plan_has_no_python_and_one_shuffle(spark):
     df = columns.density_profile(ocean(spark, "/root/testdata/sf0.001"), ["cell", "y", "m"], "lev", "rho", "z", ["t", "s"], GRID)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Exchange ") == 1
 
 
 def test_annual_bins_take_one_scan_and_two_shuffles(spark):

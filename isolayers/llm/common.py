@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +129,32 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: Co
     rows = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
     each = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return rows.join(facts.withColumn("_salt", F.explode(each)), [key, "_salt"]).drop("_salt")
+
+
+def row_tuples(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """The named columns of Arrow batches as Python tuples, a batch at a time (null is None, so long numbers stay exact)."""
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in names))
+
+
+def record_batches(rows: Iterable[tuple], schema: pa.Schema, most_rows: int = 2000, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of tuples, cut by the number of rows and by the length of their strings."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if len(held) >= most_rows or size >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def text_key_of(value: Column) -> Column:
+    """A value as a string that also orders and groups nulls: '' for null, else 'k' and the value."""
+    return F.coalesce(F.concat(F.lit("k"), value.cast("string")), F.lit(""))
+
+
+def value_of_key(key: str, kind) -> Column:
+    """The value that text_key_of() made a key of."""
+    return F.when(F.col(key) != "", F.substring(key, 2, 2**31 - 1)).cast(kind)

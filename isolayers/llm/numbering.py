@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out: str, facts: DataFrame | None = None) -> DataFrame:
     """df with `out`: 0, 1, 2, ... within each group, by part and then by order.
@@ -30,3 +36,29 @@ def numbered(df: DataFrame, group: str, part: Column, order: list[Column], out:
 def hash_parts(df: DataFrame, key: Column, rows_per_part: int = 5_000) -> Column:
     """A part for numbered(): rows dealt by the hash of their key, `rows_per_part` on average."""
     return F.pmod(F.xxhash64(key), F.lit(max(1, df.count() // rows_per_part + 1)))
+
+
+def placed(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """df with `out`: 0, 1, 2, ... within each group (a string column without nulls) by order, nulls first.
+
+    Rows are range-partitioned and numbered where they lie, so a group of any size is spread over tasks. A group that goes on from one
+    partition to the next takes up the count; of these there is at most one per partition, which bounds the table that is broadcast.
+    """
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            at = []
+            for key in batch.column(group).to_pylist():
+                n = n + 1 if key == last else 0
+                last = key
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], names=[*batch.schema.names, "_part", "_at"])
+
+    rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = cut(rows.mapInArrow(number, f"{schema}, _part int, _at long"))
+    sizes = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.withColumn("_before", before).where("_before > 0").select(group, "_part", "_before")
+    rows = rows.join(F.broadcast(carried), [group, "_part"], "left")  # at most one row per partition
+    return rows.withColumn(out, F.col("_at") + F.coalesce("_before", F.lit(0))).drop("_part", "_at", "_before")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, mpeg_audio, packing, quality_classifier, simhash_dedup, substring_dedup, url_filter, warc_archive
+from . import (
+    conversation_repair, embedding_dedup, html_text, language_id, merkle_manifest, mixing, mpeg_audio, packing, quality_classifier, simhash_dedup, substring_dedup, url_filter, warc_archive,
+)
 from .common import table
+from .oracle_sql import MANIFEST, REPAIR
 
 #: Target weights of the mixture; sources not named share the rest.
 TARGETS = {"src0": 0.12, "src1": 0.08, "src2": 0.08, "src3": 0.06}
@@ -66,8 +69,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired by the cheapest edits."""
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a Merkle tree by source, each with its proof, and a check after tampering."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_embedding_dedup, op3_url_filter, op4_substring_dedup, op5_warc_archive, op6_language_id, op7_packing, op8_quality, op9_mpeg_audio, op10_simhash,
+    op11_conversation_repair, op12_merkle_manifest, op13_html_extraction,
 )}
 
 ORACLE = {
@@ -99,4 +118,6 @@ ORACLE = {
         SELECT page_id, CAST(n AS BIGINT) payload_bytes, sha1(h) payload_digest,
                CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END record_type,
                CASE WHEN n >= 1000 AND page_id <> top THEN top END refers_to FROM p""",
+    "op11_conversation_repair": REPAIR,
+    "op12_merkle_manifest": MANIFEST,
 }

@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 from .common import cut, hot_join, quoted, sliced
 
 BITS = 15
-_MARKUP = re.compile(rb"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;")
+_MARKUP = re.compile(rb"(?is)<script.*?(?:</script>|\Z)|<style.*?(?:</style>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*+>|&[#\w]++;")
 _OTHER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+#: Trigrams that are looked up at a time, so that memory doesn't grow with languages times letters.
+STRETCH = 1 << 18
+
+
+def stretches(text: bytes) -> Iterator[np.ndarray]:
+    """Hashed byte trigrams of the letters of a text, lower-cased in ASCII, one space between words; a stretch at a time."""
+    text = b" " + _OTHER.sub(b" ", text.lower()) + b" "
+    for i in range(0, len(text) - 2, STRETCH):
+        x = np.frombuffer(text[i : i + STRETCH + 2], np.uint8).astype(np.uint32)
+        yield (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+
+
 def trigrams(text: bytes) -> np.ndarray:
-    """Hashed byte trigrams of the letters of a text, lower-cased in ASCII, one space between words."""
-    x = np.frombuffer(b" " + _OTHER.sub(b" ", text.lower()) + b" ", np.uint8).astype(np.uint32)
-    if len(x) < 3:
-        return np.zeros(0, np.int64)
-    return (((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
+    """All of them at once."""
+    return np.concatenate([np.zeros(0, np.int64), *stretches(text)])
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,8 +40,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BITS, np.int64))
     for batch in sliced(batches):
         for lang, body in zip(batch["lang"], batch["body"]):
-            grams = trigrams(body)
-            total[lang] += np.bincount(grams, minlength=1 << BITS)
+            for grams in stretches(body):
+                total[lang] += np.bincount(grams, minlength=1 << BITS)
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"lang": lang, "gram": at, "n": counts[at]})
@@ -99,8 +108,10 @@ def fused(
     def text_logs(body: pd.Series) -> pd.Series:
         out = []
         for b in body:
-            grams = trigrams(_MARKUP.sub(b" ", b))
-            out.append(table[:, grams].sum(axis=1) * text_weight)
+            logs = np.zeros(len(langs))
+            for grams in stretches(_MARKUP.sub(b" ", b)):
+                logs += table[:, grams].sum(axis=1)
+            out.append(logs * text_weight)
         return pd.Series(out)
 
     rows = rows.withColumn("_t", text_logs("_body")).drop("_body").withColumn("_rid", F.monotonically_increasing_id())

@@ -178,7 +178,7 @@ def manifest(
     fields = [key, quoted(source_col), *(quoted(c) for c in others)]
     other = F.when(tampered, F.unhex(leaf_digest([*fields, F.translate(text, _UPPER, _LOWER)])))
     leaves = docs.select(text_key_of(quoted(source_col)).alias("tree"), key.alias("id"), F.unhex(leaf_digest([*fields, text])).alias("hash"), other.alias("other"))
-    leaves = placed(leaves, "tree", ["id", "hash"], "pos")
+    leaves = placed(cut(leaves), "tree", ["id", "hash"], "pos")  # ranges are drawn from digests: texts are read once
     sizes = cut(leaves.groupBy("tree").agg(F.max("pos").alias("size")).select("tree", F.col("size") + 1))
     sizes = sizes.toDF("tree", "size")
     # the size is needed with a chunk's first node only, so one row per chunk meets it

@@ -12,8 +12,7 @@ from .numbering import hash_parts, numbered
 
 def n_words(text: str) -> Column:
     """Number of words ([^\\x20\\x09-\\x0D]+) of a text column; null counts as empty."""
-    trimmed = F.regexp_replace(F.coalesce(quoted(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("int")
+    return F.size(F.filter(F.split(F.coalesce(quoted(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("int")
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

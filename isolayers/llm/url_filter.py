@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .common import cut, hot_join, quoted, sliced
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Characters of the longest word that the segmentation knows; a longer name is split into words of this length at most.
-LONGEST = 20
-#: What is not text in a page.
-MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>|&[#\w]+;"
+#: Characters of the longest word that the segmentation knows: a label of a host has no more.
+LONGEST = 63
+#: What is not text in a page. A comment, script or style without an end goes on to the end of the page, so each character is read once.
+MARKUP = r"(?is)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>|&[#\w]++;"
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -28,7 +28,7 @@ def parts(url: str) -> tuple[Column, Column]:
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, nulls if none does; of equally long rules the first given."""
+    """(rule, verdict) of the longest rule that fits, nulls if none does; of equally long rules the last given."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, text in sorted(rules, key=lambda r: len(r[1])):
         name, _, tail = text.partition("/")
@@ -89,8 +89,9 @@ def segmented(names: DataFrame, counts: DataFrame, longest: int = LONGEST) -> Da
     the words of its names only, never the vocabulary.
     """
     total = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("hosts"), F.lit(0))).alias("total"))  # one row
-    pieces = names.select("nid", "name").mapInPandas(_substrings(longest), "nid long, word string, whole boolean")
-    found = pieces.join(counts, "word").withColumn("n", F.col("n") + F.col("hosts") - F.col("whole").cast("int")).where("n > 0")
+    pieces = cut(names.select("nid", "name").mapInPandas(_substrings(longest), "nid long, word string, whole boolean"))
+    held = pieces.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    found = hot_join(pieces, cut(counts.join(held, "word")), "word", "held", F.col("nid"), pieces.count()).withColumn("n", F.col("n") + F.col("hosts") - F.col("whole").cast("int")).where("n > 0")
     logs = found.crossJoin(F.broadcast(total)).select("nid", F.struct("word", F.log(F.col("n") / F.col("total")).alias("p")).alias("log"))
     by_name = logs.groupBy("nid").agg(F.collect_list("log").alias("logs"))
     rows = names.join(by_name, "nid", "left").crossJoin(F.broadcast(total))
@@ -140,12 +141,14 @@ def judged_urls(
     split = cut(segmented(names.select("nid", "name"), cut(counts), longest))
 
     hits = names.select("name", "b", "a").join(split, "name").select("b", "a", F.explode("words").alias("word"))
-    hits = hits.groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    hits = hits.groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count(F.lit(1)).alias("held"))
     sums = hits.agg(F.sum("b").alias("sb"), F.sum("a").alias("sa"), F.count(F.lit(1)).alias("v"))  # one row
     odds = hits.crossJoin(F.broadcast(sums)).select(
-        "word", (F.log((F.col("b") + alpha) / (F.col("sb") + alpha * F.col("v"))) - F.log((F.col("a") + alpha) / (F.col("sa") + alpha * F.col("v")))).alias("w")
+        "word", "held", (F.log((F.col("b") + alpha) / (F.col("sb") + alpha * F.col("v"))) - F.log((F.col("a") + alpha) / (F.col("sa") + alpha * F.col("v")))).alias("w")
     )
-    by_word = split.select("name", F.explode("words").alias("word")).join(odds, "word").groupBy("name").agg(F.sum("w").alias("w"))
+    odds = cut(odds)
+    by_word = hot_join(split.select("name", F.explode("words").alias("word")), odds, "word", "held", F.col("name"), odds.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0])
+    by_word = by_word.groupBy("name").agg(F.sum("w").alias("w"))
     weighed = cut(split.join(by_word, "name").join(names.select("name", "uses"), "name"))
     many = tokens.select("rid", "i", "name")
     scored = hot_join(many, weighed, "name", "uses", F.col("rid"), weighed.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0])

@@ -126,3 +126,33 @@ def test_folder_must_be_shared_off_local_mode(spark):
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+@pytest.mark.parametrize("piece", [" ", "a  ", "<", "<!--", "<script>", "<a ", "&a"])
+def test_ten_million_odd_characters_take_seconds(spark, piece):
+    import time
+
+    from isolayers.llm import language_id, url_filter
+
+    text = piece * (10_000_000 // len(piece))
+    df = spark.createDataFrame([(1, "x" + text + "y")], "doc_id long, text string")
+    start = time.time()
+    want = len([w for w in ("x" + text + "y").replace("\t", " ").split(" ") if w])
+    assert df.select(packing.n_words("text").alias("n")).first().n == want
+    df.select(F.length(F.regexp_replace("text", url_filter.MARKUP, " "))).collect()
+    language_id._MARKUP.sub(b" ", text.encode())
+    assert time.time() - start < 20
+
+
+def test_trigrams_of_a_long_page_in_stretches():
+    from isolayers.llm import language_id
+
+    text = ("Über words " * 100_000).encode()
+    parts = list(language_id.stretches(text))
+    assert len(parts) > 3 and max(map(len, parts)) <= language_id.STRETCH
+    step, language_id.STRETCH = language_id.STRETCH, 1 << 30
+    try:
+        whole = np.concatenate(list(language_id.stretches(text)))
+    finally:
+        language_id.STRETCH = step
+    assert (np.concatenate(parts) == whole).all()

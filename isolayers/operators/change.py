@@ -53,7 +53,7 @@ def capped_section(df: DataFrame, keys: list[str], value: str, most: float = 4.0
 
 
 def migration(df: DataFrame, keys: list[str], lat: str, rho: str, before: str, after: str, eps: float, lat_band: int = 5, rho_band: float = 0.5) -> DataFrame:
-    """For each point the nearest point (within lat_band and rho_band) whose later value is within eps of its earlier one.
+    """For each point the nearest point (nearer than lat_band and rho_band) whose later value is within eps of its earlier one.
 
     Returns keys, lat, rho, d_lat and d_rho (minus the offset). Points meet in buckets of value, latitude and density and their
     neighbours, so the join has equal keys and stays small; ties go to the lower latitude, then density.
@@ -66,7 +66,7 @@ def migration(df: DataFrame, keys: list[str], lat: str, rho: str, before: str, a
     v, y, r = bucket(after)
     b = df.where(F.col(after).isNotNull()).select(*keys, F.col(lat).alias("_y2"), F.col(rho).alias("_r2"), F.col(after).alias("_x2"), v.alias("v"), y.alias("y"), r.alias("r"))
     dy, dr = F.col("_y2") - F.col("_y"), F.col("_r2") - F.col("_r")
-    rows = a.join(b, [*keys, "v", "y", "r"]).where((F.abs(F.col("_x") - F.col("_x2")) < eps) & (F.abs(dy) <= lat_band) & (F.abs(dr) <= rho_band))
+    rows = a.join(b, [*keys, "v", "y", "r"]).where((F.abs(F.col("_x") - F.col("_x2")) < eps) & (F.abs(dy) < lat_band) & (F.abs(dr) < rho_band))
     best = F.min_by(F.struct((-dy).alias("d_lat"), (-dr).alias("d_rho")), F.struct(dy * dy + dr * dr, F.col("_y2"), F.col("_r2")))
     found = rows.groupBy(*keys, F.col("_y").alias(lat), F.col("_r").alias(rho)).agg(best.alias("_b"))
     return found.select(*keys, lat, rho, "_b.d_lat", "_b.d_rho")
@@ -90,20 +90,42 @@ def gaps_filled(df: DataFrame, keys: list[str], axis: str, value: str, out: str
     return df.withColumn(out, F.coalesce(F.col(value), line)).drop("_a", "_b")
 
 
-def volume_refill(density: DataFrame, levels: DataFrame, keys: list[str], volume: str) -> DataFrame:
+def volume_refill(density: DataFrame, levels: DataFrame, keys: list[str], volume: str, bottom: DataFrame | None = None) -> DataFrame:
     """Depth of each isopycnal such that the volume below it equals that below the depth: (keys, rho_idx, depth).
 
-    density: (keys, rho_idx, volume), levels: (keys, z, volume of the layer below z). Both are summed from the bottom, then the depth is
-    interpolated over the sum, with the two tables merged in one window.
+    density: (keys, rho_idx, volume), levels: (keys, z, volume of the layer below z), bottom: (keys, bottom), the depth of the sea floor, which has
+    no volume below it. Volumes are summed from the bottom, then the depth is interpolated over the sum, with the tables merged in one
+    window; where several depths have the same volume below them, one that is met exactly is the shallowest. Isopycnals without volume below them
+    are left out, those with more than all levels have lie at the first. Without a bottom, the densest isopycnals end at the deepest level.
     """
-    from .columns import at_levels
-
     up = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rho = density.withColumn("_below", F.sum(volume).over(up("rho_idx")))
-    z = levels.withColumn("_below", F.sum(volume).over(up("z")))
-    asked = rho.select(*keys, "rho_idx", "_below")
-    found = at_levels(z.select(*keys, "_below", "z"), keys, "_below", ["z"], asked, "_below", "edge", carry=("rho_idx",))
-    return found.select(*keys, "rho_idx", F.col("z").alias("depth"))
+    none = F.lit(None)
+    z = levels.select(*keys, F.col("z").cast("double").alias("_z"), F.sum(volume).over(up("z")).alias("_x")).where("_x > 0")
+    if bottom is not None:
+        z = z.unionByName(bottom.select(*keys, F.col("bottom").cast("double").alias("_z"), F.lit(0.0).alias("_x")))
+    rho = density.select(*keys, "rho_idx", F.sum(volume).over(up("rho_idx")).alias("_x")).where("_x > 0")
+    kind = density.schema["rho_idx"].dataType
+    both = z.select(*keys, none.cast(kind).alias("rho_idx"), F.col("_x").cast("double"), "_z").unionByName(rho.select(*keys, "rho_idx", F.col("_x").cast("double"), none.cast("double").alias("_z")))
+    at = F.when(F.col("_z").isNotNull(), F.struct("_x", "_z"))
+    deeper = F.last(at, True).over(Window.partitionBy(*keys).orderBy("_x", F.col("_z").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    higher = F.last(at, True).over(Window.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_z").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_a", deeper).withColumn("_b", higher).where("rho_idx IS NOT NULL")
+    a, b = F.col("_a"), F.col("_b")
+    line = a["_z"] + (F.col("_x") - a["_x"]) / F.nullif(b["_x"] - a["_x"], F.lit(0.0)) * (b["_z"] - a["_z"])
+    return rows.select(*keys, "rho_idx", F.when(a["_x"] == F.col("_x"), a["_z"]).when(a.isNull(), b["_z"]).when(b.isNull(), a["_z"]).otherwise(line).alias("depth"))
+
+
+def painted(depths: DataFrame, axis: DataFrame, keys: list[str], depth: str, rho: str, z: str, bottom: str | None = None) -> DataFrame:
+    """axis (keys, z) with the densest isopycnal of depths (keys, rho, depth) that lies at z or above it, null above all; below the
+    column's `bottom`, a column of axis, nothing is painted. Both tables are merged in one sorted window."""
+    kind = depths.schema[rho].dataType
+    row = F.struct(*(F.col(c) for c in axis.columns))
+    a = depths.where(F.col(depth).isNotNull()).select(*keys, F.col(depth).cast("double").alias("_z"), F.col(rho).alias("_r"), F.lit(None).cast(axis.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    b = axis.select(*keys, F.col(z).cast("double").alias("_z"), F.lit(None).cast(kind).alias("_r"), row.alias("_row"))
+    w = Window.partitionBy(*keys).orderBy("_z", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b).withColumn("_top", F.max("_r").over(w)).where("_row IS NOT NULL")
+    found = F.col("_top") if bottom is None else F.when(F.col("_z") <= F.col(f"_row.{bottom}"), F.col("_top"))
+    return rows.select(*(F.col(f"_row.{c}").alias(c) for c in axis.columns if c != rho), found.alias(rho))
 
 
 def mid_period(df: DataFrame, mean: str, change: str) -> DataFrame:

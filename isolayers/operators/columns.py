@@ -85,7 +85,8 @@ def density_profile(
     """Whole re-indexing of columns: sub-profile, interpolation, bottom bin, thickness.
 
     One pass: each pair of levels makes its range of bins and the densest level the bottom bin in the same explode. With dz, the levels'
-    thickness, half of the densest level's is added to the bottom's depth, so that the column keeps its whole thickness.
+    thickness, half of the densest level's is added to the bottom's depth, so that the column keeps its whole thickness. Bins are numbered from
+    1: what is lighter than the grid's first level ends in the depth of bin 0, which has no row of its own.
     """
     names = [depth, *values]
     df = sub_profile(df, keys, lev, rho, least)
@@ -110,7 +111,8 @@ def density_profile(
     best = rows.groupBy(*keys, "rho_idx").agg(of(~F.col("_bottom")).alias("_a"), of(F.col("_bottom")).alias("_b"))
     deeper = F.col(f"_b.{depth}").isNotNull() & (F.col(f"_a.{depth}").isNull() | (F.col(f"_b.{depth}") > F.col(f"_a.{depth}")))
     rows = best.select(*keys, "rho_idx", F.when(deeper, F.col("_b")).otherwise(F.col("_a")).alias("_v"))
-    return bin_thickness(rows.select(*keys, "rho_idx", *(F.col(f"_v.{v}").alias(v) for v in names)), keys, depth)
+    rows = bin_thickness(rows.select(*keys, "rho_idx", *(F.col(f"_v.{v}").alias(v) for v in names)), keys, depth)
+    return rows.where("rho_idx > 0")
 
 
 def flux_on_density(df: DataFrame, keys: list[str], lev: str, rho: str, depth: str, amount: Column, grid: Grid, least: float = 0.2, out: str = "flux") -> DataFrame:

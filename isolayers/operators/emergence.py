@@ -10,10 +10,10 @@ def time_of_emergence(df: DataFrame, keys: list[str], time: str, signal: Column,
     """Index after the last step that has not emerged (|signal| >= mult * noise); N steps from 0.
 
     A missing signal or noise has not emerged. Never emerged gives N; always emerged N as well, or 0 if strict. A plain aggregate: no
-    order of the rows is needed. Differences under half a unit of the ninth decimal are rounding and count as equal, so exact ties don't depend
-    on the order of sums.
+    order of the rows is needed. What lacks less than a billionth of the noise is rounding and counts as equal, whatever the unit, so exact ties
+    don't depend on the order of sums.
     """
-    on = F.coalesce(F.round(F.abs(signal) - mult * noise, 9) >= 0, F.lit(False))
+    on = F.coalesce(F.abs(signal) >= mult * noise * (1 - 1e-9), F.lit(False))
     rows = df.groupBy(*keys).agg(F.max(F.when(~on, F.col(time))).alias("_off"), F.count(F.lit(1)).alias("_n"), F.min(time).alias("_t0"))
     always = F.lit(0) if strict else F.col("_n")
     return rows.select(*keys, F.coalesce(F.col("_off") - F.col("_t0") + 1, always).cast("int").alias(out))
@@ -91,7 +91,7 @@ def agreement_detection(df: DataFrame, keys: list[str], time: str, agree: str, l
     return time_of_emergence(df, keys, time, F.col(agree), F.lit(least))
 
 
-def emerged_only(df: DataFrame, toe: str, steps: int) -> DataFrame:
+def emerged_only(df: DataFrame, toe: str, steps: int | Column) -> DataFrame:
     """Times of emergence that equal the number of steps (never) become null."""
     return df.withColumn(toe, F.when(F.col(toe) != steps, F.col(toe)))
 

@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a list that is broadcast.
+SHORT = 10_000
+
+
+def short(df: DataFrame, most: int = SHORT) -> DataFrame:
+    """df to be broadcast, once it is known to have at most `most` rows; a longer one is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a list of more than {most} rows is no short list; join it by a key")
+    return F.broadcast(df)
+
+
 def mask_to_null(x: Column, missing: float = 1e20) -> Column:
     """NaN and what is as far out as a tenth of the missing value become null."""
     beyond = x > missing / 10 if missing > 0 else x < missing / 10
@@ -83,16 +94,18 @@ def deepest_valid(df: DataFrame, cell: list[str], depth: str, value: str) -> Dat
 
 
 def points_corrected(cells: DataFrame, points: DataFrame, basin: str = "basin") -> DataFrame:
-    """cells (cell, lat, lon, basin) with another basin at the cells nearest to listed points (lat, lon, before, after) whose basin is `before`.
+    """cells (cell, lat, lon, basin) with the basin `after` at the cell nearest to each listed point (lat, lon, before, after).
 
-    The list is short and written by hand. Each task finds the nearest of its cells to each point, so one row per point and task is shuffled.
+    The nearest of all cells is sought; with a `before`, it changes only if that is its basin. Each task finds the nearest of its cells to each point of
+    the short list (see short()), so one row per point and task is shuffled.
     """
     p = points.select(F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), F.col("before").alias("_before"), F.col("after").alias("_after"))
     half = lambda a, b: F.sin(F.radians(F.col(a) - F.col(b)) / 2) ** 2
     arc = half("lat", "_plat") + F.cos(F.radians("lat")) * F.cos(F.radians("_plat")) * half("lon", "_plon")
-    near = cells.join(F.broadcast(p), F.col(basin) == F.col("_before"))
-    near = near.groupBy("_plat", "_plon", "_before", "_after").agg(F.min_by("cell", F.struct(F.round(arc, 15), F.col("cell"))).alias("cell"))
-    fixed = near.groupBy("cell").agg(F.min("_after").alias("_new"))
+    near = cells.crossJoin(short(p))
+    near = near.groupBy("_plat", "_plon", "_before", "_after").agg(F.min_by(F.struct("cell", F.col(basin).alias("_basin")), F.struct(F.round(arc, 15), F.col("cell"))).alias("_c"))
+    near = near.where(F.coalesce(F.col("_before") == F.col("_c._basin"), F.col("_before").isNull()))
+    fixed = near.groupBy(F.col("_c.cell").alias("cell")).agg(F.min("_after").alias("_new"))
     return cells.join(fixed, "cell", "left").withColumn(basin, F.coalesce("_new", basin)).drop("_new")
 
 

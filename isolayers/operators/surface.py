@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.density_grid import SURFACE, Grid
+from .repair import short
 
 
 def outcrop_transformation(df: DataFrame, keys: list[str], rho: str, fluxes: list[str], area: str, grid: Grid = SURFACE, scale: float = 1e-6) -> DataFrame:
     """Per bin [level, next): sum of flux * area over the bin's width, and the outcrop's area. Densities beyond the last level fall
     into the last bin; those lighter than the grid and nulls are left out."""
-    i = F.least(F.greatest(grid.first_at_or_above(F.col(rho)), F.lit(0)), F.lit(grid.size))
     at = F.when(F.col(rho) >= grid.high, grid.size - 1).otherwise(grid.bin(F.col(rho)))
-    rows = df.withColumn("rho_idx", at).where(F.col("rho_idx").isNotNull() & i.isNotNull())
+    rows = df.withColumn("rho_idx", at).where(F.col("rho_idx").isNotNull())
     sums = rows.groupBy(*keys, "rho_idx").agg(*(F.sum(F.col(f) * F.col(area)).alias(f) for f in fluxes), F.sum(area).alias("area"))
     return sums.withColumns({f: F.col(f) / grid.step(F.col("rho_idx")) * scale for f in fluxes})
 
@@ -32,7 +32,7 @@ def in_regions(df: DataFrame, regions: DataFrame, lat: str, lon: str) -> DataFra
     inside = (y >= F.col("latmin")) & (y < F.col("latmax"))
     east, west = x >= F.col("lonmin"), x < F.col("lonmax")
     inside = inside & F.when(F.col("lonmin") <= F.col("lonmax"), east & west).otherwise(east | west)
-    return df.join(F.broadcast(regions), inside).drop("latmin", "latmax", "lonmin", "lonmax")  # a list written by hand
+    return df.join(short(regions), inside).drop("latmin", "latmax", "lonmin", "lonmax")
 
 
 def season(month: Column) -> Column:

@@ -25,11 +25,20 @@ def r4(x: Column | str) -> Column:
     return F.round((F.col(x) if isinstance(x, str) else x) + 1.3e-7, 4) + F.lit(0.0)
 
 
-def ocean(spark: SparkSession, sf_dir: str, cells: int | None = None) -> DataFrame:
-    """With `cells`, suppliers share that many cells, whose columns have all months."""
+def full_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(y) of the years that have all twelve months; the rest of the time axis gives no annual values."""
+    months = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")).distinct()
+    return months.groupBy("y").agg(F.count(F.lit(1)).alias("n")).where("n = 12").select("y")
+
+
+def ocean(spark: SparkSession, sf_dir: str, cells: int | None = None, whole_years: bool = False) -> DataFrame:
+    """With `cells`, suppliers share that many cells, whose columns have all months; with whole_years, years that lack a month are left out."""
     cell = F.col("l_suppkey") % cells if cells else F.col("l_suppkey")
-    items = table(spark, sf_dir, "lineitem").select(
-        cell.alias("cell"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.col("l_linenumber").alias("lev"),
+    items = table(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
+    if whole_years:
+        items = items.join(F.broadcast(full_years(spark, sf_dir)), "y", "left_semi")  # a row per year
+    items = items.select(
+        cell.alias("cell"), "y", F.month("l_shipdate").alias("m"), F.col("l_linenumber").alias("lev"),
         "l_quantity", F.round(F.col("l_tax") * 100).cast("long").alias("tax"),
     )
     # dealt by cell and year before the aggregate, so that it, the windows of a column and the means of a year share one shuffle
@@ -91,6 +100,6 @@ BOTTOM = f"""bot AS (SELECT cell, y, m, greatest(CAST(ceil({place_sql('max(rho)'
   FROM sub GROUP BY cell, y, m HAVING greatest(CAST(ceil({place_sql('max(rho)')}) AS INT), 0) < 60)"""
 PROFILE = f"""{OCEAN}, {sub_sql()}, {on_density_sql('sub')}, {BOTTOM},
 u AS (SELECT cell, y, m, rho_idx, arg_max(t, z) t, arg_max(s, z) s, max(z) z FROM (SELECT * FROM ins UNION ALL BY NAME SELECT * FROM bot) GROUP BY cell, y, m, rho_idx),
-prof AS (SELECT * FROM (SELECT *, z - coalesce(lag(z) OVER (PARTITION BY cell, y, m ORDER BY rho_idx), 0) thick FROM u) WHERE thick > 0 AND thick < 6000)"""
-ANNUAL = """ann AS (SELECT cell, y, rho_idx, sum(z)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) z, sum(t)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) t,
-  sum(s)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) s, sum(thick)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) thick, 100e0*count(thick)/12 pers FROM prof GROUP BY cell, y, rho_idx)"""
+prof AS (SELECT * FROM (SELECT *, z - coalesce(lag(z) OVER (PARTITION BY cell, y, m ORDER BY rho_idx), 0) thick FROM u) WHERE thick > 0 AND thick < 6000 AND rho_idx > 0)"""
+ANNUAL = """fy AS (SELECT CAST(year(l_shipdate) AS INT) y FROM lineitem GROUP BY 1 HAVING count(DISTINCT month(l_shipdate)) = 12), ann AS (SELECT cell, y, rho_idx, sum(z)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) z, sum(t)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) t,
+  sum(s)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) s, sum(thick)/nullif(count(CASE WHEN z<>0 THEN 1 END),0) thick, 100e0*count(thick)/12 pers FROM prof SEMI JOIN fy USING (y) GROUP BY cell, y, rho_idx)"""

@@ -133,13 +133,13 @@ def ens_last_years_of_all(spark, d):
     return ensemble.time_window(ens(spark, d), "y", last=2).groupBy("lat", "r", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {SIG}, q AS (SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.05*n1, 9) >= 0, false) THEN i END) + 1, count(*)) AS INT) toe, count(*) n FROM sg GROUP BY k)
+@query(f"""WITH {SIG}, q AS (SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (0.05*n1)*(1 - 1e-9), false) THEN i END) + 1, count(*)) AS INT) toe, count(*) n FROM sg GROUP BY k)
     SELECT k, CASE WHEN toe <> (SELECT max(n) FROM q) THEN toe END toe FROM q""")
 def toe_emerged_only(spark, d):
     rows = signal(spark, d)
     found = emergence.time_of_emergence(rows, ["k"], "i", F.col("x"), F.col("n1"), 0.05)
-    steps = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return emergence.emerged_only(found, "toe", steps)
+    steps = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("steps"))
+    return emergence.emerged_only(found.crossJoin(F.broadcast(steps)), "toe", F.col("steps")).drop("steps")  # one row
 
 
 # Scenarios of the ensemble: history to 1998, the future after it, even members as natural runs, the years to 1996 as the control.
@@ -161,7 +161,7 @@ def scenario_signal(spark, d):
 
 
 @query(f"""WITH {_SCENARIO}, n AS (SELECT lat, r, max(s1) n1, max(s2) n2 FROM (SELECT lat, r, member, stddev_pop(v) FILTER (y <= 1998) s1, stddev_pop(v) FILTER (y > 1998) s2 FROM e GROUP BY ALL) GROUP BY ALL)
-    SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.5*CASE WHEN y < 1999 THEN n1 ELSE n2 END, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM sc JOIN n USING (lat, r) GROUP BY ALL""")
+    SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (0.5*CASE WHEN y < 1999 THEN n1 ELSE n2 END)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM sc JOIN n USING (lat, r) GROUP BY ALL""")
 def toe_scenarios(spark, d):
     """Time of emergence per point over history and future, each with its own noise."""
     rows = ens(spark, d)
@@ -172,7 +172,7 @@ def toe_scenarios(spark, d):
 
 
 @query(f"""WITH {_SCENARIO}, {BOX}, ba AS (SELECT * FROM {_box_sql('sc', 'model, member, y', 'x')}), nz AS (SELECT model, max(s) s FROM (SELECT model, member, stddev_pop(v) s FROM ba WHERE y <= 1998 GROUP BY ALL) GROUP BY ALL)
-    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(v) - 0.5*s, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM ba JOIN nz USING (model) GROUP BY ALL""")
+    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(v) >= (0.5*s)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM ba JOIN nz USING (model) GROUP BY ALL""")
 def toe_box_scenarios(spark, d):
     means = emergence.box_average(_scenario(spark, d), boxes(spark), ["model"], ["model", "member", "y"], "lat", "r", "x")
     noise = ensemble.largest_member_std(means.where("y <= 1998"), ["model"], "member", "x", out="s")
@@ -181,7 +181,7 @@ def toe_box_scenarios(spark, d):
 
 @query(f"""WITH {ENS}, {BOX}, ba AS (SELECT * FROM {_box_sql('e', 'model, member, y')}), tp AS (SELECT model, member, max(y) t FROM ba GROUP BY ALL), ct AS (SELECT model, member, v FROM ba JOIN tp USING (model, member) WHERE y > t - 3),
     k AS (SELECT model, avg(v) c FROM ct GROUP BY ALL), nz AS (SELECT model, max(s) s FROM (SELECT model, member, stddev_pop(v) s FROM ct GROUP BY ALL) GROUP BY ALL)
-    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(v - c) - 0.5*s, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM ba JOIN k USING (model) JOIN nz USING (model) WHERE y <= 1999 GROUP BY ALL""")
+    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(v - c) >= (0.5*s)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM ba JOIN k USING (model) JOIN nz USING (model) WHERE y <= 1999 GROUP BY ALL""")
 def toe_box_control(spark, d):
     """A run against the last years of a control: mean and largest spread of these."""
     means = emergence.box_average(ens(spark, d), boxes(spark), ["model"], ["model", "member", "y"], "lat", "r", "v")
@@ -192,7 +192,7 @@ def toe_box_control(spark, d):
     return emergence.time_of_emergence(rows, ["model", "member"], "y", F.col("signal"), F.col("s"), 0.5)
 
 
-_TOE_POINTS = f"""{ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), pt AS (SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(v - c) - 3, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe
+_TOE_POINTS = f"""{ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), pt AS (SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(v - c) >= (3)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe
     FROM e JOIN c USING (lat, r) GROUP BY ALL)"""
 
 
@@ -332,15 +332,15 @@ def bowl_shift(spark, d):
 
 
 @query("""WITH c AS (SELECT c_custkey cell, -90e0 + (c_custkey * 7 % 1800)/10e0 lat, (c_custkey * 29 % 3600)/10e0 lon, CAST(c_nationkey % 3 + 1 AS INT) basin FROM customer),
-    p(plat, plon, before, after) AS (VALUES (10e0, 20e0, 3, 2), (-45e0, 300e0, 3, 2), (60e0, 5e0, 2, 1)),
-    n AS (SELECT plat, after, arg_min(cell, (round(sin(radians(lat-plat)/2)**2 + cos(radians(lat))*cos(radians(plat))*sin(radians(lon-plon)/2)**2, 15), cell)) cell FROM c JOIN p ON basin = before GROUP BY ALL)
-    SELECT cell, coalesce((SELECT min(after) FROM n WHERE n.cell = c.cell), basin) basin FROM c""")
+    p(plat, plon, before, after) AS (VALUES (10e0, 20e0, 3, 2), (-45e0, 300e0, 3, 2), (60e0, 5e0, 2, 1), (0e0, 90e0, NULL, 7), (-70e0, 10e0, NULL, 8)),
+    n AS (SELECT before, after, arg_min(cell, (round(sin(radians(lat-plat)/2)**2 + cos(radians(lat))*cos(radians(plat))*sin(radians(lon-plon)/2)**2, 15), cell)) cell FROM c, p GROUP BY before, after, plat, plon)
+    SELECT cell, coalesce((SELECT min(after) FROM n WHERE n.cell = c.cell AND coalesce(before = basin, true)), basin) basin FROM c""")
 def points_corrected(spark, d):
     k = F.col("c_custkey")
     cells = table(spark, d, "customer").select(
         k.alias("cell"), (F.lit(-90.0) + (k * 7 % 1800) / F.lit(10.0)).alias("lat"), ((k * 29 % 3600) / F.lit(10.0)).alias("lon"), (F.col("c_nationkey") % 3 + 1).cast("int").alias("basin")
     )
-    points = spark.createDataFrame([(10.0, 20.0, 3, 2), (-45.0, 300.0, 3, 2), (60.0, 5.0, 2, 1)], "lat double, lon double, before int, after int")
+    points = spark.createDataFrame([(10.0, 20.0, 3, 2), (-45.0, 300.0, 3, 2), (60.0, 5.0, 2, 1), (0.0, 90.0, None, 7), (-70.0, 10.0, None, 8)], "lat double, lon double, before int, after int")
     return repair.points_corrected(cells, points).select("cell", "basin")
 
 
@@ -373,7 +373,7 @@ def _few(sql: str) -> str:
 
 def _annual_of_few(spark, d):
     """Five cells, whose columns have all twelve months."""
-    rows = columns.density_profile(ocean(spark, d, 5), KEYS, "lev", "rho", "z", ["t", "s"], GRID)
+    rows = columns.density_profile(ocean(spark, d, 5, True), KEYS, "lev", "rho", "z", ["t", "s"], GRID)
     return time_space.annual_bins(rows, ["cell", "y", "rho_idx"], "z", ["t", "s"], "thick")
 
 

@@ -19,12 +19,12 @@ def query(sql: str):
     return add
 
 
-def profile(spark: SparkSession, d: str) -> DataFrame:
-    return columns.density_profile(ocean(spark, d), KEYS, "lev", "rho", "z", ["t", "s"], GRID)
+def profile(spark: SparkSession, d: str, whole_years: bool = False) -> DataFrame:
+    return columns.density_profile(ocean(spark, d, whole_years=whole_years), KEYS, "lev", "rho", "z", ["t", "s"], GRID)
 
 
 def annual(spark: SparkSession, d: str) -> DataFrame:
-    return time_space.annual_bins(profile(spark, d), ["cell", "y", "rho_idx"], "z", ["t", "s"], "thick")
+    return time_space.annual_bins(profile(spark, d, True), ["cell", "y", "rho_idx"], "z", ["t", "s"], "thick")
 
 
 def _rounded(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -102,7 +102,7 @@ def integral_conservation(spark, d):
 
 @query(f"WITH {PROFILE}, {ANNUAL} SELECT cell, y, rho_idx, round(pers + 1.3e-7, 4)+0 pers FROM ann")
 def persistence_pct(spark, d):
-    return _rounded(time_space.persistence(profile(spark, d), ["cell", "y", "rho_idx"], "thick"), ["cell", "y", "rho_idx"], ["pers"])
+    return _rounded(time_space.persistence(profile(spark, d, True), ["cell", "y", "rho_idx"], "thick"), ["cell", "y", "rho_idx"], ["pers"])
 
 
 _BOWL = f"""{PROFILE}, {ANNUAL}, bi AS (SELECT cell, y, coalesce(min(CASE WHEN pers >= 50 THEN rho_idx END), CASE WHEN max(z) > 300 THEN max(rho_idx) - 1 END) bowl_idx FROM ann GROUP BY cell, y)"""
@@ -214,7 +214,7 @@ def section_capped(spark, d):
 
 _MIGRATE = f"""{OCEAN}, f AS (SELECT CAST(cell // 25 AS INT) lon, CAST(cell % 25 AS INT) lat, lev*0.25e0 r, avg(s) FILTER (y <= 1997) x1, avg(s) FILTER (y >= 1999) x2 FROM o GROUP BY ALL),
     mg AS (SELECT a.lon, a.lat, a.r, arg_min(a.lat - c.lat, ((a.lat-c.lat)**2+(a.r-c.r)**2, c.lat, c.r)) d_lat, arg_min(a.r - c.r, ((a.lat-c.lat)**2+(a.r-c.r)**2, c.lat, c.r)) d_rho
-      FROM f a JOIN f c ON a.lon = c.lon AND abs(a.x1 - c.x2) < 0.02 AND abs(a.lat - c.lat) <= 5 AND abs(a.r - c.r) <= 0.5 GROUP BY ALL)"""
+      FROM f a JOIN f c ON a.lon = c.lon AND abs(a.x1 - c.x2) < 0.02 AND abs(a.lat - c.lat) < 5 AND abs(a.r - c.r) < 0.5 GROUP BY ALL)"""
 
 
 @query(f"WITH {_MIGRATE} SELECT lon, lat, r, CAST(d_lat AS INT) d_lat, d_rho FROM mg")

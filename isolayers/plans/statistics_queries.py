@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.density_grid import SURFACE
 from ..functions.eos import density_flux_heat, density_flux_water, haline_contraction, neutral_density, specific_heat, thermal_expansion
 from ..operators import columns, emergence, ensemble, surface
+from ..operators.change import painted
 from ..operators.change import volume_refill as refill
 from ..sources import tables
 from ..streaming import annual
@@ -140,19 +141,19 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
     return months.select("*", F.stddev_pop(F.when(F.col("i") < 24, F.col("v"))).over(w).alias("n1"), F.stddev_pop("v").over(w).alias("n2"))
 
 
-@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - n1, 9) >= 0, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
+@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (n1)*(1 - 1e-9), false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
 def toe_point(spark, d):
     return emergence.time_of_emergence(signal(spark, d), ["k"], "i", F.col("x"), F.col("n1"))
 
 
-@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.2*CASE WHEN i < 30 THEN n1 ELSE n2 END, 9) >= 0, false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
+@query(f"WITH {SIG} SELECT k, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (0.2*CASE WHEN i < 30 THEN n1 ELSE n2 END)*(1 - 1e-9), false) THEN i END) + 1, count(*)) AS INT) toe FROM sg GROUP BY k")
 def toe_two_thresholds(spark, d):
     return emergence.time_of_emergence_2(signal(spark, d), ["k"], "i", F.col("x"), F.col("n1"), F.col("n2"), 30, 0.2)
 
 
 @query(f"""WITH {ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), n AS (SELECT lat, r, max(s) s FROM (SELECT lat, r, member, stddev_pop(v) s FROM e GROUP BY ALL) GROUP BY ALL),
     q AS (SELECT member, lat, r, y, v - c x, s, row_number() OVER (PARTITION BY member, lat, r ORDER BY y) - 1 i, mult FROM e JOIN c USING (lat, r) JOIN n USING (lat, r), (SELECT unnest([0.5e0, 1e0]) mult))
-    SELECT member, lat, r, mult, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - mult*s, 9) >= 0, false) THEN j END) + 1, count(*)) AS INT) toe
+    SELECT member, lat, r, mult, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (mult*s)*(1 - 1e-9), false) THEN j END) + 1, count(*)) AS INT) toe
     FROM (SELECT *, dense_rank() OVER (PARTITION BY member, lat, r ORDER BY y) - 1 j FROM q) GROUP BY ALL""")
 def toe_ensemble(spark, d):
     from pyspark.sql import Window
@@ -204,7 +205,7 @@ def noise_std_avg(spark, d):
 
 @query(f"""WITH {ENS}, {BOX}, ba AS (SELECT * FROM {_box_sql('e', 'model, member, y')}), ct AS (SELECT model, y, avg(v) c FROM ba GROUP BY ALL),
     nz AS (SELECT model, max(s) s FROM (SELECT model, member, stddev_pop(v) s FROM ba GROUP BY ALL) GROUP BY ALL), q AS (SELECT model, member, y - 1995 i, v - c x, s FROM ba JOIN ct USING (model, y) JOIN nz USING (model))
-    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(x) - 0.3*s, 9) >= 0, false) THEN i END) - min(i) + 1, count(*)) AS INT) toe FROM q GROUP BY ALL""")
+    SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (0.3*s)*(1 - 1e-9), false) THEN i END) - min(i) + 1, count(*)) AS INT) toe FROM q GROUP BY ALL""")
 def toe_box_hist_nat(spark, d):
     keys = ["model", "member"]
     means = emergence.box_average(ens(spark, d), boxes(spark), ["model"], [*keys, "y"], "lat", "r", "v")
@@ -245,7 +246,7 @@ def noise_summary(spark, d):
 
 
 @query(f"""WITH {ENS}, a AS (SELECT *, v - avg(v) FILTER (y >= 1995 AND y < 1998) OVER (PARTITION BY member, lat, r) x FROM e), g AS (SELECT r, y, avg(CASE WHEN x < 0 THEN -1e0 WHEN x >= 0 THEN 1e0 END) agree FROM a GROUP BY ALL)
-    SELECT r, CAST(coalesce(max(CASE WHEN NOT coalesce(round(abs(agree) - 0.1, 9) >= 0, false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM g GROUP BY r""")
+    SELECT r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(agree) >= (0.1)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM g GROUP BY r""")
 def agreement_detection(spark, d):
     rows = ensemble.sign_agreement(ensemble.anomaly(ens(spark, d), ["member", "lat", "r"], "y", "v", 1995, 1998, "x"), ["r", "y"], "x")
     return emergence.agreement_detection(rows, ["r"], "y", "agree", 0.1)
@@ -384,18 +385,36 @@ def events_hourly(spark, d):
     return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", r4("mean_value").alias("mean_value"))
 
 
-# Two volume distributions per cell, over part size (as density) and over line number (as depth).
-@query(f"""WITH a AS (SELECT l_suppkey k, CAST(p_size AS INT) rho_idx, sum(l_quantity) v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), z AS (SELECT l_suppkey k, l_linenumber*100e0 z, sum(l_quantity) v FROM lineitem GROUP BY ALL),
-    ab AS (SELECT *, sum(v) OVER (PARTITION BY k ORDER BY rho_idx DESC) below FROM a), zb AS (SELECT k, z, sum(v) OVER (PARTITION BY k ORDER BY z DESC) below FROM z),
-    q AS (SELECT ab.k, rho_idx, ab.below x, max(CASE WHEN zb.below <= ab.below THEN zb.below END) x0, min(CASE WHEN zb.below >= ab.below THEN zb.below END) x1,
-      arg_max(zb.z, CASE WHEN zb.below <= ab.below THEN zb.below END) z0, arg_min(zb.z, CASE WHEN zb.below >= ab.below THEN zb.below END) z1 FROM ab JOIN zb USING (k) GROUP BY ALL)
-    SELECT k, rho_idx, {R('CASE WHEN x0 IS NULL THEN z1 WHEN x1 IS NULL THEN z0 WHEN x0 = x1 THEN z0 ELSE z0+(x-x0)/(x1-x0)*(z1-z0) END')} "depth" FROM q""")
-def volume_refill(spark, d):
+# Two volume distributions per cell, over part size (as density) and over line number (as depth); the sea floor lies 100 below the last line.
+_REFILL = """a AS (SELECT l_suppkey k, CAST(p_size AS INT) rho_idx, sum(l_quantity) v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), z AS (SELECT l_suppkey k, l_linenumber*100e0 z, sum(l_quantity) v FROM lineitem GROUP BY ALL),
+    rl AS (SELECT k, rho_idx, sum(v) OVER (PARTITION BY k ORDER BY rho_idx DESC) x FROM a),
+    rk AS (SELECT k, z, sum(v) OVER (PARTITION BY k ORDER BY z DESC) x FROM z UNION ALL SELECT k, max(z) + 100, 0e0 FROM z GROUP BY k),
+    seg AS (SELECT k, x x0, z z0, lead(x) OVER w x1, lead(z) OVER w z1 FROM rk WINDOW w AS (PARTITION BY k ORDER BY x)),
+    rd AS (SELECT rl.k, rho_idx, CASE WHEN x1 IS NULL THEN z0 ELSE z0 + (x - x0)/(x1 - x0)*(z1 - z0) END d FROM rl JOIN seg ON seg.k = rl.k AND x >= x0 AND (x < x1 OR x1 IS NULL))"""
+
+
+def _refilled(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), "l_partkey", (F.col("l_linenumber") * 100.0).alias("z"), F.col("l_quantity").alias("v"))
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("int").alias("rho_idx"))
     by_rho = items.join(part, "l_partkey").groupBy("k", "rho_idx").agg(F.sum("v").alias("v"))
     by_z = items.groupBy("k", "z").agg(F.sum("v").alias("v"))
-    return refill(by_rho, by_z, ["k"], "v").select("k", "rho_idx", r4("depth").alias("depth"))
+    return refill(by_rho, by_z, ["k"], "v", by_z.groupBy("k").agg((F.max("z") + 100).alias("bottom"))), by_z
+
+
+@query(f"WITH {_REFILL} SELECT k, rho_idx, {R('d')} \"depth\" FROM rd")
+def volume_refill(spark, d):
+    return _refilled(spark, d)[0].select("k", "rho_idx", r4("depth").alias("depth"))
+
+
+@query(f"""WITH {_REFILL}, ax AS (SELECT k, max(z) + 50 bottom, unnest(range(0, 900, 50)) z FROM z GROUP BY k)
+    SELECT ax.k, CAST(ax.z AS DOUBLE) z, CAST(max(CASE WHEN ax.z <= bottom THEN rho_idx END) AS INT) rho_idx FROM ax LEFT JOIN rd ON rd.k = ax.k AND round(rd.d, 9) <= ax.z GROUP BY ALL""")
+def depth_axis_painted(spark, d):
+    """The isopycnal at each depth of an axis, down to the column's bottom."""
+    depths, levels = _refilled(spark, d)
+    axis = levels.groupBy("k").agg((F.max("z") + 50).alias("bottom")).select("k", "bottom", F.explode(F.sequence(F.lit(0), F.lit(850), F.lit(50))).alias("z"))
+    axis = axis.withColumn("z", F.col("z").cast("double"))
+    found = painted(depths.withColumn("depth", F.round("depth", 9)), axis, ["k"], "depth", "rho_idx", "z", "bottom")
+    return found.select("k", "z", "rho_idx")
 
 
 @query("""WITH p AS (SELECT l_suppkey k, CAST(l_linenumber AS DOUBLE) x, avg(l_tax) v FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL), t AS (SELECT DISTINCT l_suppkey k, unnest([0.5e0, 1, 2.25e0, 4, 6.5e0, 9]) x FROM lineitem),

@@ -72,6 +72,49 @@ def migration(df: DataFrame, keys: list[str], lat: str, rho: str, before: str, a
     return found.select(*keys, lat, rho, "_b.d_lat", "_b.d_rho")
 
 
+def migration_refined(
+    df: DataFrame, keys: list[str], lat: str, rho: str, before: str, after: str, eps: float, step: float = 0.01, lat_band: float = 5.0, rho_band: float = 0.5, buckets: int = 8,
+) -> DataFrame:
+    """migration() with the later field on the multiples of `step` degrees of latitude, linear between neighbouring latitudes.
+
+    For each point (earlier value) the nearest refined point (later value) nearer than lat_band and rho_band whose value is within eps of its own: keys,
+    lat, rho, d_lat and d_rho (minus the offset); ties go to the lower density, then latitude. No refined grid is made: two
+    neighbouring latitudes are one segment of values, points meet the segments by equal buckets of value (`buckets` * eps wide), latitude and density, and
+    the nearest multiple of step on the stretch of a segment that is close in value and latitude follows in closed form. A segment has a row
+    for each bucket of value that it crosses, and its ends' buckets of latitude; a point has nine. A missing latitude or value between two
+    points breaks no segment unless its row is there with a null.
+    """
+    w = Window.partitionBy(*keys, rho).orderBy(lat)
+    rows = df.select(*keys, F.col(lat).cast("double").alias("_a"), F.col(rho).alias("_r2"), F.col(after).alias("_va"), F.lead(F.col(lat).cast("double")).over(w).alias("_b"), F.lead(after).over(w).alias("_vb"))
+    # the last latitude, and one before a null, is a segment of its own point
+    rows = rows.where(F.col("_va").isNotNull()).withColumn("_b", F.when(F.col("_vb").isNotNull(), F.col("_b")).otherwise(F.col("_a"))).withColumn("_vb", F.coalesce("_vb", "_va"))
+    size = eps * buckets
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))
+    rows = rows.withColumn("_v", span((F.least("_va", "_vb") - eps) / size, (F.greatest("_va", "_vb") + eps) / size))
+    rows = rows.withColumn("_y", span(F.col("_a") / lat_band, F.col("_b") / lat_band)).withColumn("_d", F.floor(F.col("_r2") / rho_band))
+    near = F.explode(F.array(*(F.struct(F.lit(b).alias("y"), F.lit(c).alias("d")) for b in (-1, 0, 1) for c in (-1, 0, 1)))).alias("_n")
+    points = df.where(F.col(before).isNotNull()).select(*keys, F.col(lat).cast("double").alias("_lat"), F.col(rho).alias("_rho"), F.col(before).alias("_x"), near)
+    points = points.select(*keys, "_lat", "_rho", "_x", F.floor(F.col("_x") / size).alias("_v"), (F.floor(F.col("_lat") / lat_band) + F.col("_n.y")).alias("_y"), (F.floor(F.col("_rho") / rho_band) + F.col("_n.d")).alias("_d"))
+    both = points.join(rows, [*keys, "_v", "_y", "_d"]).where(F.abs(F.col("_r2") - F.col("_rho")) < rho_band)
+    slope = F.try_divide(F.col("_vb") - F.col("_va"), F.col("_b") - F.col("_a"))
+    one, two = F.col("_a") + F.try_divide(F.col("_x") - eps - F.col("_va"), slope), F.col("_a") + F.try_divide(F.col("_x") + eps - F.col("_va"), slope)
+    # latitudes are counted in steps; the ends of the windows of value and latitude are open, those of the segment closed
+    steps = lambda x: F.round(x / step, 7)
+    flat = F.coalesce(slope == 0, F.lit(True))
+    low_open = F.greatest(F.col("_lat") - lat_band, F.when(~flat, F.least(one, two)))
+    high_open = F.least(F.col("_lat") + lat_band, F.when(~flat, F.greatest(one, two)))
+    low = F.greatest(F.ceil(steps(F.col("_a"))), F.floor(steps(low_open)) + 1)
+    high = F.least(F.floor(steps(F.col("_b"))), F.ceil(steps(high_open)) - 1)
+    both = both.where(~flat | (F.abs(F.col("_va") - F.col("_x")) < eps)).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    # of two multiples next to the point the nearer one, the lower if they are equally near
+    own = steps(F.col("_lat"))
+    at = F.least(F.greatest(F.ceil(own - 0.5), F.col("_low")), F.col("_high"))
+    dy, dr = at * step - F.col("_lat"), F.col("_r2") - F.col("_rho")
+    best = F.min_by(F.struct((-dy).alias("d_lat"), (-dr).alias("d_rho")), F.struct(F.round(dy * dy + dr * dr, 9), F.col("_r2"), at))
+    found = both.groupBy(*keys, "_lat", "_rho").agg(best.alias("_m"))
+    return found.select(*keys, F.col("_lat").alias(lat), F.col("_rho").alias(rho), "_m.d_lat", "_m.d_rho")
+
+
 def remap_to_depth(df: DataFrame, keys: list[str], depth: str, volume: str, value: str, edges: list[float]) -> DataFrame:
     """Volume-weighted mean of the isopycnals whose depth is in [edge, next edge); volumes of 0 are skipped."""
     at = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col(depth))) - 1

@@ -83,6 +83,30 @@ def two_level_mean(df: DataFrame, keys: list[str], model: str, value: str) -> Da
     return df.groupBy(*keys, model).agg(F.avg(value).alias("_m")).groupBy(*keys).agg(F.avg("_m").alias(value))
 
 
+def ensemble_block(
+    df: DataFrame, point: list[str], member: str, time: str, value: str, members: int | Column, base: tuple[int, int], least: float = 50.0, bowl: str | None = None,
+) -> DataFrame:
+    """All statistics of a member's field at once: (point, time, presence, mean, agree, spread, std[, bowl]), where at least `least` percent of the members have a value.
+
+    presence in percent of `members`, mean and spread over members, agree: mean sign of the anomaly against each member's own mean over [base), std:
+    largest standard deviation in time of a member at the point, bowl: mean over times of the members' mean of another column. df has one row per
+    (member, point, time). The rows are dealt once, by point: the members' means and deviations are windows, and the statistics an
+    aggregate, on rows that lie there already.
+    """
+    n = members if isinstance(members, Column) else F.lit(members)
+    own = Window.partitionBy(*point, member)
+    mean = F.avg(F.when((F.col(time) >= base[0]) & (F.col(time) < base[1]), F.col(value))).over(own)
+    rows = df.repartition(*point).withColumn("_x", F.col(value) - mean).withColumn("_s", F.stddev_pop(value).over(own)).withColumn("_n", n)
+    sign = F.when(F.col("_x") < 0, -1.0).when(F.col("_x") >= 0, 1.0)
+    aggs = [(100.0 * F.count(value) / F.max("_n")).alias("presence"), F.avg(value).alias("mean"), F.avg(sign).alias("agree"), F.stddev_pop(value).alias("spread"), F.max("_s").alias("_s")]
+    found = rows.groupBy(*point, time).agg(*aggs, *([F.avg(bowl).alias("bowl")] if bowl else []))
+    whole = Window.partitionBy(*point)  # a member is present at some time of the point
+    found = found.withColumn("std", F.max("_s").over(whole)).drop("_s")
+    if bowl:
+        found = found.withColumn("bowl", F.avg("bowl").over(whole))
+    return found.where(F.col("presence") >= least)
+
+
 def bowl_density(df: DataFrame, keys: list[str], rho: str, depth: str, bowl_depth: str, out: str = "bowl_rho") -> DataFrame:
     """Densest level whose depth is less than the bowl's while the next level reaches it."""
     after = F.lead(depth).over(Window.partitionBy(*keys).orderBy(rho))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,44 +71,11 @@ def persistent_totals(df: DataFrame, column: list[str], group: list[str], pers:
     return columns.groupBy(*group).agg(*totals, *((F.sum(F.col(v) * F.col(area)) / F.sum(area)).alias(v) for v in values))
 
 
-def inverse_distance_weights(source: DataFrame, target: DataFrame, nearest: int = 4, tile: float = 5.0) -> DataFrame:
-    """(src_cell, dst_cell, weight) of the `nearest` source cells of each target cell (cell, lat, lon in degrees).
+def regrid(df: DataFrame, weights: DataFrame, cell: str, keys: list[str], values: list[str]) -> DataFrame:
+    """Weighted means on the target cells; cells that are missing drop out of the weights.
 
-    Cells are points on the unit sphere and meet in cubes of `tile` degrees and their neighbours, which hold all sources within a tile's length,
-    at the poles as elsewhere. Targets that have fewer than `nearest` sources so near are sought again in cubes of twice the size, up to
-    the whole sphere, so every target gets its true nearest cells. Of equally near cells the lower source cell counts.
+    Weights: sphere.inverse_distance_weights(), merging.linear_weights(), or any table (src_cell, dst_cell, weight).
     """
-    def point(df: DataFrame, name: str) -> DataFrame:
-        y, x = F.radians("lat"), F.radians("lon")
-        return df.select(F.col("cell").alias(name), (F.cos(y) * F.cos(x)).alias("_x"), (F.cos(y) * F.sin(x)).alias("_y"), F.sin(y).alias("_z"))
-
-    s, left, size, found = point(source, "src_cell"), point(target, "dst_cell"), 2 * math.sin(math.radians(tile) / 2), None
-    axes = ("_x", "_y", "_z")
-    while True:
-        whole = size >= 2  # no two points are further apart
-        cube = lambda c: F.floor(F.col(c) / size)
-        around = F.array(*(F.struct(*(F.lit(d).alias(c) for d, c in zip(ds, axes))) for ds in itertools.product((-1, 0, 1), repeat=3)))
-        a = s.select("src_cell", *(F.col(c).alias(f"{c}s") for c in axes), *(cube(c).alias(f"_c{c}") for c in axes))
-        b = left.select("dst_cell", *axes, F.explode(around).alias("_n")).select("dst_cell", *axes, *((cube(c) + F.col(f"_n.{c}")).alias(f"_c{c}") for c in axes))
-        chord = F.sqrt(sum(((F.col(c) - F.col(f"{c}s")) ** 2 for c in axes), F.lit(0.0)))
-        rows = b.join(a, [f"_c{c}" for c in axes]).select("dst_cell", "src_cell", F.round(chord, 12).alias("_d"))
-        w = Window.partitionBy("dst_cell").orderBy("_d", "src_cell")
-        rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= nearest)
-        if not whole:
-            sure = F.sum(F.when(F.col("_d") <= size, 1)).over(Window.partitionBy("dst_cell"))
-            rows = rows.withColumn("_sure", sure).where(F.col("_sure") == nearest).drop("_sure")
-            left = left.join(rows.select("dst_cell").distinct(), "dst_cell", "left_anti")
-        found = rows if found is None else found.unionByName(rows)
-        if whole:
-            break
-        size *= 2
-    arc = 2 * F.asin(F.least(F.col("_d") / 2, F.lit(1.0)))
-    rows = found.withColumn("_w", 1 / (arc + 1e-9))
-    return rows.select("src_cell", "dst_cell", (F.col("_w") / F.sum("_w").over(Window.partitionBy("dst_cell"))).alias("weight"))
-
-
-def regrid(df: DataFrame, weights: DataFrame, cell: str, keys: list[str], values: list[str]) -> DataFrame:
-    """Weighted means on the target cells; cells that are missing drop out of the weights."""
     w = F.col("weight")
     joined = df.join(weights, F.col(cell) == F.col("src_cell"))
     means = joined.groupBy(*keys, F.col("dst_cell").alias(cell)).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import change, columns, repair, time_space
+from ..operators import change, columns, repair, sphere, time_space
 from .fixture import ANNUAL, BASIN, BOTTOM, GRID, KEYS, OCEAN, PROFILE, basins, ocean, on_density_sql, place_sql, r4, sub_sql, with_basin
 
 QUERIES, ORACLE = {}, {}
@@ -344,6 +344,6 @@ def regrid_inverse_distance(spark, d):
         k = F.col(key)
         return table(spark, d, name).select(k.alias("cell"), (F.lit(-90.0) + (k * a % 1800) / F.lit(10.0)).alias("lat"), ((k * b % 3600) / F.lit(10.0)).alias("lon"))
 
-    weights = time_space.inverse_distance_weights(cells("supplier", "s_suppkey", 17, 53), cells("customer", "c_custkey", 7, 29), 4, 30.0)
+    weights = sphere.inverse_distance_weights(cells("supplier", "s_suppkey", 17, 53), cells("customer", "c_custkey", 7, 29))
     field = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_acctbal").alias("v"))
     return _rounded(time_space.regrid(field, weights, "cell", [], ["v"]), ["cell"], ["v"])

@@ -86,6 +86,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{found}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_by_keys(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """Writes df as a table bucketed and sorted by keys, at a path that all machines share, and reads it.
+
+    Tables with the same keys and buckets join, and are grouped or ranked by these keys, without a shuffle: run, control and noise are dealt once, when they
+    are written. Of buckets there should be some per core, each a few hundred MB.
+    """
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append_years(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Writes df and replaces only the partitions that it has."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.time_space import annual_mean
@@ -12,7 +12,8 @@ from ..sources.tables import append_years
 def append_annual_means(stream: DataFrame, history, path: str, checkpoint: str, keys: list[str], year: str, depth: str, values: list[str]):
     """Starts a query that, for each batch of monthly rows, recomputes the years that it touches and replaces their partitions.
 
-    history(years) gives all monthly rows of the years of a batch (a one-column DataFrame), those of the batch included.
+    history(years) gives all monthly rows of the years of a batch (a one-column DataFrame), those of the batch included. Where history is long,
+    merge_annual_bins() reads the batch alone.
     """
 
     def update(batch: DataFrame, _: int) -> None:
@@ -22,6 +23,40 @@ def append_annual_means(stream: DataFrame, history, path: str, checkpoint: str,
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_annual_bins(stream: DataFrame, path: str, checkpoint: str, keys: list[str], year: str, month: str, depth: str, values: list[str], thick: str | None = None):
+    """Starts a query that keeps the annual sums of bins up to date: a batch reads its own rows and the state of the keys that it touches, no history.
+
+    State is kept per (keys, year): sums, the months whose depth counts, those with a thickness, and the months seen, one bit each. A month
+    of a key that comes again, in the same batch or a later one, counts once, and a late one whenever it comes. Each batch writes the new
+    totals of what it touched into a folder of its own, which a replay after a restart writes again with the same rows; annual_bins_so_far() reads
+    the last of each. State grows with the keys: at scale use the RocksDB provider (spark.sql.streaming.stateStore.providerClass).
+    """
+    names = list(dict.fromkeys((depth, *values, *([thick] if thick else []))))
+    rows = stream.select(*keys, year, month, *names).dropDuplicates([*keys, year, month])
+    good, held = F.count(F.when(F.col(depth) != 0, 1)), F.count(thick) if thick else F.lit(None).cast("long")
+    totals = rows.groupBy(*keys, year).agg(*(F.sum(n).alias(n) for n in names), good.alias("_good"), held.alias("_held"), F.bit_or(F.expr(f"1 << (cast(`{month}` as int) - 1)")).alias("_months"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    return totals.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def annual_bins_so_far(spark: SparkSession, path: str, keys: list[str], year: str, depth: str, values: list[str], thick: str | None = None, months: int = 12, whole_years: bool = True) -> DataFrame:
+    """(keys, year, depth, values, thick, pers) as time_space.annual_bins() gives them for all months that merge_annual_bins() has seen.
+
+    With whole_years only years of which all months have come, for whatever keys. `pers` is null without a thickness.
+    """
+    names = list(dict.fromkeys((depth, *values, *([thick] if thick else []))))
+    found = spark.read.option("basePath", path).parquet(f"{path}/_batch=*")
+    found = found.groupBy(*keys, year).agg(F.max_by(F.struct(*names, "_good", "_held", "_months"), F.col("_batch").cast("long")).alias("_t"))
+    if whole_years:
+        seen = found.groupBy(year).agg(F.bit_or("_t._months").alias("_m")).where(F.bit_count("_m") == months).select(year)
+        found = found.join(F.broadcast(seen), year, "left_semi")  # a row per year
+    means = [(F.col(f"_t.{n}") / F.nullif(F.col("_t._good"), F.lit(0))).alias(n) for n in names]
+    return found.select(*keys, year, *means, (100.0 * F.col("_t._held") / months).alias("pers"))
+
+
 def hourly(events: DataFrame, ts: str = "ts", value: str = "value", kind: str = "event_type", late: str = "1 hour") -> DataFrame:
     """Count and mean by tumbling hour and type; on a stream, state is dropped once the watermark has passed."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp"))

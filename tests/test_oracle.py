@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from isolayers.plans import more_queries, ocean_queries, statistics_queries
+from isolayers.plans import lookup_queries, more_queries, ocean_queries, statistics_queries
 
 DIR = "/root/testdata/sf0.001"
-QUERIES = ocean_queries.QUERIES | statistics_queries.QUERIES | more_queries.QUERIES
-ORACLE = ocean_queries.ORACLE | statistics_queries.ORACLE | more_queries.ORACLE
+QUERIES = ocean_queries.QUERIES | statistics_queries.QUERIES | more_queries.QUERIES | lookup_queries.QUERIES
+ORACLE = ocean_queries.ORACLE | statistics_queries.ORACLE | more_queries.ORACLE | lookup_queries.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import new_folder
+
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024, most: int = 100_000) -> DataFrame:
     """(keys, share, value): the quantile of each share, linear between the two values next to it; nulls don't count, keys without values have no row.
 
     Distributed selection instead of an aggregate that holds all values of a group: a histogram of `buckets` equal bins finds the bin that holds each
     wanted rank, then the rows of that bin alone are counted again in finer bins, until no bin holds more than `most` rows of different values,
-    which are then ranked. Ties end a search at once. Per round one number comes to the driver, and what is joined is a row per key and rank.
+    which are then ranked. Ties end a search at once. Per round one number comes to the driver, and a row per key and rank is written to the shared folder and joined.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     on = [F.col(f"_k_{k}").eqNullSafe(F.col(k)) for k in keys]
@@ -24,6 +26,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     # a search: rank, the values that may have it, how many are below them, how many they are
     open_ = ranks.join(whole.select(*named, "_n"), _all(on)).select(*keys, "_rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_held"))
     while True:
+        # a table of its own in the shared folder: the next round reads it twice, and a plan of many rounds would double with each
+        path, schema = new_folder(df.sparkSession, "selection"), open_.schema
+        open_.write.parquet(path)
+        open_ = df.sparkSession.read.schema(schema).parquet(path)
         top = open_.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_held")))).first()[0] or 0
         if top <= most:
             break

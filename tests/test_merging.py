@@ -246,7 +246,7 @@ def test_nearest_cells_take_few_joins_and_candidates(spark):
 @pytest.mark.parametrize("most", [0, 7, 100_000])
 def test_exact_quantiles(spark, most):
     rng = random.Random(3)
-    data = [(1, rng.gauss(0, 1)) for _ in range(400)] + [(2, 5.0)] * 300 + [(2, float(i)) for i in range(9)] + [(3, 1.5)] + [(4, None)] + [(5, 2.0**-i) for i in range(200)] + [(None, float(i)) for i in range(4)]
+    data = [(1, rng.gauss(0, 1)) for _ in range(400)] + [(2, 5.0)] * 300 + [(2, float(i)) for i in range(9)] + [(3, 1.5)] + [(4, None)] + [(5, 2.0**-i) for i in range(40)] + [(None, float(i)) for i in range(4)]
     shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     df = spark.createDataFrame(data, "k int, v double").repartition(3)
     got = {(r.k, r.share): r.v for r in selection.exact_quantiles(df, ["k"], "v", shares, buckets=16, most=most).collect()}

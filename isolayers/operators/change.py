@@ -13,6 +13,11 @@ def period_difference(df: DataFrame, keys: list[str], time: str, value: str, fir
     return rows.withColumn("change", F.col("mean2") - F.col("mean1"))
 
 
+def climatology(df: DataFrame, keys: list[str], time: str, value: str, agree: str, final: tuple[int, int]) -> DataFrame:
+    """Mean of a field over all times, and mean of the models' agreement over the final period (both ends included): (keys, value, agree)."""
+    return df.groupBy(*keys).agg(F.avg(value).alias(value), F.avg(F.when(F.col(time).between(*final), F.col(agree))).alias(agree))
+
+
 def forward_derivative(df: DataFrame, keys: list[str], axis: str, value: str, out: str = "slope") -> DataFrame:
     """(next value - value) / (next axis - axis); null at the end."""
     w = Window.partitionBy(*keys).orderBy(axis)

@@ -144,6 +144,46 @@ def conservation(before: DataFrame, after: DataFrame, keys: list[str], amounts:
     return rows.withColumn("kept", same)
 
 
+def volume_means(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], weights: tuple[str, str]) -> DataFrame:
+    """Volume-weighted means of values per key in two tables (<value>_before, <value>_after) and their difference (<value>_drift): what a change of
+    coordinate does to mean temperature and salinity. weights: the columns of volume; rows without a value or a volume don't count."""
+    def means(df: DataFrame, weight: str, tail: str) -> DataFrame:
+        w = F.col(weight)
+        return df.groupBy(*keys).agg(*(F.try_divide(F.sum(F.col(v) * w), F.sum(F.when(F.col(v).isNotNull(), w))).alias(v + tail) for v in values))
+
+    rows = means(before, weights[0], "_before").join(means(after, weights[1], "_after"), keys, "full")
+    return rows.withColumns({f"{v}_drift": F.col(f"{v}_after") - F.col(f"{v}_before") for v in values})
+
+
+def bowl_layers(
+    df: DataFrame, keys: list[str], rho: str, z: str, content: str, volume: str, edges: list[float], bowl_depth: float, offset: float = 0.0,
+) -> DataFrame:
+    """content_layers() with each column's own edge at the bowl, the density that its profile has at bowl_depth: (keys, layer, below, content, volume,
+    spice, anomaly).
+
+    The density is interpolated between the two levels around that depth (the nearest level's beyond the ends). Each layer between the density interfaces is cut by
+    it into a part above and one below the bowl (`below`). spice is the content minus the volume-weighted mean of the same layer part over
+    all columns, anomaly minus that of the whole domain.
+    """
+    at = Window.partitionBy(*keys)
+    rows = df.where(F.col(rho).isNotNull())
+    point = lambda c: F.when(c, F.struct(F.col(z).alias("z"), F.col(rho).alias("r")))
+    a, b = F.max(point(F.col(z) <= bowl_depth)).over(at), F.min(point(F.col(z) >= bowl_depth)).over(at)
+    rows = rows.withColumn("_a", a).withColumn("_b", b)
+    share = F.coalesce((bowl_depth - F.col("_a.z")) / F.nullif(F.col("_b.z") - F.col("_a.z"), F.lit(0.0)), F.lit(0.0))
+    bowl = F.coalesce(F.col("_a.r") + share * (F.col("_b.r") - F.col("_a.r")), F.col("_a.r"), F.col("_b.r"))
+    layer = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e <= F.col(rho)))
+    rows = rows.where(F.col(content).isNotNull() & (F.col(volume) > 0)).withColumn("layer", layer).withColumn("below", F.col(rho) >= bowl)
+    amount = F.sum(F.col(content) * F.col(volume)).alias("_c")
+    parts = rows.groupBy(*keys, "layer", "below").agg(amount, F.sum(volume).alias(volume))
+    # means of layers and of the domain from the parts' sums: two rows per interface, and one
+    layers = parts.groupBy("layer", "below").agg(F.sum("_c").alias("_lc"), F.sum(volume).alias("_lv"))
+    whole = layers.agg(F.sum("_lc").alias("_wc"), F.sum("_lv").alias("_wv"))
+    parts = parts.join(F.broadcast(layers), ["layer", "below"]).crossJoin(F.broadcast(whole))
+    own = F.col("_c") / F.col(volume)
+    return parts.select(*keys, "layer", "below", (own + offset).alias(content), volume, (own - F.col("_lc") / F.col("_lv")).alias("spice"), (own - F.col("_wc") / F.col("_wv")).alias("anomaly"))
+
+
 def content_layers(df: DataFrame, keys: list[str], rho: str, content: str, volume: str, edges: list[float], offset: float = 0.0) -> DataFrame:
     """Volume and volume-weighted mean content (plus an offset) in the layers between density interfaces: layer 0 is lighter than the first, layer i
     is [edge i - 1, edge i), the last has what is densest."""

@@ -96,6 +96,13 @@ def emerged_only(df: DataFrame, toe: str, steps: int | Column) -> DataFrame:
     return df.withColumn(toe, F.when(F.col(toe) != steps, F.col(toe)))
 
 
+def outside_bowl(df: DataFrame, bowl: DataFrame, keys: list[str], rho: str, limit: str, toe: str, steps: Column, values: Column) -> DataFrame:
+    """Times of emergence as they are drawn: missing where never emerged (toe = steps), where the field lacks a value (values < steps), and lighter than the bowl's
+    density `limit` of the keys; all are missing where the bowl is."""
+    rows = df.join(bowl.select(*keys, limit), keys, "left")
+    return rows.withColumn(toe, F.when((F.col(toe) != steps) & (values >= steps) & (F.col(rho) >= F.col(limit)), F.col(toe))).drop(limit)
+
+
 def concatenated(first: DataFrame, second: DataFrame, ids: list[str], year: str, shift: int = 0) -> DataFrame:
     """Runs that both have, one after the other; the second's years are moved by `shift`."""
     a = first.join(second.select(*ids).distinct(), ids, "left_semi")

@@ -107,6 +107,12 @@ def ensemble_block(
     return found.where(F.col("presence") >= least)
 
 
+def mean_of_models(df: DataFrame, keys: list[str], model: str, statistics: list[str], least: int = 1) -> DataFrame:
+    """Means over models of each model's own statistics (its mean, agreement, bowl, ...), where at least `least` models have a row."""
+    rows = df.groupBy(*keys).agg(*(F.avg(s).alias(s) for s in statistics), F.count_distinct(model).alias("models"))
+    return rows.where(F.col("models") >= least)
+
+
 def bowl_density(df: DataFrame, keys: list[str], rho: str, depth: str, bowl_depth: str, out: str = "bowl_rho") -> DataFrame:
     """Densest level whose depth is less than the bowl's while the next level reaches it."""
     after = F.lead(depth).over(Window.partitionBy(*keys).orderBy(rho))

@@ -63,6 +63,16 @@ def shapes(df: DataFrame, dataset: list[str], axes: list[str]) -> DataFrame:
     return df.groupBy(*dataset).agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(a).alias(f"n_{a}") for a in axes))
 
 
+def compared_shapes(one: DataFrame, two: DataFrame, dataset: list[str], axes: list[str]) -> DataFrame:
+    """shapes() of both tables per dataset (n, n_<axis> and the same with _2), and `same`; a dataset that one of them lacks is not the same."""
+    names = ["n", *(f"n_{a}" for a in axes)]
+    b = shapes(two, dataset, axes).withColumnsRenamed({c: f"{c}_2" for c in names})
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_2"))
+    return shapes(one, dataset, axes).join(b, dataset, "full").withColumn("same", same)
+
+
 def seam_repaired(df: DataFrame, keys: list[str], lon_idx: str, lat_idx: str, value: str, i1: int, i2: int, jmax: int, width: int) -> DataFrame:
     """South of lat index jmax: the value at i1 becomes the mean of its neighbours i1 - 1 and i2 + 1 (0 beyond the last), and i2 takes it."""
     after = 0 if i2 >= width - 1 else i2 + 1

@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import change, columns, emergence, ensemble, merging, selection, time_space
+from ..functions.density_grid import SURFACE
+from ..functions.eos import density_flux_water
+from ..operators import change, columns, emergence, ensemble, merging, repair, selection, surface, time_space
 from ..sources import tables
 from ..streaming import annual as streams
-from .fixture import ANNUAL, OCEAN, PROFILE, full_years, ocean, r4, table
+from .fixture import ANNUAL, KEYS, OCEAN, PROFILE, ocean, r4, table
 from .ocean_queries import _MIGRATE, _migrating, profile
-from .statistics_queries import ENS, R, ens
+from .statistics_queries import ENS, R, _transformed_sql, ens, fields
 
 QUERIES, ORACLE = {}, {}
 
@@ -159,3 +161,74 @@ def annual_bins_merged(spark, d):
     found = streams.annual_bins_so_far(spark, f"{out}/rows", keys, "y", "z", ["t"], "thick")
     tops = time_space.bowl(found, ["cell", "y"], "pers", "z", [], least=50.0)
     return found.join(tops, ["cell", "y"]).select("cell", "y", "rho_idx", r4("z").alias("z"), r4("t").alias("t"), r4("pers").alias("pers"), "bowl_idx")
+
+
+@query(f"""WITH {OCEAN}, a AS (SELECT cell, count(*) n, count(DISTINCT y) n_y, count(DISTINCT lev) n_lev FROM o GROUP BY cell), b AS (SELECT cell, count(*) n_2, count(DISTINCT y) n_y_2, count(DISTINCT lev) n_lev_2 FROM o WHERE cell % 3 <> 0 AND (cell % 3 = 1 OR lev <> 4) GROUP BY cell)
+    SELECT cell, n, n_y, n_lev, n_2, n_y_2, n_lev_2, coalesce(n = n_2 AND n_y = n_y_2 AND n_lev = n_lev_2, false) same FROM a FULL JOIN b USING (cell)""")
+def shapes_compared(spark, d):
+    """Datasets whose two variables don't have the same points."""
+    rows = ocean(spark, d)
+    other = rows.where((F.col("cell") % 3 != 0) & ((F.col("cell") % 3 == 1) | (F.col("lev") != 4)))
+    return repair.compared_shapes(rows, other, ["cell"], ["y", "lev"])
+
+
+@query(f"""WITH {PROFILE}, l AS (SELECT *, coalesce(lead(z) OVER w - z, z - lag(z) OVER w) dz FROM o WINDOW w AS (PARTITION BY cell, y, m ORDER BY lev)), p AS (SELECT l.* FROM l SEMI JOIN sub USING (cell, y, m, lev)),
+    a AS (SELECT cell, y, sum(t*dz)/sum(dz) t, sum(s*dz)/sum(dz) s FROM p GROUP BY ALL), b AS (SELECT cell, y, sum(t*thick)/sum(thick) t, sum(s*thick)/sum(thick) s FROM prof GROUP BY ALL)
+    SELECT cell, y, {R('a.t')} t_before, {R('b.t')} t_after, {R('a.s')} s_before, {R('b.s')} s_after, {R('b.t - a.t')} t_drift FROM a FULL JOIN b USING (cell, y)""")
+def volume_means_kept(spark, d):
+    """Mean temperature and salinity of the levels and of the bins that they become."""
+    levels = columns.sub_profile(columns.level_thickness(ocean(spark, d), KEYS, "lev", "z"), KEYS, "lev", "rho")
+    found = columns.volume_means(levels, profile(spark, d), ["cell", "y"], ["t", "s"], ("dz", "thick"))
+    return found.select("cell", "y", *(r4(c).alias(c) for c in ("t_before", "t_after", "s_before", "s_after", "t_drift")))
+
+
+@query(f"""WITH {OCEAN}, g AS (SELECT cell, y, z, avg(rho) rho, avg(s) s FROM o GROUP BY ALL), e AS (SELECT cell, y, max(CASE WHEN z <= 150 THEN z END) za, min(CASE WHEN z >= 150 THEN z END) zb, arg_max(rho, CASE WHEN z <= 150 THEN z END) ra, arg_min(rho, CASE WHEN z >= 150 THEN z END) rb FROM g GROUP BY ALL),
+    k AS (SELECT cell, y, CASE WHEN za IS NULL THEN rb WHEN zb IS NULL THEN ra ELSE ra + (150 - za)/(zb - za)*(rb - ra) END bowl FROM e),
+    x AS (SELECT cell, y, CASE WHEN rho < 22 THEN 0 WHEN rho < 24 THEN 1 WHEN rho < 26 THEN 2 WHEN rho < 27 THEN 3 ELSE 4 END layer, rho >= bowl below, sum(s*z) c, sum(z) z FROM g JOIN k USING (cell, y) GROUP BY ALL)
+    SELECT cell, y, CAST(layer AS INT) layer, below, {R('c/z - 34.6')} s, {R('c/z - sum(c) OVER l/sum(z) OVER l')} spice, {R('c/z - sum(c) OVER ()/sum(z) OVER ()')} anomaly, z FROM x WINDOW l AS (PARTITION BY layer, below)""")
+def bowl_layers(spark, d):
+    """Salinity content above and below each column's bowl at 150 m, without the means of isopycnals and of the domain."""
+    rows = ocean(spark, d).groupBy("cell", "y", "z").agg(F.avg("rho").alias("rho"), F.avg("s").alias("s")).withColumn("v", F.col("z"))
+    found = columns.bowl_layers(rows, ["cell", "y"], "rho", "z", "s", "v", [22, 24, 26, 27], 150.0, -34.6)
+    return found.select("cell", "y", "layer", "below", r4("s").alias("s"), r4("spice").alias("spice"), r4("anomaly").alias("anomaly"), F.col("v").alias("z"))
+
+
+@query(f"""WITH {ENS}, g AS (SELECT lat, r, y, avg(v) v FROM e GROUP BY ALL), x AS (SELECT *, v - avg(v) FILTER (y <= 1996) OVER p x, stddev_pop(v) OVER p s, y - 1995 i FROM g WINDOW p AS (PARTITION BY lat, r)),
+    q AS (SELECT lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= s*(1 - 1e-9), false) THEN i END) - min(i) + 1, count(*)) AS INT) toe, count(*) n, count(x) have FROM x GROUP BY ALL), st AS (SELECT max(n) st FROM q), bo AS (SELECT lat, min(r) + 3 lim FROM g WHERE lat % 5 <> 0 GROUP BY lat)
+    SELECT lat, r, CASE WHEN toe <> st AND have >= st AND r >= lim THEN toe END toe FROM q CROSS JOIN st LEFT JOIN bo USING (lat)""")
+def toe_fields_outside_the_bowl(spark, d):
+    """Times of emergence per point as they are drawn: emerged, with all values, and below the bowl."""
+    point = ["lat", "r"]
+    field = ens(spark, d).groupBy(*point, "y").agg(F.avg("v").alias("v"))
+    base = field.groupBy(*point).agg(F.avg(F.when(F.col("y") <= 1996, F.col("v"))).alias("base"), F.stddev_pop("v").alias("noise"))
+    rows = field.join(base, point).withColumn("x", F.col("v") - F.col("base"))
+    found = emergence.time_of_emergence(rows, point, "y", F.col("x"), F.col("noise")).join(rows.groupBy(*point).agg(F.count("x").alias("have"), F.count(F.lit(1)).alias("n")), point)
+    steps = found.agg(F.max("n").alias("steps"))
+    bowl = field.where("lat % 5 <> 0").groupBy("lat").agg((F.min("r") + 3).alias("limit"))
+    return emergence.outside_bowl(found.crossJoin(F.broadcast(steps)), bowl, ["lat"], "r", "limit", "toe", F.col("steps"), F.col("have")).select("lat", "r", "toe")  # one row
+
+
+@query(f"""WITH {ENS}, a AS (SELECT *, v - avg(v) FILTER (y >= 1995 AND y < 1998) OVER (PARTITION BY member, lat, r) x FROM e), g AS (SELECT lat, r, y, avg(v) v, avg(CASE WHEN x < 0 THEN -1e0 WHEN x >= 0 THEN 1e0 END) agree FROM a GROUP BY ALL)
+    SELECT lat, r, {R('avg(v)')} v, {R('avg(agree) FILTER (y BETWEEN 1999 AND 2000)')} agree FROM g GROUP BY ALL""")
+def climatology_and_final_agreement(spark, d):
+    rows = ensemble.anomaly(ens(spark, d), ["member", "lat", "r"], "y", "v", 1995, 1998)
+    fields_ = rows.groupBy("lat", "r", "y").agg(F.avg("v").alias("v"), F.avg(F.when(F.col("anomaly") < 0, -1.0).when(F.col("anomaly") >= 0, 1.0)).alias("agree"))
+    return change.climatology(fields_, ["lat", "r"], "y", "v", "agree", (1999, 2000)).select("lat", "r", r4("v").alias("v"), r4("agree").alias("agree"))
+
+
+@query(f"""WITH {ENS}, u AS (SELECT model, member, r, y, avg(v) v, 1e0*min(lat) b FROM e GROUP BY ALL), a AS (SELECT *, v - avg(v) FILTER (y >= 1995 AND y < 1998) OVER (PARTITION BY model, member, r) x FROM u),
+    q AS (SELECT model, r, y, avg(v) mean, avg(CASE WHEN x < 0 THEN -1e0 WHEN x >= 0 THEN 1e0 END) agree, avg(b) b FROM a, nm GROUP BY ALL HAVING 100e0*count(v)/max(n) >= 50), w AS (SELECT model, r, y, avg(b) b FROM a GROUP BY ALL), t AS (SELECT model, r, avg(b) bowl FROM w GROUP BY ALL)
+    SELECT r, y, {R('avg(mean)')} mean, {R('avg(agree)')} agree, {R('avg(bowl)')} bowl, count(*) models FROM q JOIN t USING (model, r) GROUP BY r, y HAVING count(*) >= 2""")
+def models_agree_and_bowl(spark, d):
+    """Mean over models of each model's mean, agreement and bowl, from one pass over the members."""
+    n = table(spark, d, "supplier").agg(F.count_distinct(F.floor(F.col("s_suppkey") / 25)).alias("n"))
+    rows = ens(spark, d).groupBy("model", "member", "r", "y").agg(F.avg("v").alias("v"), F.min("lat").cast("double").alias("b")).crossJoin(F.broadcast(n))  # one row
+    found = ensemble.ensemble_block(rows, ["model", "r"], "member", "y", "v", F.col("n"), (1995, 1998), bowl="b")
+    found = ensemble.mean_of_models(found, ["r", "y"], "model", ["mean", "agree", "bowl"], 2)
+    return found.select("r", "y", *(r4(c).alias(c) for c in ("mean", "agree", "bowl")), "models")
+
+
+@query(f"WITH {_transformed_sql().replace('*w*1e-3*s f', '*w*1e-3 f')} SELECT m, rho_idx, round(water*100 + 1.3e-7, 4)+0 water FROM tr")
+def water_transformation_without_salinity(spark, d):
+    rows = fields(spark, d).withColumn("water", density_flux_water(F.col("w"), F.col("t"), F.col("s"), times_salinity=False))
+    return surface.outcrop_transformation(rows, ["m"], "rho", ["water"], "a", SURFACE, 1e6).select("m", "rho_idx", r4(F.col("water") * 100).alias("water"))

@@ -76,6 +76,15 @@ def not_written(catalog: DataFrame, written: DataFrame, ids: list[str], overwrit
     return catalog if overwrite else catalog.join(written.select(*ids).distinct(), ids, "left_anti")
 
 
+def whole_outputs(spark: SparkSession, path: str, ids: list[str], least_bytes: int = 1_000_000) -> DataFrame:
+    """(ids) of the partitions of an output whose files all have at least least_bytes: a run that died leaves smaller ones, which count as not written.
+
+    ids are the partition columns of the folder. Sizes come from the listing; no file is opened, so a truncated one does no harm.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(*ids, "length")
+    return files.groupBy(*ids).agg(F.min("length").alias("_least")).where(F.col("_least") >= least_bytes).select(*ids)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own in spark.checkpoint.dir, the folder that all machines share; in local mode a temporary one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -321,3 +321,34 @@ def test_merged_stream_restarts_replays_and_takes_late_months(spark, tmp_path):
     rows = last.collect()
     spark.createDataFrame(rows, last.schema).write.mode("overwrite").parquet(f"{out}/_batch=2")
     assert key(annual.annual_bins_so_far(spark, out, ["c"], "y", "z", ["t"], "h")) == key(want)
+
+
+def test_truncated_output_counts_as_not_written(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(3000).select(F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.rand(1).alias("v"))
+    rows.repartition("model").write.partitionBy("model").parquet(path)
+    broken = next((tmp_path / "out" / "model=m1").glob("part-*.parquet"))
+    broken.write_bytes(broken.read_bytes()[:100])
+    catalog = spark.createDataFrame([("m0",), ("m1",), ("m2",), ("m3",)], "model string")
+    whole = tables.whole_outputs(spark, path, ["model"], 1000)
+    assert sorted(r.model for r in tables.not_written(catalog, whole, ["model"]).collect()) == ["m1", "m3"]
+
+
+def test_long_sources_of_several_forms(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("cell,thetao,so\n1,2.5,35\n2,,34\n")
+    (tmp_path / "b.csv").write_text("cell,thetao,so\n3,4.5,33\n")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+    df = tables.read_long(spark, paths, "cell long, thetao double, so double", {"thetao": "t", "so": "s"}, "csv")
+    assert sorted(map(tuple, df.collect())) == [(1, 2.5, 35.0), (2, None, 34.0), (3, 4.5, 33.0)] and df.columns == ["cell", "t", "s"]
+    df.write.parquet(str(tmp_path / "p"))
+    assert tables.read_long(spark, str(tmp_path / "p"), aliases={"t": "x"}).columns == ["cell", "x", "s"]
+    df.write.json(str(tmp_path / "j"))
+    assert tables.read_long(spark, str(tmp_path / "j"), "cell long, s double", form="json").count() == 3
+
+
+def test_bowl_edge_of_a_column(spark):
+    df = spark.createDataFrame([(1, 10.0, 22.0, 1.0, 2.0), (1, 30.0, 24.0, 3.0, 1.0), (1, 50.0, 24.5, 5.0, 1.0), (2, 10.0, 25.0, 7.0, 1.0)], "c int, z double, rho double, x double, v double")
+    got = {(r.c, r.layer, r.below): (r.x, r.spice, r.anomaly) for r in columns.bowl_layers(df, ["c"], "rho", "z", "x", "v", [23.0], 40.0).collect()}
+    # the first column's bowl is 24.25, the second's its only level
+    mean = (2 + 3 + 5 + 7) / 5
+    assert got == {(1, 0, False): (1.0, 0.0, pytest.approx(1 - mean)), (1, 1, False): (3.0, 0.0, pytest.approx(3 - mean)), (1, 1, True): (5.0, -1.0, pytest.approx(5 - mean)), (2, 1, True): (7.0, 1.0, pytest.approx(7 - mean))}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sphere
+
 
 def annual_mean(df: DataFrame, keys: list[str], depth: str, values: list[str]) -> DataFrame:
     """Sum of each value over the months, divided by the months whose depth is there and not 0."""
@@ -71,6 +75,11 @@ def persistent_totals(df: DataFrame, column: list[str], group: list[str], pers:
     return columns.groupBy(*group).agg(*totals, *((F.sum(F.col(v) * F.col(area)) / F.sum(area)).alias(v) for v in values))
 
 
+def inverse_distance_weights(source: DataFrame, target: DataFrame, nearest: int = 4, tile: float = 5.0) -> DataFrame:
+    """sphere.inverse_distance_weights() with the finest cubes about an eighth of `tile` degrees long; the result doesn't depend on it."""
+    return sphere.inverse_distance_weights(source, target, nearest, max(1, math.ceil(math.log2(2 / math.radians(tile / 8)))))
+
+
 def regrid(df: DataFrame, weights: DataFrame, cell: str, keys: list[str], values: list[str]) -> DataFrame:
     """Weighted means on the target cells; cells that are missing drop out of the weights.
 

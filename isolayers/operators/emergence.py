@@ -125,6 +125,49 @@ def signal_of_scenarios(
     return part(first).unionByName(part(second))
 
 
+def scenario_block(
+    df: DataFrame, ids: list[str], point: list[str], year: str, value: str, change: int, natural: Column, control: Column, out: str = "signal"
+) -> DataFrame:
+    """signal_of_scenarios and its noise from one table: (ids, point, year, signal, noise1, noise2), the history before the year `change`.
+
+    natural tells the rows of the natural runs (those of the history count), control those of the control. noise1 and noise2 are the largest standard
+    deviations in time of a run at the point, before `change` and from there on, over all runs. df has one row per (ids, point, year). The rows
+    are dealt once, by point, where all means and deviations are windows; only which runs have both parts comes from a second, narrow aggregate.
+    """
+    past = F.col(year) < change
+    year_mean, point_mean, own, whole = (Window.partitionBy(*k) for k in ([*point, year], point, [*point, *ids], point))
+    base, level = F.when(past & natural, F.col(value)), F.when(control, F.col(value))
+    std = lambda c: F.stddev_pop(F.when(c, F.col(value))).over(own)
+    rows = df.repartition(*point).withColumns({"_s1": std(past), "_s2": std(~past)})
+    rows = rows.withColumns({
+        "_b": F.avg(base).over(year_mean), "_bn": F.count(F.when(past & natural, 1)).over(year_mean),
+        "_l": F.avg(level).over(point_mean), "_ln": F.count(F.when(control, 1)).over(point_mean),
+        "noise1": F.max("_s1").over(whole), "noise2": F.max("_s2").over(whole),
+    })
+    rows = rows.where(F.when(past, F.col("_bn")).otherwise(F.col("_ln")) > 0)
+    both = df.groupBy(*ids).agg(F.min(year).alias("_from"), F.max(year).alias("_to")).where((F.col("_from") < change) & (F.col("_to") >= change))
+    signal = F.col(value) - F.when(past, F.col("_b")).otherwise(F.col("_l"))
+    return rows.join(both, ids, "left_semi").select(*ids, *point, year, signal.alias(out), "noise1", "noise2")
+
+
+def signal_and_noise(
+    df: DataFrame, keys: list[str], member: list[str], value: str, control: Column | None = None, noisy: Column | None = None,
+    out: str = "signal", noise: str = "noise"
+) -> DataFrame:
+    """df with the signal (value minus its mean over the control's rows of the keys) and the noise (largest standard deviation of a member over its noisy rows).
+
+    Without control all rows are the control; noisy are the control's rows unless given. Keys without a row of the control are
+    left out. Rows are dealt once, by the keys, and neither the control nor the noise is joined.
+    """
+    control = F.lit(True) if control is None else control
+    noisy = control if noisy is None else noisy
+    own, whole = Window.partitionBy(*keys, *member), Window.partitionBy(*keys)
+    rows = df.repartition(*keys).withColumn("_s", F.stddev_pop(F.when(noisy, F.col(value))).over(own))
+    rows = rows.withColumns({"_c": F.avg(F.when(control, F.col(value))).over(whole), "_n": F.count(F.when(control, 1)).over(whole), noise: F.max("_s").over(whole)})
+    rows = rows.where("_n > 0").withColumn(out, F.col(value) - F.col("_c"))
+    return rows.drop("_s", "_c", "_n")
+
+
 def average_of_emergence(toe: DataFrame, boxes: DataFrame, on: list[str], keys: list[str], lat: str, rho: str, value: str = "toe", inclusive: bool = False) -> DataFrame:
     """Box average of the times of emergence of points, rounded to the nearest even."""
     found = box_average(toe, boxes, on, keys, lat, rho, value, inclusive)

@@ -13,9 +13,10 @@ def outcrop_transformation(df: DataFrame, keys: list[str], rho: str, fluxes: lis
     """Per bin [level, next): sum of flux * area over the bin's width, and the outcrop's area. Densities beyond the last level fall
     into the last bin; those lighter than the grid and nulls are left out."""
     at = F.when(F.col(rho) >= grid.high, grid.size - 1).otherwise(grid.bin(F.col(rho)))
-    rows = df.withColumn("rho_idx", at).where(F.col("rho_idx").isNotNull())
-    sums = rows.groupBy(*keys, "rho_idx").agg(*(F.sum(F.col(f) * F.col(area)).alias(f) for f in fluxes), F.sum(area).alias("area"))
-    return sums.withColumns({f: F.col(f) / grid.step(F.col("rho_idx")) * scale for f in fluxes})
+    # rows outside the grid are a group that goes afterwards, told by an aggregate: a filter on the index would be pushed into the
+    # scan, and with it the whole density polynomial, once for each mention
+    sums = df.withColumn("rho_idx", at).groupBy(*keys, "rho_idx").agg(*(F.sum(F.col(f) * F.col(area)).alias(f) for f in fluxes), F.sum(area).alias("area"), F.count("rho_idx").alias("_n"))
+    return sums.where("_n > 0").drop("_n").withColumns({f: F.col(f) / grid.step(F.col("rho_idx")) * scale for f in fluxes})
 
 
 def formation(df: DataFrame, keys: list[str], flux: str, out: str = "formation") -> DataFrame:

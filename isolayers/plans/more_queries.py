@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.density_grid import SURFACE
@@ -150,9 +151,7 @@ _SCENARIO = f"""{ENS}, nat AS (SELECT lat, r, y, avg(v) c FROM e WHERE y <= 1998
 
 
 def _scenario(spark, d):
-    rows = ens(spark, d)
-    hist, future = rows.where("y <= 1998"), rows.where("y > 1998")
-    return emergence.signal_of_scenarios(hist, hist.where("member % 2 = 0"), future, rows.where("y <= 1996"), ["member", "model"], ["lat", "r"], "y", "v", "x")
+    return emergence.scenario_block(ens(spark, d), ["member", "model"], ["lat", "r"], "y", "v", 1999, F.col("member") % 2 == 0, F.col("y") <= 1996, "x")
 
 
 @query(f"WITH {_SCENARIO} SELECT member, model, lat, r, y, {R('x')} x FROM sc")
@@ -164,19 +163,15 @@ def scenario_signal(spark, d):
     SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(x) >= (0.5*CASE WHEN y < 1999 THEN n1 ELSE n2 END)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM sc JOIN n USING (lat, r) GROUP BY ALL""")
 def toe_scenarios(spark, d):
     """Time of emergence per point over history and future, each with its own noise."""
-    rows = ens(spark, d)
-    std = lambda c, n: F.stddev_pop(F.when(c, F.col("v"))).alias(n)
-    noise = rows.groupBy("lat", "r", "member").agg(std(F.col("y") <= 1998, "s1"), std(F.col("y") > 1998, "s2")).groupBy("lat", "r").agg(F.max("s1").alias("n1"), F.max("s2").alias("n2"))
-    signal_ = _scenario(spark, d).join(noise, ["lat", "r"])
-    return emergence.time_of_emergence_2(signal_, ["member", "model", "lat", "r"], "y", F.col("x"), F.col("n1"), F.col("n2"), 1999, 0.5)
+    return emergence.time_of_emergence_2(_scenario(spark, d), ["member", "model", "lat", "r"], "y", F.col("x"), F.col("noise1"), F.col("noise2"), 1999, 0.5)
 
 
 @query(f"""WITH {_SCENARIO}, {BOX}, ba AS (SELECT * FROM {_box_sql('sc', 'model, member, y', 'x')}), nz AS (SELECT model, max(s) s FROM (SELECT model, member, stddev_pop(v) s FROM ba WHERE y <= 1998 GROUP BY ALL) GROUP BY ALL)
     SELECT model, member, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(v) >= (0.5*s)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe FROM ba JOIN nz USING (model) GROUP BY ALL""")
 def toe_box_scenarios(spark, d):
     means = emergence.box_average(_scenario(spark, d), boxes(spark), ["model"], ["model", "member", "y"], "lat", "r", "x")
-    noise = ensemble.largest_member_std(means.where("y <= 1998"), ["model"], "member", "x", out="s")
-    return emergence.time_of_emergence(means.join(noise, "model"), ["model", "member"], "y", F.col("x"), F.col("s"), 0.5)
+    means = emergence.signal_and_noise(means, ["model"], ["member"], "x", noisy=F.col("y") <= 1998)
+    return emergence.time_of_emergence(means, ["model", "member"], "y", F.col("x"), F.col("noise"), 0.5)
 
 
 @query(f"""WITH {ENS}, {BOX}, ba AS (SELECT * FROM {_box_sql('e', 'model, member, y')}), tp AS (SELECT model, member, max(y) t FROM ba GROUP BY ALL), ct AS (SELECT model, member, v FROM ba JOIN tp USING (model, member) WHERE y > t - 3),
@@ -185,11 +180,9 @@ def toe_box_scenarios(spark, d):
 def toe_box_control(spark, d):
     """A run against the last years of a control: mean and largest spread of these."""
     means = emergence.box_average(ens(spark, d), boxes(spark), ["model"], ["model", "member", "y"], "lat", "r", "v")
-    control = ensemble.time_window(means, "y", last=3, keys=["model", "member"])
-    noise = ensemble.largest_member_std(control, ["model"], "member", "v", out="s")
-    level = control.groupBy("model").agg(F.avg("v").alias("v"))
-    rows = emergence.signal_over(means.where("y <= 1999"), level, ["model"], "v").join(noise, "model")
-    return emergence.time_of_emergence(rows, ["model", "member"], "y", F.col("signal"), F.col("s"), 0.5)
+    last = F.max("y").over(Window.partitionBy("model", "member"))
+    rows = emergence.signal_and_noise(means.withColumn("last", last), ["model"], ["member"], "v", F.col("y") > F.col("last") - 3).where("y <= 1999")
+    return emergence.time_of_emergence(rows, ["model", "member"], "y", F.col("signal"), F.col("noise"), 0.5)
 
 
 _TOE_POINTS = f"""{ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), pt AS (SELECT member, model, lat, r, CAST(coalesce(max(CASE WHEN NOT coalesce(abs(v - c) >= (3)*(1 - 1e-9), false) THEN y END) - min(y) + 1, count(*)) AS INT) toe
@@ -407,11 +400,9 @@ def significance_over_control(spark, d):
 def ens_lines(spark, d):
     """Mean, agreement and spread of members of a field without a vertical axis."""
     keys = ["lat", "y"]
-    rows = ens(spark, d).groupBy("member", *keys).agg(F.avg("v").alias("v"))
-    present = ensemble.presence(rows.join(F.broadcast(members(spark, d))), keys, "v", F.col("n")).select(*keys)  # one row
-    rows = ensemble.anomaly(rows, ["member", "lat"], "y", "v", 0, 1998, "x")
-    found = ensemble.ensemble_mean(rows, keys, ["v"], present).join(ensemble.sign_agreement(rows, keys, "x"), keys).join(ensemble.model_spread(rows, keys, "v"), keys)
-    return found.select(*keys, *(r4(c).alias(c) for c in ("v", "agree", "spread")))
+    rows = ens(spark, d).groupBy("member", *keys).agg(F.avg("v").alias("v")).crossJoin(F.broadcast(members(spark, d)))  # one row
+    found = ensemble.ensemble_block(rows, ["lat"], "member", "y", "v", F.col("n"), (0, 1998))
+    return found.select(*keys, r4("mean").alias("v"), r4("agree").alias("agree"), r4("spread").alias("spread"))
 
 
 _VOLUMES = """v3 AS (SELECT CAST(l_suppkey // 25 AS INT) member, CAST(l_suppkey % 25 AS INT) lat, CAST(l_linenumber AS INT) lon, CAST(p_size // 10 AS INT) r, CAST(year(l_shipdate) AS INT) y, avg(l_quantity) v
@@ -426,9 +417,9 @@ def ens_volumes(spark, d):
     rows = items.groupBy(
         F.floor(F.col("l_suppkey") / 25).cast("int").alias("member"), (F.col("l_suppkey") % 25).cast("int").alias("lat"), F.col("l_linenumber").cast("int").alias("lon"), "r", F.year("l_shipdate").alias("y")
     ).agg(F.avg("l_quantity").alias("v"))
-    present = ensemble.presence(rows.join(F.broadcast(members(spark, d))), [*point, "y"], "v", F.col("n")).select(*point, "y")  # one row
-    found = ensemble.ensemble_mean(rows, [*point, "y"], ["v"], present).join(ensemble.largest_member_std(rows, point, "member", "v"), point)
-    return found.select(*point, "y", r4("v").alias("v"), r4("std").alias("std"))
+    rows = rows.crossJoin(F.broadcast(members(spark, d)))  # one row
+    found = ensemble.ensemble_block(rows, point, "member", "y", "v", F.col("n"), (0, 1998))
+    return found.select(*point, "y", r4("mean").alias("v"), r4("std").alias("std"))
 
 
 _SEVEN = [f"v{i}" for i in range(7)]

@@ -158,9 +158,7 @@ def toe_two_thresholds(spark, d):
 def toe_ensemble(spark, d):
     from pyspark.sql import Window
 
-    rows = ens(spark, d)
-    noise = ensemble.largest_member_std(rows, ["lat", "r"], "member", "v", out="s")
-    rows = emergence.signal_over(rows, ensemble.ensemble_mean(rows, ["lat", "r"], ["v"]), ["lat", "r"], "v", "x").join(noise, ["lat", "r"])
+    rows = emergence.signal_and_noise(ens(spark, d), ["lat", "r"], ["member"], "v", out="x", noise="s")
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("member", "lat", "r").orderBy("y")) - 1)
     rows = rows.withColumn("mult", F.explode(F.array(F.lit(0.5), F.lit(1.0))))
     return emergence.time_of_emergence(rows, ["member", "lat", "r", "mult"], "i", F.col("x"), F.col("s") * F.col("mult"))

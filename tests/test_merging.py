@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from isolayers.functions.density_grid import Grid
-from isolayers.operators import change, columns, emergence, ensemble, merging, repair, selection, sphere, time_space
-from isolayers.plans import lookup_queries, ocean_queries
+from isolayers.operators import change, columns, emergence, ensemble, merging, repair, selection, sphere, surface, time_space
+from isolayers.plans import lookup_queries, more_queries, ocean_queries, statistics_queries
 from isolayers.sources import tables
 from isolayers.streaming import annual
 
@@ -287,6 +287,41 @@ def test_ensemble_in_one_pass(spark):
         assert (r.presence, r["mean"], r.agree, r.spread, r["std"], r.bowl) == pytest.approx(want[k])
 
 
+def test_scenarios_and_noise_in_one_pass(spark):
+    data = [(m, p, y, None if (m, p, y) == (3, 1, 2) else float((m * 5 + p * 3 + y * y) % 13)) for m in range(6) for p in range(4) for y in range(7) if (m != 5 or y < 4) and (m != 4 or y >= 4) and (p != 2 or m % 2) and (p != 3 or y > 2)]
+    df = spark.createDataFrame(data, "m int, p int, y int, v double")
+    block = emergence.scenario_block(df, ["m"], ["p"], "y", "v", 4, F.col("m") % 2 == 0, F.col("y") < 2)
+    past, later = df.where("y < 4"), df.where("y >= 4")
+    want = emergence.signal_of_scenarios(past, past.where("m % 2 = 0"), later, df.where("y < 2"), ["m"], ["p"], "y", "v")
+    noise = {n: {r.p: r["std"] for r in ensemble.largest_member_std(rows_, ["p"], "m", "v").collect()} for n, rows_ in ((1, past), (2, later))}
+    want = {(r.m, r.p, r.y): (r.signal, noise[1].get(r.p), noise[2].get(r.p)) for r in want.collect()}
+    got = {(r.m, r.p, r.y): (r.signal, r.noise1, r.noise2) for r in block.collect()}
+    assert got.keys() == want.keys() and {k[0] for k in got} == {0, 1, 2, 3}
+    assert {k[1] for k in got if k[2] < 4} == {0, 1, 3} and {k[1] for k in got if k[2] >= 4} == {0, 1, 2}  # no natural run at 2, no control at 3
+    assert all(got[k] == pytest.approx(want[k]) if want[k][0] is not None else got[k][0] is None for k in want)
+    found = emergence.signal_and_noise(df, ["p"], ["m"], "v", F.col("y") < 2, F.col("y") >= 4)
+    level = ensemble.ensemble_mean(df.where("y < 2"), ["p"], ["v"])
+    want = {(r.m, r.p, r.y): (r.signal, noise[2][r.p]) for r in emergence.signal_over(df, level, ["p"], "v").collect()}
+    got = {(r.m, r.p, r.y): (r.signal, r.noise) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k][0] is not None else got[k][0] is None for k in want)
+    assert plan_of(found).count("Exchange ") == 1 and emergence.signal_and_noise(df.limit(0), ["p"], ["m"], "v").count() == 0
+
+
+@pytest.mark.parametrize("name, most", [("toe_scenarios", 2), ("toe_box_scenarios", 2), ("scenario_signal", 2), ("toe_box_control", 1), ("toe_ensemble", 1), ("ens_lines", 2), ("ens_volumes", 2)])
+def test_emergence_scans_the_long_table_once(spark, name, most):
+    """The second scan tells the runs or their number, from narrow columns."""
+    query = (more_queries.QUERIES | statistics_queries.QUERIES)[name]
+    assert plan_of(query(spark, DIR)).count("lineitem.parquet") == most
+
+
+def test_density_is_evaluated_once_per_outcrop(spark):
+    plan = plan_of(statistics_queries.QUERIES["outcrop_transformation"](spark, DIR))
+    assert not any("4.3159255086706703E-4" in line for line in plan.splitlines() if "Filter" in line) and plan.count("Exchange hashpartitioning") == 1
+    df = spark.createDataFrame([(1, 21.0, 5.0, 1.0), (1, None, 7.0, 1.0), (1, 22.05, 2.0, 3.0), (1, 40.0, 4.0, 1.0)], "k int, rho double, f double, a double")
+    got = surface.outcrop_transformation(df, ["k"], "rho", ["f"], "a", scale=1.0)
+    assert [(r.rho_idx, r.f, r.area) for r in got.orderBy("rho_idx").collect()] == [(0, pytest.approx(60.0), 3.0), (109, pytest.approx(80.0), 1.0)]
+
+
 def test_all_statistics_take_one_scan_of_the_long_table(spark):
     plan = plan_of(lookup_queries.ens_all_at_once(spark, DIR))
     assert plan.count("lineitem.parquet") == 1

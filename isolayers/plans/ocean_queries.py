@@ -38,8 +38,8 @@ def eos_density(spark, d):
 
 @query(f"WITH {OCEAN} SELECT i rho_idx, count(*) n FROM (SELECT CAST(floor({place_sql('rho')}) AS INT) i FROM o) WHERE i BETWEEN 0 AND 59 GROUP BY i")
 def rho_grid_counts(spark, d):
-    rows = ocean(spark, d).select(GRID.bin(F.col("rho")).alias("rho_idx")).where("rho_idx IS NOT NULL")
-    return rows.groupBy("rho_idx").agg(F.count(F.lit(1)).alias("n"))
+    rows = ocean(spark, d).select(GRID.bin(F.col("rho")).alias("rho_idx"))
+    return rows.groupBy("rho_idx").agg(F.count("rho_idx").alias("n")).where("n > 0")  # what is outside is a group of its own until here
 
 
 @query(f"""WITH {PROFILE}, {ANNUAL}, {BASIN}, x AS (SELECT y, rho_idx, t, z, basin FROM ann JOIN b ON cell % 25 = lat)

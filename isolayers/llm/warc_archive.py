@@ -74,16 +74,25 @@ def write_archive(
     return headers, payloads.select("address", "payload")
 
 
+def _checked(payloads: DataFrame) -> DataFrame:
+    """(address, payload); a payload whose bytes don't have the digest of its address is an error."""
+    good = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.lit("payload and digest differ")))
+    return payloads.select("address", good.alias("payload"))
+
+
+def _joined(headers: DataFrame, checked: DataFrame, at_revisit: list[str]) -> DataFrame:
+    """Each record's bytes, and beside those of a revisit, which don't hold its payload, the columns `at_revisit` of the payload's row."""
+    is_revisit = F.instr(F.col("header").cast("string"), f"{CRLF}WARC-Type: revisit{CRLF}") > 0
+    record = F.concat("header", F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n"))
+    return headers.join(checked, "address").select("id", "address", record.alias("record"), *(F.when(is_revisit, F.col(c)).alias(c) for c in at_revisit))
+
+
 def reconstructed(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """(id, address, record, payload): the exact bytes of each record, and for revisits, which don't hold it, the full payload.
 
     A payload whose bytes don't have the digest of its address is an error.
     """
-    good = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(F.raise_error(F.lit("payload and digest differ")))
-    checked = payloads.select("address", good.alias("payload"))
-    is_revisit = F.instr(F.col("header").cast("string"), f"{CRLF}WARC-Type: revisit{CRLF}") > 0
-    record = F.concat("header", F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n"))
-    return headers.join(checked, "address").select("id", "address", record.alias("record"), F.when(is_revisit, F.col("payload")).alias("payload"))
+    return _joined(headers, _checked(payloads), ["payload"])
 
 
 def parsed_record(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -100,25 +109,26 @@ def parsed_record(record: bytes) -> tuple[dict[str, str], bytes]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in sliced(batches):
         rows = []
-        for record, full in zip(batch["record"], batch["payload"]):
+        for record, full_sha1, full_bytes in zip(batch["record"], batch["sha1"], batch["bytes"]):
             fields, block = parsed_record(record)
             http, _, payload = block.partition(b"\r\n\r\n")
             kind, refers = fields["warc-type"], fields.get("warc-refers-to")
-            payload = full if kind == "revisit" else payload
-            digest = hashlib.sha1(payload).hexdigest()
-            if fields["warc-payload-digest"] != "sha1:" + digest or int(http.rpartition(b": ")[2]) != len(payload):
+            digest, size = (full_sha1, int(full_bytes)) if kind == "revisit" else (hashlib.sha1(payload).hexdigest(), len(payload))
+            if fields["warc-payload-digest"] != "sha1:" + digest or int(http.rpartition(b": ")[2]) != size:
                 raise ValueError(f"payload of {fields['warc-record-id']} has another length or digest than stated")
-            rows.append((kind, refers and refers[len(_URN) + 1 : -1], fields["warc-date"], len(payload), digest))
+            rows.append((kind, refers and refers[len(_URN) + 1 : -1], fields["warc-date"], size, digest))
         yield pd.concat([batch[["id"]], pd.DataFrame(rows, columns=["record_type", "refers_to", "date", "payload_bytes", "payload_digest"])], axis=1)
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """What a reader finds in the records' bytes: id, record_type, refers_to (id as string), date, payload_bytes, payload_digest.
 
-    Lengths and both digests are computed from the bytes and compared with the headers; a difference is an error.
+    Lengths and both digests are computed from the bytes and compared with the headers; a difference is an error. The bytes that revisits
+    refer to are read and digested once per payload, however many they are; a revisit carries the length and digest alone.
     """
     kind = headers.schema["id"].dataType.simpleString()
-    records = reconstructed(headers, payloads).select(F.col("id").cast("string").alias("id"), "record", "payload")
+    checked = _checked(payloads).withColumns({"sha1": F.sha1("payload"), "bytes": F.length("payload").cast("long")})
+    records = _joined(headers, checked, ["sha1", "bytes"]).select(F.col("id").cast("string").alias("id"), "record", "sha1", "bytes")
     found = records.mapInPandas(_read, "id string, record_type string, refers_to string, date string, payload_bytes long, payload_digest string")
     return found.withColumn("id", F.col("id").cast(kind))
 

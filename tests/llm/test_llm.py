@@ -368,6 +368,13 @@ def test_archive_round_trip(spark):
     kinds = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in warc_archive.archived_pages(spark, odd).collect())
     assert kinds == [(0, "response", None, 1001), (1, "revisit", 2, 1001), (2, "response", None, 1001), (2, "response", None, 1001), (9, "response", None, 3_000_000)]
     assert warc_archive.archived_pages(spark, pages.limit(0)).count() == 0
+    # what a revisit says of its payload is held against the stored bytes
+    other = headers.withColumn("header", F.expr("IF(id = 1, CAST(replace(CAST(header AS STRING), 'WARC-Payload-Digest: sha1:', 'WARC-Payload-Digest: sha1:0') AS BINARY), header)"))
+    with pytest.raises(Exception, match="another length or digest"):
+        warc_archive.read_archive(other, payloads).collect()
+    changed = payloads.withColumn("payload", F.concat("payload", F.lit(b" ")))
+    with pytest.raises(Exception, match="payload and digest differ"):
+        warc_archive.read_archive(headers, changed).collect()
 
 
 def test_audio_round_trip_and_damage(spark):

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -343,6 +344,29 @@ def test_packing_is_optimal(spark):
     assert packing.packed(docs_of(spark, [])).count() == 0
 
 
+def test_packing_query_against_brute_force(spark):
+    """Least padding by trying all cuts of a plain dynamic programme, and batches that are full but for each bucket's last."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+    words = {i: len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]) for i, t in texts.items()}
+    got = queries.QUERIES["op7_packing"](spark, DIR).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == words and len(got) == len(words)
+    lengths = sorted(set(words.values()))
+    of = Counter(words.values())
+    pad = lambda i, j: sum(of[x] * (lengths[j] - x) for x in lengths[i : j + 1])
+    pads = {(i, j): pad(i, j) for i in range(len(lengths)) for j in range(i, len(lengths))}
+    best = [pads[0, j] for j in range(len(lengths))]
+    for _ in range(11):
+        best = [min([pads[0, j]] + [best[i - 1] + pads[i, j] for i in range(1, j + 1)]) for j in range(len(lengths))]
+    assert sum(r.bucket_tokens - r.n_tokens for r in got) == best[-1]
+    sizes = sorted({r.bucket: r.bucket_tokens for r in got}.items())
+    assert len(sizes) <= 12 and [s for _, s in sizes] == sorted({s for _, s in sizes})
+    assert all(r.bucket_tokens == min(s for _, s in sizes if s >= r.n_tokens) for r in got)
+    for bucket, size in sizes:
+        most = max(1, 16384 // max(size, 1))
+        at = sorted((r.batch, r.place) for r in got if r.bucket == bucket)
+        assert at == [divmod(k, most) for k in range(len(at))]
+
+
 def test_archive_round_trip(spark):
     big = "x" * 999 + "é"
     rows = [(1, "http://a/1", big, "c"), (2, "http://a/2\r\nX: y", big, "c"), (3, None, None, "c"), (4, "u", "", "c"), (5, "u", "small", "c"), (6, "u", "small", "c"), (7, "u", "y" * 2000, "c")]
@@ -462,6 +486,54 @@ def test_language_of_pages(spark):
     assert language_id.fused(odd.limit(0), docs).count() == 0
 
 
+def test_language_query_against_brute_force(spark):
+    """Text likelihoods, declarations, suffixes and smoothed host priors, one page at a time, with sums over all other pages."""
+    def grams(body):
+        text = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", body.lower()) + b" "
+        return Counter((int.from_bytes(text[i : i + 3]) * 2654435761 % 2**32) >> 17 for i in range(len(text) - 2))
+
+    counts = {}
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").select("lang", "text").collect():
+        code = re.match(r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$", r.lang or "")
+        if code:
+            counts.setdefault(code[1].lower(), Counter()).update(grams((r.text or "").encode()))
+    langs = sorted(counts)
+    logs = np.full((len(langs), 2**15), 0.5)
+    for k, lang in enumerate(langs):
+        for g, n in counts[lang].items():
+            logs[k, g] += n
+    logs = np.log(logs / logs.sum(axis=1, keepdims=True))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    pages = []
+    for r in spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html").collect():
+        html = r.html or ""
+        host = re.search("://([^/?#]*)", r.url or "")
+        host = host[1].lower() if host else ""
+        lang = re.search(r"<html[^>]*?\slang=[\"']?([a-z]{2,3})", html, re.I)
+        t = np.zeros(len(langs))
+        for g, n in grams(language_id._MARKUP.sub(b" ", html.encode())).items():
+            t += n * logs[:, g] / 3
+        pages.append((r.page_id, [host, ".".join(host.split(".")[-2:]), host.split(".")[-1], lang[1].lower() if lang else ""], t, softmax(t)))
+    sums = [{} for _ in range(4)]
+    for _, keys, _, p in pages:
+        for of, key in zip(sums, keys):
+            of[key] = of.get(key, 0) + p
+    whole = sum(p for *_, p in pages)
+    want = {}
+    for i, keys, t, p in pages:
+        g = np.maximum(whole - p, 0)
+        h, d, s, m = (np.maximum(of[key] - p, 0) for of, key in zip(sums, keys))
+        corpus = (g + 1) / (g.sum() + len(langs))
+        prior = (h + 5 * (d + 5 * corpus) / (d.sum() + 5)) / (h.sum() + 5)
+        credit = np.array([45.0 if keys[3] == x else 5.0 for x in langs])
+        score = t + np.log((s + 5 * corpus) / (g + 5)) + np.log(prior) + (np.log((m + credit) / (g + 50)) if keys[3] else 0)
+        want[i] = (langs[int(score.argmax())], softmax(score).max(), langs[int(t.argmax())], keys[3], keys[2])
+    got = queries.QUERIES["op6_language_id"](spark, DIR).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.lang, r.probability, r.text_lang, r.declared, r.suffix) == (want[r.page_id][0], pytest.approx(want[r.page_id][1]), *want[r.page_id][2:])
+
+
 def test_language_sums_leave_the_page_out(spark):
     """A page alone on its suffix, with a declaration nobody else makes, gets from them just what a page without any would."""
     docs = spark.createDataFrame([("the cat and the dog", "en-GB"), ("der hund und die katze", "DE"), ("x", "not a code"), ("y", None)], "text string, lang string")
@@ -539,7 +611,7 @@ def test_queries_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got, want = queries.QUERIES[name](spark, DIR).toPandas(), con.sql(sql).df()

@@ -190,8 +190,7 @@ _TOE_POINTS = f"""{ENS}, c AS (SELECT lat, r, avg(v) c FROM e GROUP BY ALL), pt
 
 
 def _toe_points(spark, d):
-    rows = ens(spark, d)
-    rows = emergence.signal_over(rows, ensemble.ensemble_mean(rows, ["lat", "r"], ["v"]), ["lat", "r"], "v", "x")
+    rows = emergence.signal_and_noise(ens(spark, d), ["lat", "r"], ["member"], "v", out="x")
     return emergence.time_of_emergence(rows, ["member", "model", "lat", "r"], "y", F.col("x"), F.lit(3.0))
 
 

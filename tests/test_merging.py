@@ -307,7 +307,7 @@ def test_scenarios_and_noise_in_one_pass(spark):
     assert plan_of(found).count("Exchange ") == 1 and emergence.signal_and_noise(df.limit(0), ["p"], ["m"], "v").count() == 0
 
 
-@pytest.mark.parametrize("name, most", [("toe_scenarios", 2), ("toe_box_scenarios", 2), ("scenario_signal", 2), ("toe_box_control", 1), ("toe_ensemble", 1), ("ens_lines", 2), ("ens_volumes", 2)])
+@pytest.mark.parametrize("name, most", [("toe_scenarios", 2), ("toe_box_scenarios", 2), ("scenario_signal", 2), ("toe_box_control", 1), ("toe_ensemble", 1), ("average_toe", 1), ("toe_noise_pairs", 2), ("ens_lines", 2), ("ens_volumes", 2)])
 def test_emergence_scans_the_long_table_once(spark, name, most):
     """The second scan tells the runs or their number, from narrow columns."""
     query = (more_queries.QUERIES | statistics_queries.QUERIES)[name]

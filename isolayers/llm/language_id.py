@@ -35,20 +35,27 @@ def trigrams(text: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *stretches(text)])
 
 
+#: Languages whose trigram tables a task or the driver holds at a time: 16 MB. More are counted and scored in turns.
+AT_ONCE = 64
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram counts by language, summed over the task."""
+    """Trigram counts by language, summed over the task as long as AT_ONCE languages suffice."""
     total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BITS, np.int64))
+
+    def given() -> Iterator[pd.DataFrame]:
+        for lang, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"lang": lang, "gram": at, "n": counts[at]})
+        total.clear()
+
     for batch in sliced(batches):
         for lang, body in zip(batch["lang"], batch["body"]):
+            if lang not in total and len(total) == AT_ONCE:
+                yield from given()
             for grams in stretches(body):
                 total[lang] += np.bincount(grams, minlength=1 << BITS)
-    for lang, counts in total.items():
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"lang": lang, "gram": at, "n": counts[at]})
-
-
-#: Languages that a text model may have; bounds its table to 16 MB.
-MOST_LANGUAGES = 64
+    yield from given()
 
 
 def language_code(lang: Column) -> Column:
@@ -56,23 +63,38 @@ def language_code(lang: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(lang, F.lit("")), r"^\s*([A-Za-z]{2,3})\s*(?:[-_].*)?$", 1)), F.lit(""))
 
 
-def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each trigram per language) from all rows of docs that have a language code.
+def text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """(languages in the order of the alphabet, their trigram counts: lang, gram, n) from all rows of docs that have a language code.
 
-    More than MOST_LANGUAGES codes are an error, so the table that goes through the driver is bounded.
+    Any number of languages: only their names come to the driver, and there are at most 26^2 + 26^3 codes.
     """
     rows = docs.select(language_code(quoted(lang_col)).alias("lang"), F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")).alias("body")).where("lang IS NOT NULL")
-    found = rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if found > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
-    counts = rows.mapInPandas(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique().tolist())
-    table = np.zeros((len(langs), 1 << BITS))
-    for k, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        table[k, own["gram"].to_numpy()] = own["n"]
-    table += 0.5
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table
+    counts = cut(rows.mapInPandas(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    return sorted(r[0] for r in counts.select("lang").distinct().collect()), counts
+
+
+def log_table(counts: DataFrame, langs: list[str]) -> np.ndarray:
+    """The log probability of each trigram in each of some languages, at most AT_ONCE: a bounded table for driver and tasks."""
+    found = counts.where(F.col("lang").isin(langs)).toPandas()
+    table = np.full((len(langs), 1 << BITS), 0.5)
+    table[found["lang"].map({lang: k for k, lang in enumerate(langs)}).to_numpy(int), found["gram"].to_numpy()] += found["n"].to_numpy()
+    return np.log(table / table.sum(axis=1, keepdims=True))
+
+
+def _text_logs(table: np.ndarray, weight: float):
+    """The weighted log likelihoods of a page's text, one for each language of the table."""
+
+    @F.pandas_udf("array<double>")
+    def logs_of(body: pd.Series) -> pd.Series:
+        out = []
+        for b in body:
+            logs = np.zeros(len(table))
+            for grams in stretches(_MARKUP.sub(b" ", b)):
+                logs += table[:, grams].sum(axis=1)
+            out.append(logs * weight)
+        return pd.Series(out)
+
+    return logs_of
 
 
 def host_of(url: str) -> Column:
@@ -80,6 +102,10 @@ def host_of(url: str) -> Column:
     return F.lower(rest)
 
 
+def _total(numbers: str) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
 def fused(
     pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", strength: float = 5.0,
     text_weight: float = 1 / 3,
@@ -90,9 +116,9 @@ def fused(
     the language, and the priors of hosts, are sums of text posteriors over all pages; a host's prior is smoothed by its
     domain's with `strength` pages, and that by the corpus'. A page's own text is left out of all these sums, so it is evidence once. Null or
     empty pages have no text evidence and get what the other evidence says; without any languages in docs, lang is null. Equally likely
-    languages: the first in the alphabet. Repeated rows and rows without an id are rows like others. Other columns are left out.
+    languages: the first in the alphabet. Over AT_ONCE languages, texts are read once for each AT_ONCE of them. Repeated rows and rows without an id are rows like others. Other columns are left out.
     """
-    langs, table = text_model(docs)
+    langs, counts = text_model(docs)
     host = host_of(url_col)
     html = F.coalesce(quoted(html_col), F.lit(""))
     names = {
@@ -104,46 +130,43 @@ def fused(
         none = F.lit(None).cast("string")
         return rows.select(F.col("_id").alias(id_col), none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "declared", "suffix")
 
-    @F.pandas_udf("array<double>")
-    def text_logs(body: pd.Series) -> pd.Series:
-        out = []
-        for b in body:
-            logs = np.zeros(len(langs))
-            for grams in stretches(_MARKUP.sub(b" ", b)):
-                logs += table[:, grams].sum(axis=1)
-            out.append(logs * text_weight)
-        return pd.Series(out)
-
-    rows = rows.withColumn("_t", text_logs("_body")).drop("_body").withColumn("_rid", F.monotonically_increasing_id())
-    k = range(len(langs))
-    top = F.array_max("_t")
-    norm = F.aggregate("_t", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    rows = rows.select("_id", "_rid", *names, *(F.element_at("_t", i + 1).alias(f"t{i}") for i in k), *((F.exp(F.element_at("_t", i + 1) - top) / norm).alias(f"p{i}") for i in k))
-    rows = cut(rows)
-    everything = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"p{i}").alias(f"g{i}") for i in k))
+    rows = rows.withColumn("_rid", F.monotonically_increasing_id())
+    logs = []
+    for i in range(0, len(langs), AT_ONCE):
+        if i:
+            rows = cut(rows)  # so that no task holds the tables of two turns
+        logs.append(f"_t{i}")
+        rows = rows.withColumn(logs[-1], _text_logs(log_table(counts, langs[i : i + AT_ONCE]), text_weight)("_body"))
+    rows = rows.select("_id", "_rid", *names, F.concat(*logs).alias("t"))
+    top = F.array_max("t")
+    rows = cut(rows.withColumn("p", F.transform("t", lambda x: F.exp(x - top))).withColumn("p", F.transform("p", lambda x: x / _total("p"))))
+    sums = F.array(*(F.sum(F.get("p", F.lit(i))) for i in range(len(langs))))
+    everything = rows.agg(F.count(F.lit(1)).alias("n"), sums.alias("g"))
     total = everything.first()["n"]
     summed = rows
     for by, prefix in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
         # a hot key is one row per task in the aggregate, and dealt over many parts in the join
-        sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias(f"_n_{prefix}"), *(F.sum(f"p{i}").alias(f"{prefix}{i}") for i in k))
-        summed = hot_join(summed, sums, by, f"_n_{prefix}", F.col("_rid"), total)
+        facts = rows.groupBy(by).agg(F.count(F.lit(1)).alias(f"_n_{prefix}"), sums.alias(prefix))
+        summed = hot_join(summed, facts, by, f"_n_{prefix}", F.col("_rid"), total)
     rows = summed.join(F.broadcast(everything.drop("n")))  # one row
     # sums without the page itself
-    rows = rows.withColumns({f"{prefix}{i}": F.greatest(F.col(f"{prefix}{i}") - F.col(f"p{i}"), F.lit(0.0)) for prefix in "hdsmg" for i in k})
-    all_of = lambda prefix: sum((F.col(f"{prefix}{i}") for i in k), F.lit(0.0))
-    n = len(langs)
-    scores = []
-    for i, lang in enumerate(langs):
-        corpus = (F.col(f"g{i}") + 1) / (all_of("g") + n)
-        domain = (F.col(f"d{i}") + strength * corpus) / (all_of("d") + strength)
-        prior = (F.col(f"h{i}") + strength * domain) / (all_of("h") + strength)
+    rows = rows.withColumns({of: F.zip_with(of, "p", lambda s, p: F.greatest(s - p, F.lit(0.0))) for of in "hdsmg"})
+    rows = rows.withColumns({f"all_{of}": _total(of) for of in "hdg"})
+    codes, n = F.array(*(F.lit(x) for x in langs)), len(langs)
+
+    def score(i: Column) -> Column:
+        h, d, s, m, g = (F.get(F.col(of), i) for of in "hdsmg")
+        corpus = (g + 1) / (F.col("all_g") + n)
+        domain = (d + strength * corpus) / (F.col("all_d") + strength)
+        prior = (h + strength * domain) / (F.col("all_h") + strength)
         # how much likelier the declaration and the suffix are under this language; a declaration of it starts with credit
-        credit = F.when(F.col("declared") == lang, 9.0 * strength).otherwise(strength)
-        declared = F.when(F.col("declared") == "", 0.0).otherwise(F.log((F.col(f"m{i}") + credit) / (F.col(f"g{i}") + 10 * strength)))
-        suffix = F.log((F.col(f"s{i}") + strength * corpus) / (F.col(f"g{i}") + strength))
-        scores.append(F.col(f"t{i}") + declared + suffix + F.log(prior))
-    ranked = F.array_sort(F.array(*(F.struct((-s).alias("s"), F.lit(lang).alias("l")) for s, lang in zip(scores, langs))))
-    text = F.array_sort(F.array(*(F.struct((-F.col(f"t{i}")).alias("s"), F.lit(lang).alias("l")) for i, lang in enumerate(langs))))
-    rows = rows.select("_id", "declared", "suffix", ranked.alias("r"), text.alias("x"))
+        credit = F.when(F.col("declared") == F.get(codes, i), 9.0 * strength).otherwise(strength)
+        declared = F.when(F.col("declared") == "", 0.0).otherwise(F.log((m + credit) / (g + 10 * strength)))
+        suffix = F.log((s + strength * corpus) / (g + strength))
+        return F.get(F.col("t"), i) + declared + suffix + F.log(prior)
+
+    each = F.sequence(F.lit(0), F.lit(n - 1))
+    best = lambda of: F.array_sort(F.transform(each, lambda i: F.struct((-of(i)).alias("s"), F.get(codes, i).alias("l"))))
+    rows = rows.select("_id", "declared", "suffix", best(score).alias("r"), best(lambda i: F.get(F.col("t"), i)).alias("x"))
     weight = F.aggregate("r", F.lit(0.0), lambda a, x: a + F.exp(F.col("r")[0]["s"] - x["s"]))
     return rows.select(F.col("_id").alias(id_col), F.col("r")[0]["l"].alias("lang"), (1 / weight).alias("probability"), F.col("x")[0]["l"].alias("text_lang"), "declared", "suffix")

@@ -538,15 +538,33 @@ def test_language_sums_leave_the_page_out(spark):
     """A page alone on its suffix, with a declaration nobody else makes, gets from them just what a page without any would."""
     docs = spark.createDataFrame([("the cat and the dog", "en-GB"), ("der hund und die katze", "DE"), ("x", "not a code"), ("y", None)], "text string, lang string")
     odd = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate([("http://a.zz/", "the cat"), ("http://b.yy/", "der hund"), ("http://c.xx/", "the")])], "page_id long, url string, html string")
-    langs, _ = language_id.text_model(docs)
+    langs, counts = language_id.text_model(docs)
     assert langs == ["de", "en"]
     alone = {r.page_id: r for r in language_id.fused(odd.where("page_id = 0"), docs).collect()}[0]
-    logs = language_id.text_model(docs)[1]
+    logs = language_id.log_table(counts, langs)
     x = logs[:, language_id.trigrams(b"the cat")].sum(axis=1) / 3
     assert alone.probability == pytest.approx(1 / (1 + np.exp(x[0] - x[1])))
-    many = spark.range(70).select(F.lit("t").alias("text"), F.concat(F.lit("a"), F.char(F.lit(97) + F.col("id") % 26), F.char(F.lit(97) + F.col("id").cast("int") / 26)).alias("lang"))
-    with pytest.raises(ValueError):
-        language_id.text_model(many)
+
+
+def test_more_languages_than_fit_at_once(spark, monkeypatch):
+    """Turns of two languages give what one turn gives; 70 made-up languages, each with words of its own, are told apart."""
+    d = "/root/testdata/sf0.001"
+    pages, docs = spark.read.parquet(f"{d}/pages.parquet"), spark.read.parquet(f"{d}/documents.parquet")
+    once = {r.page_id: r for r in language_id.fused(pages, docs).collect()}
+    monkeypatch.setattr(language_id, "AT_ONCE", 2)
+    turns = language_id.fused(pages, docs).collect()
+    assert len(turns) == len(once)
+    for r in turns:
+        o = once[r.page_id]
+        assert (r.lang, r.text_lang, r.probability) == (o.lang, o.text_lang, pytest.approx(o.probability))
+    monkeypatch.undo()
+    words = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}q": " ".join(f"{chr(97 + i // 26) * 2}{chr(97 + i % 26) * 2}{c}" for c in "aeiou") for i in range(70)}
+    many = spark.createDataFrame([(w, lang) for lang, w in words.items()], "text string, lang string")
+    asked = spark.createDataFrame([(i, None, f"<p>{w} {w}</p>") for i, w in enumerate(words.values())], "page_id long, url string, html string")
+    langs, counts = language_id.text_model(many)
+    assert langs == sorted(words) and counts.count() > 70
+    got = {r.page_id: r.lang for r in language_id.fused(asked, many).collect()}
+    assert [got[i] for i in range(70)] == list(words)
 
 
 def test_url_rules_and_words(spark):

@@ -37,14 +37,21 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
+def width_of(bits: int) -> int:
+    """Bytes that hold a code."""
+    return -(-bits // 8)
+
+
 def _coded(seed: int, tables: int, bits: int):
-    """Adds the codes of all tables to each class of equal vectors."""
+    """Adds the codes of all tables to each class of equal vectors, width_of(bits) bytes each, the highest first."""
+    low = 8 - width_of(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches, 1000):
             for _, rows in batch.groupby(batch["v"].map(len)):
                 codes = codes_of(scaled(np.array(rows["v"].tolist(), np.float64)), tables, bits, seed)
-                yield rows[["cid", "n", "v"]].assign(codes=list(codes))
+                packed = codes.astype(">i8").view(np.uint8).reshape(*codes.shape, 8)[:, :, low:]
+                yield rows[["cid", "n", "v"]].assign(codes=[p.tobytes() for p in packed])
 
     return run
 
@@ -85,7 +92,7 @@ def _at_least(x: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray,
     return np.concatenate(dots or [np.zeros(0)]) / (lengths[a] * lengths[b]) >= threshold
 
 
-def _blocks(threshold: float):
+def _blocks(threshold: float, width: int):
     """Rows come sorted by bucket and block pair; each yields the counts and links of its members.
 
     A pair counts in the first table in which its codes agree (codes are those of the tables before), so its count is right however
@@ -118,8 +125,8 @@ def _blocks(threshold: float):
             for i in range(0, len(mine), 65536):
                 part = mine[i : i + 65536]
                 members, at = np.unique(np.concatenate((a[part], b[part])), return_inverse=True)
-                held = np.stack(codes[members])
-                first[part] = (held[at[: len(part)]] != held[at[len(part) :]]).all(axis=1)
+                held = np.frombuffer(b"".join(codes[members]), np.uint8).reshape(len(members), tab, width)
+                first[part] = (held[at[: len(part)]] != held[at[len(part) :]]).any(axis=2).all(axis=1)
         a, b = a[first], b[first]
         n, cid = rows["n"].to_numpy(), rows["cid"].to_numpy()
         count = (np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))).astype(np.int64)
@@ -159,7 +166,9 @@ def embedding_components(
     that counts with its size, so copies are never paired. Null ids: component of the class as for others, kept false. A pair exactly at
     the threshold is found with probability `recall`, a closer one with a higher. Other columns of vectors are left out.
 
-    The index holds a class number and a code per table; vectors travel only to buckets that two or more classes share.
+    The index holds a class number and a code per table; vectors travel only to buckets that two or more classes share, and of buckets
+    with the same members (a tight group is one in most tables) to the first alone. Buckets have the same members if their size and
+    two 64-bit sums of members' hashes agree.
     """
     kind = vectors.schema[vector_col].dataType.simpleString()
     number = "float" if kind == "array<float>" else "double"
@@ -171,17 +180,22 @@ def embedding_components(
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "least", "v"))  # numbers are kept from here on
     tables, bits = tables_for(classes.count(), threshold, recall)
-    coded = cut(classes.select("cid", "n", "v").mapInPandas(_coded(seed, tables, bits), f"cid long, n long, v array<{number}>, codes array<long>"))
-    index = coded.select("cid", F.size("v").alias("dim"), F.posexplode("codes").alias("tab", "code"))
-    sizes = index.groupBy("tab", "code", "dim").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    coded = cut(classes.select("cid", "n", "v").mapInPandas(_coded(seed, tables, bits), f"cid long, n long, v array<{number}>, codes binary"))
+    width = width_of(bits)
+    code = lambda tab: F.conv(F.hex(F.substr("codes", tab * width + 1, F.lit(width))), 16, 10).cast("long")
+    index = coded.select("cid", F.size("v").alias("dim"), "codes", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("tab"))
+    index = index.select("cid", "dim", "tab", code(F.col("tab")).alias("code"))
+    members = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sizes = index.groupBy("tab", "code", "dim").agg(F.count(F.lit(1)).alias("m"), *members).where("m > 1")
+    sizes = sizes.groupBy("dim", "m", "x0", "x1").agg(F.min(F.struct("tab", "code")).alias("b")).select("b.tab", "b.code", "dim", "m")
     index = index.join(sizes, ["tab", "code", "dim"])
     parts = F.ceil(F.col("m") / block).cast("int")
     index = index.withColumn("own", F.pmod(F.xxhash64("cid"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, "own").alias("lo"), F.greatest(o, "own").alias("hi")))
     index = index.withColumn("p", F.explode(pairs)).select("tab", "code", "dim", "p.lo", "p.hi", "own", "cid")
-    index = index.join(coded, "cid").withColumn("codes", F.slice("codes", 1, F.col("tab")))  # those of the tables before
+    index = index.join(coded, "cid").withColumn("codes", F.substr("codes", F.lit(1), F.col("tab") * width))  # those of the tables before
     by = ["tab", "code", "dim", "lo", "hi"]
-    found = cut(gathered(index.select(*by, "own", "cid", "n", "codes", "v"), by).mapInPandas(_blocks(threshold), "cid long, add long, hub long"))
+    found = cut(gathered(index.select(*by, "own", "cid", "n", "codes", "v"), by).mapInPandas(_blocks(threshold, width), "cid long, add long, hub long"))
     counts = found.groupBy("cid").agg(F.sum("add").alias("others"))
     roots = connected_components(found, "cid", "hub").withColumnRenamed("node", "cid")
     classes = classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -37,13 +37,17 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
+#: Codes have at most 40 bits.
+MOST_CODES = 1 << 40
+
+
 def width_of(bits: int) -> int:
     """Bytes that hold a code."""
     return -(-bits // 8)
 
 
 def _coded(seed: int, tables: int, bits: int):
-    """Adds the codes of all tables to each class of equal vectors, width_of(bits) bytes each, the highest first."""
+    """Adds the codes of all tables to each class of equal vectors, as numbers and as width_of(bits) bytes each, the highest first."""
     low = 8 - width_of(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +55,7 @@ def _coded(seed: int, tables: int, bits: int):
             for _, rows in batch.groupby(batch["v"].map(len)):
                 codes = codes_of(scaled(np.array(rows["v"].tolist(), np.float64)), tables, bits, seed)
                 packed = codes.astype(">i8").view(np.uint8).reshape(*codes.shape, 8)[:, :, low:]
-                yield rows[["cid", "n", "v"]].assign(codes=[p.tobytes() for p in packed])
+                yield rows[["cid", "n", "v"]].assign(codes=list(codes), packed=[p.tobytes() for p in packed])
 
     return run
 
@@ -103,7 +107,7 @@ def _blocks(threshold: float, width: int):
     def found(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """Counts and links of whole blocks of vectors of one length; starts: where each block begins."""
         x = scaled(np.array(rows["v"].tolist(), np.float64))
-        lengths, codes = np.sqrt((x * x).sum(axis=1)), rows["codes"].to_numpy()
+        lengths, codes = np.sqrt((x * x).sum(axis=1)), rows["packed"].to_numpy()
         sizes = np.diff(np.append(starts, len(x)))
         few = sizes <= SMALL
         a, b = pairs_within(starts[few], sizes[few])
@@ -180,22 +184,21 @@ def embedding_components(
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "least", "v"))  # numbers are kept from here on
     tables, bits = tables_for(classes.count(), threshold, recall)
-    coded = cut(classes.select("cid", "n", "v").mapInPandas(_coded(seed, tables, bits), f"cid long, n long, v array<{number}>, codes binary"))
-    width = width_of(bits)
-    code = lambda tab: F.conv(F.hex(F.substr("codes", tab * width + 1, F.lit(width))), 16, 10).cast("long")
-    index = coded.select("cid", F.size("v").alias("dim"), "codes", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("tab"))
-    index = index.select("cid", "dim", "tab", code(F.col("tab")).alias("code"))
+    coded = cut(classes.select("cid", "n", "v").mapInPandas(_coded(seed, tables, bits), f"cid long, n long, v array<{number}>, codes array<long>, packed binary"))
+    index = coded.select("cid", F.size("v").alias("dim"), F.posexplode("codes").alias("tab", "code"))
     members = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(f"x{i}") for i in range(2)]
     sizes = index.groupBy("tab", "code", "dim").agg(F.count(F.lit(1)).alias("m"), *members).where("m > 1")
-    sizes = sizes.groupBy("dim", "m", "x0", "x1").agg(F.min(F.struct("tab", "code")).alias("b")).select("b.tab", "b.code", "dim", "m")
+    first = F.min(F.col("tab").cast("long") * MOST_CODES + F.col("code"))  # one number, so that it is a hash aggregate
+    sizes = sizes.groupBy("dim", "m", "x0", "x1").agg(first.alias("b"))
+    sizes = sizes.select(F.expr(f"int(b div {MOST_CODES})").alias("tab"), (F.col("b") % MOST_CODES).alias("code"), "dim", "m")
     index = index.join(sizes, ["tab", "code", "dim"])
     parts = F.ceil(F.col("m") / block).cast("int")
     index = index.withColumn("own", F.pmod(F.xxhash64("cid"), parts).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, "own").alias("lo"), F.greatest(o, "own").alias("hi")))
     index = index.withColumn("p", F.explode(pairs)).select("tab", "code", "dim", "p.lo", "p.hi", "own", "cid")
-    index = index.join(coded, "cid").withColumn("codes", F.substr("codes", F.lit(1), F.col("tab") * width))  # those of the tables before
+    index = index.join(coded.drop("codes"), "cid").withColumn("packed", F.substr("packed", F.lit(1), F.col("tab") * width_of(bits)))  # those of the tables before
     by = ["tab", "code", "dim", "lo", "hi"]
-    found = cut(gathered(index.select(*by, "own", "cid", "n", "codes", "v"), by).mapInPandas(_blocks(threshold, width), "cid long, add long, hub long"))
+    found = cut(gathered(index.select(*by, "own", "cid", "n", "packed", "v"), by).mapInPandas(_blocks(threshold, width_of(bits)), "cid long, add long, hub long"))
     counts = found.groupBy("cid").agg(F.sum("add").alias("others"))
     roots = connected_components(found, "cid", "hub").withColumnRenamed("node", "cid")
     classes = classes.join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

@@ -57,6 +57,10 @@ def capped_section(df: DataFrame, keys: list[str], value: str, most: float = 4.0
     return df.groupBy(*keys).agg(F.avg(F.when(F.col(value) > most, 0.0).otherwise(F.col(value))).alias(value))
 
 
+#: Values this share of a tolerance apart are inside of it; what is left keeps the order of a sum from deciding on values just at it.
+INSIDE = 1 - 1e-9
+
+
 def migration(df: DataFrame, keys: list[str], lat: str, rho: str, before: str, after: str, eps: float, lat_band: int = 5, rho_band: float = 0.5) -> DataFrame:
     """For each point the nearest point (nearer than lat_band and rho_band) whose later value is within eps of its earlier one.
 
@@ -71,7 +75,7 @@ def migration(df: DataFrame, keys: list[str], lat: str, rho: str, before: str, a
     v, y, r = bucket(after)
     b = df.where(F.col(after).isNotNull()).select(*keys, F.col(lat).alias("_y2"), F.col(rho).alias("_r2"), F.col(after).alias("_x2"), v.alias("v"), y.alias("y"), r.alias("r"))
     dy, dr = F.col("_y2") - F.col("_y"), F.col("_r2") - F.col("_r")
-    rows = a.join(b, [*keys, "v", "y", "r"]).where((F.abs(F.col("_x") - F.col("_x2")) < eps) & (F.abs(dy) < lat_band) & (F.abs(dr) < rho_band))
+    rows = a.join(b, [*keys, "v", "y", "r"]).where((F.abs(F.col("_x") - F.col("_x2")) < eps * INSIDE) & (F.abs(dy) < lat_band) & (F.abs(dr) < rho_band))
     best = F.min_by(F.struct((-dy).alias("d_lat"), (-dr).alias("d_rho")), F.struct(dy * dy + dr * dr, F.col("_y2"), F.col("_r2")))
     found = rows.groupBy(*keys, F.col("_y").alias(lat), F.col("_r").alias(rho)).agg(best.alias("_b"))
     return found.select(*keys, lat, rho, "_b.d_lat", "_b.d_rho")
@@ -110,7 +114,7 @@ def migration_refined(
     high_open = F.least(F.col("_lat") + lat_band, F.when(~flat, F.greatest(one, two)))
     low = F.greatest(F.ceil(steps(F.col("_a"))), F.floor(steps(low_open)) + 1)
     high = F.least(F.floor(steps(F.col("_b"))), F.ceil(steps(high_open)) - 1)
-    both = both.where(~flat | (F.abs(F.col("_va") - F.col("_x")) < eps)).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    both = both.where(~flat | (F.abs(F.col("_va") - F.col("_x")) < eps * INSIDE)).withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
     # of two multiples next to the point the nearer one, the lower if they are equally near
     own = steps(F.col("_lat"))
     at = F.least(F.greatest(F.ceil(own - 0.5), F.col("_low")), F.col("_high"))

@@ -35,7 +35,7 @@ _FIELD = _MIGRATE[: _MIGRATE.index("mg AS")].rstrip().rstrip(",")
 _REFINED = f"""{_FIELD}, h AS (SELECT lon, r, lat, x2, lead(lat) OVER w lat2, lead(x2) OVER w x3 FROM f WINDOW w AS (PARTITION BY lon, r ORDER BY lat)),
     g AS (SELECT lon, r, 1e0*lat a, coalesce(CASE WHEN x3 IS NOT NULL THEN lat2 END, lat)*1e0 b, x2, coalesce(x3, x2) x3, unnest(range(lat*100, coalesce(CASE WHEN x3 IS NOT NULL THEN lat2 END, lat)*100 + 1)) k FROM h WHERE x2 IS NOT NULL),
     q AS (SELECT lon, r, k, k*0.01e0 la, CASE WHEN a = b THEN x2 ELSE x2 + (k*0.01e0 - a)/(b - a)*(x3 - x2) END x FROM g),
-    mr AS (SELECT p.lon, p.lat, p.r, arg_min({{'y': p.lat - la, 'd': p.r - q.r}}, (round((la - p.lat)**2 + (q.r - p.r)**2, 9), q.r, k)) m FROM f p JOIN q ON q.lon = p.lon AND abs(q.r - p.r) < 0.5 AND abs(q.la - p.lat) < 5 AND abs(q.x - p.x1) < 0.005
+    mr AS (SELECT p.lon, p.lat, p.r, arg_min({{'y': p.lat - la, 'd': p.r - q.r}}, (round((la - p.lat)**2 + (q.r - p.r)**2, 9), q.r, k)) m FROM f p JOIN q ON q.lon = p.lon AND abs(q.r - p.r) < 0.5 AND abs(q.la - p.lat) < 5 AND abs(q.x - p.x1) < 0.005e0*(1 - 1e-9)
       GROUP BY ALL)"""
 
 

@@ -214,7 +214,7 @@ def section_capped(spark, d):
 
 _MIGRATE = f"""{OCEAN}, f AS (SELECT CAST(cell // 25 AS INT) lon, CAST(cell % 25 AS INT) lat, lev*0.25e0 r, avg(s) FILTER (y <= 1997) x1, avg(s) FILTER (y >= 1999) x2 FROM o GROUP BY ALL),
     mg AS (SELECT a.lon, a.lat, a.r, arg_min(a.lat - c.lat, ((a.lat-c.lat)**2+(a.r-c.r)**2, c.lat, c.r)) d_lat, arg_min(a.r - c.r, ((a.lat-c.lat)**2+(a.r-c.r)**2, c.lat, c.r)) d_rho
-      FROM f a JOIN f c ON a.lon = c.lon AND abs(a.x1 - c.x2) < 0.02 AND abs(a.lat - c.lat) < 5 AND abs(a.r - c.r) < 0.5 GROUP BY ALL)"""
+      FROM f a JOIN f c ON a.lon = c.lon AND abs(a.x1 - c.x2) < 0.02e0*(1 - 1e-9) AND abs(a.lat - c.lat) < 5 AND abs(a.r - c.r) < 0.5 GROUP BY ALL)"""
 
 
 @query(f"WITH {_MIGRATE} SELECT lon, lat, r, CAST(d_lat AS INT) d_lat, d_rho FROM mg")

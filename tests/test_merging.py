@@ -387,3 +387,14 @@ def test_bowl_edge_of_a_column(spark):
     # the first column's bowl is 24.25, the second's its only level
     mean = (2 + 3 + 5 + 7) / 5
     assert got == {(1, 0, False): (1.0, 0.0, pytest.approx(1 - mean)), (1, 1, False): (3.0, 0.0, pytest.approx(3 - mean)), (1, 1, True): (5.0, -1.0, pytest.approx(5 - mean)), (2, 1, True): (7.0, 1.0, pytest.approx(7 - mean))}
+
+
+def test_values_just_at_the_tolerance_are_outside(spark):
+    """0.1 + 0.2 is over 0.3 by rounding alone: in either order of the sum the point at the tolerance doesn't count."""
+    for later in (0.3, 0.1 + 0.2):
+        df = spark.createDataFrame([(0, 0.0, 1.0, 0.0, None), (0, 1.0, 1.0, None, later)], "lon int, lat double, r double, x1 double, x2 double")
+        for eps in (0.3, 0.1 + 0.2):
+            assert change.migration(df, ["lon"], "lat", "r", "x1", "x2", eps).count() == 0
+            assert change.migration_refined(df, ["lon"], "lat", "r", "x1", "x2", eps).count() == 0
+        assert change.migration(df, ["lon"], "lat", "r", "x1", "x2", 0.31).count() == 1
+        assert change.migration_refined(df, ["lon"], "lat", "r", "x1", "x2", 0.31).count() == 1

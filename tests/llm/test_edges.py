@@ -156,3 +156,23 @@ def test_trigrams_of_a_long_page_in_stretches():
     finally:
         language_id.STRETCH = step
     assert (np.concatenate(parts) == whole).all()
+
+
+def test_planted_copies_at_graded_similarity(spark):
+    """400 texts, each with a copy of which up to 6 % of the words are changed: by exact Jaccard, what reaches 0.8 goes and the rest stays."""
+    rng = np.random.default_rng(23)
+    texts, similarity = {}, {}
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    for i in range(400):
+        words = [f"w{k}" for k in rng.integers(0, 20_000, rng.integers(60, 400))]
+        edited = [f"e{rng.integers(0, 20_000)}" if rng.random() < i / 400 * 0.06 else w for w in words]
+        a, b = shingles(words), shingles(edited)
+        texts[2 * i], texts[2 * i + 1], similarity[2 * i + 1] = " ".join(words), " ".join(edited), len(a & b) / len(a | b)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in near_copies.keep_one_of_each_group(docs).select("doc_id").collect()}
+    near = {d for d, s in similarity.items() if s >= 0.8}
+    edge = {d for d in near if similarity[d] < 0.9}
+    print("near", len(near), "caught", len(near - kept), "0.8 to 0.9", len(edge), "caught", len(edge - kept), "below", 400 - len(near))
+    assert len(edge) > 60 and 400 - len(near) > 60
+    assert len(near - kept) >= 0.98 * len(near)
+    assert kept >= set(texts) - near

@@ -16,3 +16,10 @@ def test_parts_grow_with_the_items(spark, monkeypatch):
     assert fixture.parts(fixture.table(spark, DIR, "lineitem")) == -(-n // 100)
     assert fixture.ocean(spark, DIR).rdd.getNumPartitions() == -(-n // 100)
     assert ocean_queries.profile(spark, DIR).rdd.getNumPartitions() == -(-n // 100)
+
+
+def test_bowl_and_heights_read_their_bins_once(spark):
+    found = more_queries.layer_heights(spark, DIR), time_space.bowl(ocean_queries.annual(spark, DIR), ["cell", "y"], "pers", "z", ["t"])
+    for df in found:
+        plan = plan_of(df)
+        assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(cell") == 1

@@ -23,3 +23,12 @@ def test_bowl_and_heights_read_their_bins_once(spark):
     for df in found:
         plan = plan_of(df)
         assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(cell") == 1
+
+
+def test_many_cells_at_one_place_are_asked_once(spark):
+    rows = [(i, float(i % 4), float(i % 2)) for i in range(400)]
+    cells = spark.createDataFrame(rows, "cell long, lat double, lon double")
+    found = sphere.nearest_by_place(cells, cells, 3)
+    got = {(r.dst_cell, r["rank"]): r.src_cell for r in found.collect()}
+    assert got == {(i, k + 1): i % 4 + 4 * k for i in range(400) for k in range(3)}
+    assert "Broadcast" not in plan_of(found)

@@ -117,8 +117,19 @@ def _whole_groups(by: list[str], found):
     return run
 
 
-def _best_partners(least: int):
-    """Pairs of the whole lists in some rows."""
+def _once(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether the bands that list the pairs of sketches (x, y) are the first ones that they share: of all lists of a pair only one makes it.
+
+    own marks the bands of each pair's list.
+    """
+    shared = (x == y).reshape(-1, POSITIONS // BAND, BAND).all(axis=2)
+    first = shared & (shared.cumsum(axis=1) <= own.sum(axis=1, keepdims=True))
+    return (first == own).all(axis=1)
+
+
+def _best_partners(least: int, sets: list[tuple[int, ...]]):
+    """Pairs of the whole lists in some rows; slot is the number of a list's set of bands. A pair comes from the first list that it shares."""
+    marked = np.array([[b in chosen for b in range(POSITIONS // BAND)] for chosen in sets])
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         lists = rows["list"].to_numpy()
@@ -131,7 +142,9 @@ def _best_partners(least: int):
             a.append(i + x)
             b.append(i + y)
         a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": keys[np.maximum(a, b)], "b": keys[np.minimum(a, b)]})
+        ok = _once(bytes_[a], bytes_[b], marked[rows["slot"].to_numpy()[a]])
+        a, b = a[ok], b[ok]
+        return pd.DataFrame({"a": keys[np.maximum(a, b)], "b": keys[np.minimum(a, b)]}).drop_duplicates()
 
     return found
 
@@ -148,11 +161,11 @@ def _candidates(sketches: DataFrame, least: int, limit: int) -> tuple[DataFrame,
         sets = list(combinations(range(len(bands)), level))
         lists = F.array(*(F.xxhash64(F.lit(i), *(bands[b] for b in chosen)) for i, chosen in enumerate(sets)))
         # sketches stay out of the index and come to the members of lists that two or more share
-        index = rows.select("key", F.explode(lists).alias("list"))
+        index = rows.select("key", F.posexplode(lists).alias("slot", "list"))
         counts = index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        index = cut(index.join(counts, "list").select("list", "key", "n"))
-        short = gathered(index.where(F.col("n") <= limit).join(sketches, "key").select("list", "key", "sketch"), ["list"], ("key",))
-        found = short.mapInPandas(_whole_groups(["list"], _best_partners(least)), "a binary, b binary")
+        index = cut(index.join(counts, "list").select("list", "slot", "key", "n"))
+        short = gathered(index.where(F.col("n") <= limit).join(sketches, "key").select("list", "slot", "key", "sketch"), ["list"], ("key",))
+        found = short.mapInPandas(_whole_groups(["list"], _best_partners(least, sets)), "a binary, b binary")
         pairs = found if pairs is None else pairs.unionByName(found)
         if partly is None:
             partly = index.where(F.col("n") > min(SMALL_LIST, limit)).select("list", "key")
@@ -161,7 +174,7 @@ def _candidates(sketches: DataFrame, least: int, limit: int) -> tuple[DataFrame,
             return pairs, partly
         rows = longer.select("key").distinct().join(sketches, "key")
     hubs = longer.groupBy("list").agg(F.min("key").alias("b"))
-    pairs = pairs.unionByName(longer.join(hubs, "list").select(F.col("key").alias("a"), "b").where("a != b"))
+    pairs = pairs.unionByName(longer.join(hubs, "list").select(F.col("key").alias("a"), "b").where("a != b").distinct())
     return pairs, partly
 
 

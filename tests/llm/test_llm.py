@@ -229,6 +229,26 @@ def test_near_copies_just_over_the_similarity_past_the_limit(spark):
     assert got <= {0} | set(np.flatnonzero(~sure).tolist())
 
 
+def test_a_pair_of_near_copies_comes_from_one_list(spark):
+    """Copies that share all bands are in a list per band; their pairs are made once and not once per list."""
+    own = np.arange(near_copies.POSITIONS, dtype=np.uint8)
+    rows = [(bytes([i]), own.tobytes()) for i in range(10)]
+    other = own.copy()
+    other[:8] = 255  # shares all bands but two
+    sketches = spark.createDataFrame([*rows, (bytes([10]), other.tobytes())], "key binary, sketch binary")
+    for limit in (4, 1024):
+        pairs = [(bytes(r.a)[0], bytes(r.b)[0]) for r in near_copies._candidates(sketches, 1, limit)[0].collect()]
+        assert len(pairs) == len(set(pairs)) > 0 and (limit == 4 or set(pairs) == set((b, a) for a, b in itertools.combinations(range(11), 2)))
+
+
+def test_lists_without_pairs_are_no_error(spark):
+    """Two members share a band by chance and too few positional bytes for a pair."""
+    own = np.arange(near_copies.POSITIONS, dtype=np.uint8)
+    other = np.where(np.arange(near_copies.POSITIONS) < near_copies.BAND, own, 255 - own).astype(np.uint8)
+    sketches = spark.createDataFrame([(b"a", own.tobytes()), (b"b", other.tobytes())], "key binary, sketch binary")
+    assert near_copies._candidates(sketches, 28, 1024)[0].count() == 0
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

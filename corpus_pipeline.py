@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 and up) the document with the smallest id stays."""
-    return keep_one_of_each_group(docs)
+    """Of each group of near copies (SimHash fingerprints within 3 bits, or five-word shingles with Jaccard 0.8 and up) the document with the smallest id stays."""
+    return keep_one_of_each_group(docs, by_fingerprint=True)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Near copies by word shingles (Jaccard 0.8 and up), found in the byte-position index.
 
+The SimHash index (simhash_dedup) links texts whose fingerprints are within 3 bits, if asked to; this module finds the copies that lie further apart.
+
 Texts whose five-word shingle sets have Jaccard 0.8 differ in about 10 of 64 bits of a plain SimHash, which guarantees
 no shared byte at all. So each byte position here takes the hash bits of a sample of its own: the one shingle that is
 least in the position's order. Positional bytes then agree with a probability of the Jaccard similarity, and
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, distinct_texts, gathered, quoted, sliced, text_key
 from .graph import connected_components
+from .simhash_dedup import fingerprint_links, fingerprint_of
 from .words import Hashes, mixed, normal, spans
 
 POSITIONS, BAND = 48, 4
@@ -55,10 +58,13 @@ def sketch(hashes: np.ndarray, odd: np.ndarray = _ODD) -> bytes:
     return mixed(least).astype(np.uint8).tobytes()
 
 
-def _sketches(words: int, odd: np.ndarray = _ODD):
+def _sketches(words: int, odd: np.ndarray = _ODD, prints: bool = False):
+    """(key, sketch), and with prints also fp, the SimHash fingerprint, from the same reading of the text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
-            yield pd.DataFrame({"key": batch["key"], "sketch": [sketch(shingle_hashes(b, words), odd) for b in batch["body"]]})
+            found = pd.DataFrame({"key": batch["key"], "sketch": [sketch(shingle_hashes(b, words), odd) for b in batch["body"]]})
+            yield found.assign(fp=np.array([fingerprint_of(b) for b in batch["body"]], np.int64)) if prints else found
 
     return run
 
@@ -156,12 +162,14 @@ def _candidates(sketches: DataFrame, least: int, limit: int) -> tuple[DataFrame,
     within the lists of one band, so the latter, of any length, hold all pairs that the second round has to settle.
     """
     bands = [F.substring("sketch", 1 + BAND * i, BAND) for i in range(POSITIONS // BAND)]
-    pairs, partly, rows = None, None, sketches
+    pairs, partly, rows, longest = None, None, sketches.withColumn("slot", F.lit(0)), [()]
     for level in (1, 2, 3):
         sets = list(combinations(range(len(bands)), level))
-        lists = F.array(*(F.xxhash64(F.lit(i), *(bands[b] for b in chosen)) for i, chosen in enumerate(sets)))
+        hashed = lambda i, chosen: F.struct(F.lit(i).alias("slot"), F.xxhash64(F.lit(i), *(bands[b] for b in chosen)).alias("list"))
+        # a pair comes from its first bands, so a long list of these is split by the bands after them and a member's other sets are not needed
+        lists = F.array_compact(F.array(*(F.when(F.col("slot") == longest.index(chosen[:-1]), hashed(i, chosen)) for i, chosen in enumerate(sets))))
         # sketches stay out of the index and come to the members of lists that two or more share
-        index = rows.select("key", F.posexplode(lists).alias("slot", "list"))
+        index = rows.select("key", F.explode(lists).alias("e")).select("key", "e.slot", "e.list")
         counts = index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         index = cut(index.join(counts, "list").select("list", "slot", "key", "n"))
         short = gathered(index.where(F.col("n") <= limit).join(sketches, "key").select("list", "slot", "key", "sketch"), ["list"], ("key",))
@@ -172,7 +180,7 @@ def _candidates(sketches: DataFrame, least: int, limit: int) -> tuple[DataFrame,
         longer = index.where(F.col("n") > limit)
         if longer.isEmpty():
             return pairs, partly
-        rows = longer.select("key").distinct().join(sketches, "key")
+        rows, longest = longer.select("key", "slot").join(sketches, "key"), sets
     hubs = longer.groupBy("list").agg(F.min("key").alias("b"))
     pairs = pairs.unionByName(longer.join(hubs, "list").select(F.col("key").alias("a"), "b").where("a != b").distinct())
     return pairs, partly
@@ -248,15 +256,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(verified, "a binary, b binary")
 
 
-def similar_groups(texts: DataFrame, shingle_words: int = 5, similarity: float = 0.8, list_limit: int = LIST_LIMIT) -> DataFrame:
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Links (a, b) of the distinct texts (key, fp) whose components are those of all pairs of fingerprints within 3 bits, by the SimHash index."""
+    first = prints.groupBy("fp").agg(F.min("key").alias("b"))
+    of = lambda s: first.select(F.col("fp").alias(f"fp_{s}"), F.col("b").alias(s))
+    far = fingerprint_links(first.select("fp")).toDF("fp_a", "fp_b").join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    return prints.join(first, "fp").where("key != b").select(F.col("key").alias("a"), "b").unionByName(far)
+
+
+def similar_groups(
+    texts: DataFrame, shingle_words: int = 5, similarity: float = 0.8, list_limit: int = LIST_LIMIT, by_fingerprint: bool = False,
+) -> DataFrame:
     """(node, root) of the distinct texts (key, body) that have a link: Jaccard >= similarity on the sets of shingle hashes.
 
-    Every pair that shares a list and the least number of positional bytes is verified, or connected by verified links.
+    With by_fingerprint, texts whose SimHash fingerprints are within 3 bits are linked too. Every pair that shares a list and the
+    least number of positional bytes is verified, or connected by such links.
     """
-    sketches = cut(texts.select("key", "body").mapInPandas(_sketches(shingle_words), "key binary, sketch binary"))
+    kinds = "key binary, sketch binary" + ", fp long" * by_fingerprint
+    sketches = cut(texts.select("key", "body").mapInPandas(_sketches(shingle_words, prints=by_fingerprint), kinds))
+    close = fingerprint_pairs(sketches.select("key", "fp")) if by_fingerprint else None
+    sketches = sketches.select("key", "sketch")
     pairs, partly = _candidates(sketches, _least(POSITIONS, similarity), list_limit)
     pairs, partly = cut(pairs.distinct()), cut(partly)
-    roots = connected_components(_verified(pairs, texts, shingle_words, similarity), "a", "b")
+    links = _verified(pairs, texts, shingle_words, similarity)
+    # components of both kinds of links at once
+    links = links.unionByName(close) if close else links
+    roots = connected_components(links, "a", "b")
     rows = cut(_open_lists(partly, roots))
     # the texts of open lists travel once, for their longer sketches and for what is verified of them
     open_texts = cut(texts.select("key", "body").join(rows.select("key").distinct(), "key"))
@@ -271,17 +296,18 @@ def similar_groups(texts: DataFrame, shingle_words: int = 5, similarity: float =
 
 def keep_one_of_each_group(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8,
-    list_limit: int = LIST_LIMIT,
+    list_limit: int = LIST_LIMIT, by_fingerprint: bool = False,
 ) -> DataFrame:
     """docs without near copies: of each group of linked texts the row with the smallest id stays.
 
+    With by_fingerprint, texts whose SimHash fingerprints are within 3 bits are linked too, and shingle sets find what lies further apart.
     Null and empty texts are copies of each other. Rows without an id stay, as do rows that repeat the kept id within the group; an
     id that other groups have too is judged in each by itself.
     """
     texts = distinct_texts(docs, text_col)
     key = text_key(F.coalesce(quoted(text_col).cast("binary"), F.lit(b"")))
     rows = docs.select(quoted(id_col).alias("_id"), key.alias("key"))
-    roots = similar_groups(texts, shingle_words, similarity, list_limit).withColumnRenamed("node", "key")
+    roots = similar_groups(texts, shingle_words, similarity, list_limit, by_fingerprint).withColumnRenamed("node", "key")
     rows = cut(rows.join(roots, "key", "left").select("_id", "key", F.coalesce("root", "key").alias("root")))
     first = rows.groupBy("root").agg(F.min("_id").alias("first"))
     gone = rows.join(first, "root").where("_id != first").select(F.col("_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()

@@ -249,6 +249,22 @@ def test_lists_without_pairs_are_no_error(spark):
     assert near_copies._candidates(sketches, 28, 1024)[0].count() == 0
 
 
+def test_pipeline_removes_copies_by_fingerprint(spark):
+    """Documents within 3 bits of SimHash go even if their shingle sets are further apart than the similarity; others of that similarity stay."""
+    rng, near, far = random.Random(8), None, None
+    shingles = lambda t: set(near_copies.shingle_hashes(t.encode(), 5).tolist())
+    while not (near and far):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        copy = [f"e{rng.random()}" if rng.random() < 0.06 else w for w in base]
+        a, b = " ".join(base), " ".join(copy)
+        alike = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        bits = (simhash_dedup.fingerprint_of(a.encode()) ^ simhash_dedup.fingerprint_of(b.encode())) & 2**64 - 1
+        if 0.3 < alike < 0.75:
+            near, far = near or (bits.bit_count() <= 3 and (a, b)), far or (bits.bit_count() > 5 and (a, b))
+    docs = docs_of(spark, [near[0], far[0], near[1], far[1], "", None])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 3, 4]
+
+
 def test_components_of_paths_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}

@@ -1,9 +1,15 @@
 """What has to hold at any size: parts that stay small, bins that travel once, no state and no broadcast that grows."""
 
-from isolayers.operators import sphere, time_space
+import random
+
+import pytest
+
+from isolayers.functions.density_grid import Grid
+from isolayers.operators import columns, sphere, time_space
 from isolayers.plans import fixture, lookup_queries, more_queries, ocean_queries
 
 DIR = "/root/testdata/sf0.001"
+GRID = Grid()
 
 
 def plan_of(df) -> str:
@@ -39,3 +45,46 @@ def test_merged_bins_keep_no_state(spark):
     folder = next(f for f in found.inputFiles() if "_batch=" in f).split("/rows/")[0]
     kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/progress").select("path").collect()
     assert kept and not any("/state/" in r.path for r in kept)
+
+
+def test_bins_are_told_from_the_levels_in_one_aggregate(spark):
+    """A bin is a pair's or the bottom's, never both, so one candidate is kept per bin and no arrays of structs are made."""
+    plan = plan_of(ocean_queries.profile(spark, DIR))
+    assert plan.count(" max_by(") == 0 and plan.count("[max_by(") == 1 and plan.count("partial_max_by(") == 1 and "lambda" not in plan
+
+
+def test_bins_of_columns_that_cross_levels_again(spark):
+    """Against all pairs and the bottom by hand, in columns that go up and down and in flat ones, which are kept whole."""
+    rng = random.Random(5)
+    data = {c: [rng.choice((18.5, 27.0, 29.0)) + rng.uniform(-1.2, 1.2) for _ in range(rng.randint(1, 6))] for c in range(60)}
+    data |= {100 + c: [r := rng.uniform(24, 27), *(rng.uniform(23, 28) for _ in range(4)), r + 0.1] for c in range(20)}
+    rows = [(c, i, 10.0 * (i + 1), r) for c, column in data.items() for i, r in enumerate(column)]
+    df = spark.createDataFrame(rows, "c int, lev int, z double, rho double")
+    got = {(r.c, r.rho_idx): (r.z, r.thick) for r in columns.density_profile(df, ["c"], "lev", "rho", "z", [], GRID).collect()}
+    value = lambda i: 19 + i * 0.2 if i < 35 else 26 + (i - 35) * 0.1
+    want = {}
+    for c, column in data.items():
+        lightest, densest = max(i for i, r in enumerate(column) if r == min(column)), min(i for i, r in enumerate(column) if r == max(column))
+        levels = [(i, r) for i, r in enumerate(column) if column[-1] - column[0] < 0.2 or lightest <= i <= densest]
+        bins = {}
+        for (i, a), (_, b) in zip(levels, levels[1:]):
+            bins |= {k: 10 * (i + 1) + 10 * (value(k) - a) / (b - a) for k in range(60) if a <= value(k) < b}
+        if levels:
+            top, at = max((r, i) for i, r in levels)
+            k = next((k for k in range(60) if value(k) >= top), None)
+            if k is not None:
+                assert k not in bins
+                bins[k] = 10.0 * (at + 1)
+        before = 0.0
+        for k in sorted(bins):
+            if bins[k] > before and k > 0:
+                want[c, k] = bins[k], bins[k] - before
+            before = bins[k]
+    assert len(want) > 500 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_bins_carry_what_the_query_uses(spark):
+    plans = [plan_of(ocean_queries.QUERIES[n](spark, DIR)) for n in ("persistence_pct", "persistent_share")]
+    assert all("max_by(struct(z, " in p and "t, t#" not in p and "s, s#" not in p for p in plans)
+    plan = plan_of(ocean_queries.isopycnal_slice(spark, DIR))
+    assert "t, t#" in plan and "s, s#" not in plan

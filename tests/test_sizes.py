@@ -88,3 +88,24 @@ def test_bins_carry_what_the_query_uses(spark):
     assert all("max_by(struct(z, " in p and "t, t#" not in p and "s, s#" not in p for p in plans)
     plan = plan_of(ocean_queries.isopycnal_slice(spark, DIR))
     assert "t, t#" in plan and "s, s#" not in plan
+
+
+def test_interpolated_bins_are_neither_sorted_nor_grouped(spark):
+    """One sort, that of the levels; a pair leaves out the bins of deeper pairs, in columns that go up and down against all pairs by hand."""
+    rng = random.Random(7)
+    data = {c: [rng.choice((18.5, 26.0, 29.0)) + rng.uniform(-3, 3) for _ in range(rng.randint(1, 8))] for c in range(80)}
+    rows = [(c, i, 10.0 * (i + 1), r) for c, column in data.items() for i, r in enumerate(column)] + [(99, i, 1.0, None) for i in range(3)]
+    found = columns.on_density(spark.createDataFrame(rows, "c int, lev int, z double, rho double"), ["c"], "lev", "rho", ["z"], GRID)
+    plan = plan_of(found)
+    assert plan.count("Sort [") == 1 and "Aggregate(" not in plan
+    value = lambda i: 19 + i * 0.2 if i < 35 else 26 + (i - 35) * 0.1
+    want, again = {}, 0
+    for c, column in data.items():
+        for i, (a, b) in enumerate(zip(column, column[1:])):
+            made = {(c, k): 10 * (i + 1) + 10 * (value(k) - a) / (b - a) for k in range(60) if a <= value(k) < b}
+            again += len(want.keys() & made.keys())
+            want |= made
+    got = {(r.c, r.rho_idx): r.z for r in found.collect()}
+    assert again > 500 and found.count() == len(want) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    whole = plan_of(ocean_queries.interpolate_on_density(spark, DIR))
+    assert whole.count("Sort [") == 1 and "max_by" not in whole
